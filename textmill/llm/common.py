@@ -47,3 +47,17 @@ def text_or_empty(name: str = "text") -> Column:
 def held_out() -> Column:
     """crc32(doc_id as text) mod 5 is 0: rows that no model learns from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def slices(texts: list[str], limit: int = 4_000_000):
+    """(start, stop) of runs of texts with about ``limit`` characters each; one longer text is a run of its own.
+
+    Every text is whole; this only bounds what is held in memory at once."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from textmill.llm import exact_dedup
+from textmill.llm import exact_dedup, quality, sentencepiece_bpe
 from textmill.llm.common import table
 
 
@@ -14,7 +15,29 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of public tokenizers: in TEXTMILL_TOKENIZERS if that is set, else where public_tokenizers has it."""
+    if folder := os.environ.get("TEXTMILL_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_bpe.sentencepiece(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op10_quality_rules": op10_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
 
