@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import exact_dedup, quality, sentencepiece_bpe
+from textmill.llm import exact_dedup, quality, sentencepiece_bpe, warc
 from textmill.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.sentencepiece(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from normalised archives."""
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every document."""
     return quality.quality(table(spark, sf_dir, "documents"))
@@ -37,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
@@ -48,4 +54,12 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER same AS kept
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        g AS (SELECT page_id, payload, strlen(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN n >= 1000 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND first_id <> page_id THEN first_id END AS refers_to
+        FROM g
+    """,
 }
