@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import exact_dedup, quality, sentencepiece_bpe, warc
+from textmill.llm import exact_dedup, language_id, quality, sentencepiece_bpe, warc
 from textmill.llm.common import table
 
 
@@ -30,6 +30,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.sentencepiece(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from normalised archives."""
     return warc.page_records(table(spark, sf_dir, "pages"))
@@ -42,6 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_language_id": op7_language_id,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
