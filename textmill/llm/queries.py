@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import exact_dedup, language_id, quality, sentencepiece_bpe, warc
+from textmill.llm import exact_dedup, language_id, quality, sentencepiece_bpe, toxicity, warc
 from textmill.llm.common import table
 
 
@@ -30,6 +30,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.sentencepiece(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -48,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
