@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import exact_dedup, language_id, quality, sentencepiece_bpe, toxicity, warc
+from textmill.llm import exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, toxicity, warc
 from textmill.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under the Jaccard join on word shingles."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from normalised archives."""
     return warc.page_records(table(spark, sf_dir, "pages"))
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_ngram_join": op8_ngram_join,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
