@@ -117,10 +117,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows repeated with equal doc_id and text are one document: one of them stays."""
     found = materialize(exact_groups(docs), "groups")
-    dropped = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    dropped = found.filter("not kept").select(F.col("doc_id").alias("_textmill_id"), F.col("text_sha256").alias("_textmill_sha")).distinct()
     repeats = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    repeats = materialize(repeats.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "repeats")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(text_or_empty(), 256) == F.col("_sha"))
+    repeats = materialize(repeats.select(F.col("doc_id").alias("_textmill_id"), F.col("text_sha256").alias("_textmill_sha")), "repeats")
+    same = F.col("doc_id").eqNullSafe(F.col("_textmill_id")) & (F.sha2(text_or_empty(), 256) == F.col("_textmill_sha"))
     kept = docs.join(dropped, same, "left_anti")
     if repeats.isEmpty():
         return kept

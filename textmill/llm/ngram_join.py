@@ -489,5 +489,5 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id."""
     found = jaccard_components(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = found.select(F.col("doc_id").alias("_textmill_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_textmill_id")), "left_anti")

@@ -5,11 +5,45 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmill.llm import exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, toxicity, warc
+from textmill.llm import exact_dedup, language_id, license_scan, ngram_join, quality, sentencepiece_bpe, source_mix, toxicity, url_filter, warc
 from textmill.llm.common import table
 
 
+#: Dated entries of a filter list: rule, action, day.
+URL_LIST = [
+    ("casino-win.example.com", "block", "2024-01-05"), ("casino-win.example.com", "remove", "2024-03-01"),
+    ("casino-win.example.com", "block", "2024-04-10"), ("free-bets.example.com", "block", "2024-02-01"),
+    ("cheap-pills.example.com", "block", "2023-11-20"), ("www.cheap-pills.example.com", "allow", "2024-05-01"),
+    ("ads-track.example.com", "block", "2024-01-20"), ("ads-track.example.com", "allow", "2024-02-20"),
+    ("ads-track.example.com", "block", "2024-03-20"), ("tionsh.example.com", "block", "2024-03-15"),
+    ("blog.tionsh.example.com", "allow", "2024-04-01"), ("blog.tionsh.example.com", "remove", "2024-05-15"),
+    ("example.net", "block", "2024-06-01"),
+]
+#: Pages have no time of capture: a stand-in is this day and page_id mod 180 days after it.
+FIRST_CAPTURE, CAPTURE_DAYS = "2024-01-01", 180
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document, or a line of it, names."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mix of the sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return source_mix.mix(docs)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page at its capture."""
+    entries = spark.createDataFrame(URL_LIST, "rule string, action string, listed_at string").withColumn("listed_at", F.to_date("listed_at"))
+    fetched = F.date_add(F.to_date(F.lit(FIRST_CAPTURE)), F.pmod(F.col("page_id"), F.lit(CAPTURE_DAYS)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    return url_filter.evaluate(captures, entries).drop("url")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -58,6 +92,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_source_mix": op3_source_mix,
+    "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
@@ -67,7 +104,101 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """license_scan.spelled(license_scan.plain(text)) in DuckDB SQL."""
+    found = f"regexp_replace(lower({text}), {_quoted(license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
+    found = f"' ' || trim(regexp_replace({found}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for other, one in [*license_scan.SPELLINGS, *license_scan.SPELLINGS]:
+        found = f"replace({found}, ' {other} ', ' {one} ')"
+    return f"trim({found})"
+
+
+_KNOWN_SQL = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in license_scan.KNOWN.items() for text in texts)
+_LIST_SQL = ", ".join(f"('{rule}', '{action}', DATE '{day}')" for rule, action, day in URL_LIST)
+
 ORACLE_SQL = {
+    "op1_license_scan": f"""
+        WITH known AS (SELECT DISTINCT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_SQL}) k(license, text)),
+        units AS (
+            SELECT doc_id, true AS whole, coalesce(text, '') AS unit FROM documents
+            UNION ALL
+            SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
+        ),
+        hits AS (
+            SELECT doc_id, whole, license
+            FROM (SELECT doc_id, whole, sha256({_canonical_sql("unit")}) AS digest FROM units) JOIN known USING (digest)
+        ),
+        found AS (
+            SELECT doc_id, min(license) FILTER (whole) AS license,
+                   coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (NOT whole), '') AS line_licenses,
+                   count(*) FILTER (NOT whole) AS n_license_lines
+            FROM hits GROUP BY doc_id
+        )
+        SELECT doc_id, license, coalesce(line_licenses, '') AS line_licenses, coalesce(n_license_lines, 0) AS n_license_lines
+        FROM documents LEFT JOIN found USING (doc_id)
+    """,
+    "op3_source_mix": f"""
+        WITH RECURSIVE
+        sizes AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+        total AS (SELECT greatest({source_mix.QUANTA}, 2 * count(*)) AS cycle, count(*) AS k, sum(pow(n, {source_mix.ALPHA})) AS w FROM sizes),
+        shares AS (SELECT source, n, cycle, k, (cycle - k) * pow(n, {source_mix.ALPHA}) / w AS share FROM sizes, total),
+        weights AS (
+            SELECT source, n, cycle, CAST(1 + floor(share) AS BIGINT) + CAST(
+                row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, source) <= cycle - k - sum(floor(share)) OVER () AS BIGINT) AS q
+            FROM shares
+        ),
+        lists AS (SELECT list(q ORDER BY source) AS qs, list(source ORDER BY source) AS names, max(cycle) AS cycle FROM weights),
+        run(slot, done, pick) AS (
+            SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists
+            UNION ALL
+            SELECT slot + 1, list_transform(done, lambda d, i: d + CAST(i = p AS BIGINT)), p
+            FROM (
+                SELECT slot, done, CAST(list_position(ready, list_min(ready)) AS BIGINT) AS p
+                FROM (
+                    SELECT slot, done, list_transform(done, lambda d, i: CASE WHEN d * cycle // qs[i] <= slot + 1
+                        THEN ((d + 1) * cycle + qs[i] - 1) // qs[i] ELSE 1::BIGINT << 60 END) AS ready
+                    FROM run, lists WHERE slot + 1 < cycle
+                )
+            )
+        ),
+        slots AS (
+            SELECT names[pick] AS source, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth FROM run, lists WHERE slot >= 0
+        ),
+        missing AS (
+            SELECT min(b // q * cycle + slot) AS stop
+            FROM (SELECT *, (n + {source_mix.BLOCK_ROWS - 1}) // {source_mix.BLOCK_ROWS} AS b FROM weights) JOIN slots USING (source) WHERE nth = b % q
+        ),
+        ranked AS (
+            SELECT doc_id, source AS own, coalesce(source, '') AS source,
+                   row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY CAST('0x' || h[1:4] AS INT) % {source_mix.BUCKETS}, h, doc_id) - 1 AS r
+            FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents)
+        )
+        SELECT doc_id, own AS source, r // {source_mix.BLOCK_ROWS} // q * cycle + slot AS mix_slot, r % {source_mix.BLOCK_ROWS} AS mix_place,
+               r // {source_mix.BLOCK_ROWS} // q * cycle + slot < stop AS in_mix
+        FROM ranked JOIN weights USING (source) JOIN slots ON slots.source = ranked.source AND nth = r // {source_mix.BLOCK_ROWS} % q, missing
+    """,
+    "op4_url_filter": f"""
+        WITH log AS (SELECT * FROM (VALUES {_LIST_SQL}) l(rule, action, since)),
+        captures AS (
+            SELECT page_id, DATE '{FIRST_CAPTURE}' + CAST(page_id % {CAPTURE_DAYS} AS INT) AS fetched_at,
+                   nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host
+            FROM pages
+        ),
+        asked AS (
+            SELECT page_id, fetched_at, array_to_string(labels[i:], '.') AS rule
+            FROM (SELECT *, string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM captures)
+        ),
+        active AS (
+            SELECT page_id, log.rule, action, since FROM asked ASOF JOIN log ON asked.rule = log.rule AND asked.fetched_at >= log.since
+        ),
+        best AS (SELECT page_id, arg_max(active, length(rule)) AS b FROM active WHERE action <> 'remove' GROUP BY page_id)
+        SELECT page_id, fetched_at, host, coalesce(b.action, 'none') AS verdict, b.rule AS rule, b.since AS rule_since
+        FROM captures LEFT JOIN best USING (page_id)
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
                max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -82,4 +213,22 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND first_id <> page_id THEN first_id END AS refers_to
         FROM g
     """,
+    "op8_ngram_join": r"""
+        WITH RECURSIVE
+        w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+            FROM w
+        ),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) USING (doc_id)
+    """,
 }

@@ -90,6 +90,8 @@ class PieceModel:
         # Characters that are no piece are symbols after the last id and never merge.
         self.first_other = len(pieces)
         self.width = self.first_other + 0x110000
+        self.symbols = np.arange(0x110000, dtype=np.int64) + self.first_other
+        self.symbols[[ord(c) for c in self.chars]] = list(self.chars.values())
         order = np.unique(-np.array([scores[i] for i in normal.values()]), return_inverse=True)[1]
         rank_of = dict(zip(normal.values(), order.tolist(), strict=True))
         pairs = sorted(
@@ -113,12 +115,11 @@ class PieceModel:
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words after the last round, and the word that each belongs to."""
-        chars, other = self.chars, self.first_other
         long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
         done = [(np.array(x, np.int64), np.full(len(x), i)) for i in long for x in [self._merge_long(words[i])]]
         short = words if not long else ["" if len(w) > LONG_WORD else w for w in words]
         sizes = np.fromiter(map(len, short), np.int64, len(short))
-        sym = np.fromiter((chars.get(c, other + ord(c)) for w in short for c in w), np.int64, int(sizes.sum()))
+        sym = self.symbols[np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(np.arange(len(short)), sizes)
         rank = np.full(len(sym), _NONE)
         into = np.full(len(sym), -1, np.int64)
@@ -154,7 +155,10 @@ class PieceModel:
             moved = np.cumsum(keep) - 1
             sym, word, rank, into = (x[keep] for x in (sym, word, rank, into))
             touched = moved[take]
-            touched = np.unique(np.concatenate([touched, touched[touched > 0] - 1]))
+            changed = np.zeros(len(sym) + 1, bool)
+            changed[touched] = True
+            changed[touched - 1] = True  # before the first one: the spare place at the end
+            touched = np.flatnonzero(changed[:-1])
         if not done:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sym, word = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -297,7 +301,7 @@ def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
 
     def run(batches):
         model = PieceModel(model_file.value)
-        known: dict[str, tuple[bytes, int, bytes]] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in slices(texts):
@@ -306,7 +310,7 @@ def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
                     known.clear()
                 new = list({w for ws in words for w in ws}.difference(known))
                 for w, ids in zip(new, model.encode_words(new), strict=True):
-                    known[w] = (",".join(map(str, ids)).encode(), len(ids), model.decode_bytes(ids))
+                    known[w] = (",".join(map(str, ids)).encode(), len(ids), model.decode_bytes(ids), np.array(ids, np.int32) if keep_ids else None)
                 out: list[list] = [[], [], [], [], []]
                 for ws in words:
                     entries = [known[w] for w in ws]
@@ -316,7 +320,7 @@ def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
                     out[1].append(hashlib.sha256(joined).hexdigest())
                     out[2].append(hashlib.sha256(decoded).hexdigest())
                     if keep_ids:
-                        out[3].append(np.array(joined.split(b","), np.int32) if joined else np.zeros(0, np.int32))
+                        out[3].append(np.concatenate([e[3] for e in entries]) if entries else np.zeros(0, np.int32))
                     if keep_text:
                         out[4].append(decoded.decode())
                 arrays = [doc_ids.slice(start, stop - start), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]

@@ -305,3 +305,21 @@ def score(docs: DataFrame, model: KernelModel) -> DataFrame:
                 )
 
     return rows.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: KernelModel) -> DataFrame:
+    """The rows of docs with a score below 0.5, with all their columns; nothing is joined or moved."""
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for start, stop in slices(texts):
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                value = shared.value.score([tokens_of(t) for t in texts[start:stop]], known)
+                yield batch.slice(start, stop - start).filter(pa.array(value < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
