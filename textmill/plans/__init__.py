@@ -1 +1 @@
-"""Queries of the reference operators."""
+"""Queries of the reference operators; importing the modules registers them."""
