@@ -264,10 +264,15 @@ def _logistic(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def training_sample(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) -> DataFrame:
     """At most ``texts`` rows (text, toxic) of each label that may be learned from: those with the least hash of
-    doc_id and text. A document labelled twice counts as toxic if one of its labels says so."""
-    marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
-    rows = rows.select("text", "toxic", F.xxhash64("doc_id", F.xxhash64("text")).alias("_h"))
+    doc_id. A document labelled twice counts as toxic if one of its labels says so.
+
+    Ids are drawn from labels alone, four times as many as wanted; that bounded list is broadcast, so no text moves
+    but those of the sample."""
+    marks = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = marks.withColumn("_h", F.xxhash64("doc_id"))
+    drawn = [marks.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(4 * texts) for y in (0, 1)]
+    ids = F.broadcast(drawn[0].unionByName(drawn[1]))
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
     each = [rows.filter(F.col("toxic") == y).orderBy("_h", "text").limit(texts) for y in (0, 1)]
     return each[0].unionByName(each[1]).select("text", "toxic")
 
