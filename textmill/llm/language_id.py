@@ -141,13 +141,13 @@ def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, least: int = TRAI
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "text", "lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("_h")
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    each = F.greatest(F.lit(least), F.floor(F.lit(texts) / F.count(F.lit(1)).over(Window.partitionBy())))
-    sizes = sizes.withColumn("_each", each)
-    slot = F.pmod("_h", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    thin = rows.join(sizes, "lang").filter(slot < 2.0 * F.col("_each") / F.col("_n"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    each = max(least, texts // max(1, len(sizes)))
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * each / n)))) if sizes else F.create_map().cast("map<string,double>")
+    slot = F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thin = rows.filter(slot < F.element_at(share, F.col("lang")))  # about twice as many as wanted; only these move
     ranked = thin.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text")))
-    return ranked.filter(F.col("_r") <= F.col("_each")).select("text", "lang")
+    return ranked.filter(F.col("_r") <= each).select("text", "lang")
 
 
 def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> CentroidModel:
