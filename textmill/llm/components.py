@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from textmill.llm.common import discard, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _finished(edges: DataFrame) -> bool:
+    """Whether the edges (u > v) are stars: each u has one edge, and no v is the u of another."""
+    marks = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root"))
+    marks = marks.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    counts = marks.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return counts.filter("child > 1 OR child = 1 AND root = 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,15 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = _state(now)
-    while state[0]:
+    while not _finished(now):
         step = materialize(_small_star(_large_star(now)), "edges")
-        found = _state(step)
         discard(now)
         now = step
-        if found == state:
-            break
-        state = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -41,7 +41,8 @@ SPELLINGS = [
     ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"),
     ("https", "http"), ("percent", "per cent"), ("whilst", "while"), ("favour", "favor"), ("organisation", "organization"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Lines such as "Copyright (c) 2020 X", "(c) 2020 X" or "© X"; not a line that only begins with the word.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|©|\d)|\(c\)[^\p{L}\n]*\d|©)[^\n]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 

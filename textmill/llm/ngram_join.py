@@ -374,6 +374,14 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component): a cheap label that linked nodes often share, the least neighbour of the least neighbour."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    least = both.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("label"))
+    hop = least.select(F.col("node").alias("label"), F.col("label").alias("component"))
+    return least.join(hop, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+
+
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -468,13 +476,13 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     one = near.filter("NOT star").groupBy("a").agg(F.min("b").alias("b"))
     first = near.filter("star").select("a", "b").unionByName(one.select("a", "b")).distinct()
     links = _compare(first, docs, classes, seed)
-    components = materialize(connected_components(_edges(links)), "components")
-    more = materialize(_apart(near.filter("NOT star").select("a", "b"), components), "apart")
+    more = materialize(_apart(near.filter("NOT star").select("a", "b"), materialize(_labels(links), "labels")), "apart")
     star_links = links.join(near.filter("star").select("a", "b"), ["a", "b"], "left_semi")
     if not more.isEmpty():
         links = links.unionByName(_compare(more, docs, classes, seed))
-        components = materialize(connected_components(_edges(links)), "components")
-    if not members.isEmpty():
+    if members.isEmpty():
+        components = connected_components(_edges(links))
+    else:
         components = _long_lists(members, star_links, links, docs, classes, seed)
 
     named = classes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
