@@ -10,7 +10,7 @@ the order only decides how many candidates there are, never which links are foun
 
 Candidates are first compared by parity bitmaps, whose Hamming distance never exceeds the true difference of the
 sets, then exactly. Identical sets are one class from the start. A list of up to SHORT_LIST classes gives all its
-pairs. In longer lists every class is compared with one pivot, and classes that stay in other components are
+pairs. In longer lists every class is compared with a few pivots, and classes that stay in other components are
 compared through the triangle inequality for the size of the symmetric difference, so that no list gives all its
 pairs and yet no link between components is lost.
 """
@@ -34,8 +34,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles seen more often than FREQUENT stand last in the order; at most MOST_FREQUENT of them are broadcast (8 MB).
 FREQUENT, MOST_FREQUENT = 20, 1_000_000
-#: Lists of up to so many classes give all their pairs.
-SHORT_LIST = 64
+#: Lists of up to so many classes give all their pairs; in longer ones every class is compared with so many pivots.
+SHORT_LIST, PIVOTS = 16, 8
 #: Cost of comparing a candidate pair, where that of writing a posting is 1.
 PAIR_COST = 4.0
 #: Shingles counted together in a task before those seen once are dropped.
@@ -466,8 +466,11 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     lists = materialize(lists, "lists")
     short = lists.filter("key IS NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
     members = lists.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
-    centres = members.groupBy("key").agg(F.min("node").alias("b"))
-    star = members.join(centres, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    # The pivots of a list: the least under several hashes, which lists of much the same members share.
+    chosen = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS))))
+    pivots = members.groupBy("key").agg(F.array_sort(chosen).alias("_pivots"))
+    star = members.join(pivots, "key").select(F.col("node").alias("a"), "_pivots").distinct()
+    star = star.select("a", F.explode("_pivots").alias("b")).filter("a <> b").distinct()
     near = _with_bitmaps(short, classes).select("a", "b", F.lit(False).alias("star"))
     near = near.unionByName(_with_bitmaps(star, classes).select("a", "b", F.lit(True).alias("star")))
     near = materialize(near, "near")
