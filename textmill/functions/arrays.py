@@ -47,9 +47,9 @@ def kl_divergence(p: Column, q: Column) -> Column:
     return total(F.zip_with(p, q, lambda x, y: F.when(x > 0, x * F.ln(x / y)).otherwise(F.lit(0.0))))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by spaces."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
+    """All runs of n tokens, joined: n shifted copies of the array side by side. tokens should be a column of its own
+    (an expression would be evaluated n times)."""
+    m = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(tokens, F.lit(j + 1), m).alias(f"t{j}") for j in range(n)))
+    return F.transform(shifted, lambda z: F.concat_ws(sep, *(z[f"t{j}"] for j in range(n))))

@@ -10,12 +10,14 @@ from textmill.functions.arrays import ngrams
 
 def ngram_counts(docs: DataFrame, tokens, n: int, text: str = "text") -> DataFrame:
     """(gram, n): how often each run of n tokens occurs; runs never span two documents."""
-    return docs.select(F.explode(ngrams(tokens(F.col(text)), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(tokens(F.col(text)).alias("_k"))
+    return rows.select(F.explode(ngrams(F.col("_k"), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bigram_table(docs: DataFrame, tokens, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ctx, w) for every token; the first of a document has the context ``<s>``."""
-    seq = F.concat(F.array(F.lit("<s>")), tokens(F.col(text)))
+    docs = docs.select(key, F.concat(F.array(F.lit("<s>")), tokens(F.col(text))).alias("_seq"))
+    seq = F.col("_seq")
     pairs = F.arrays_zip(F.slice(seq, F.lit(1), F.size(seq) - 1).alias("ctx"), F.slice(seq, F.lit(2), F.size(seq)).alias("w"))
     return docs.select(key, F.explode(pairs).alias("p")).select(key, "p.ctx", "p.w")
 
@@ -48,7 +50,11 @@ def rouge_recall(candidates: DataFrame, references: DataFrame, tokens, n: int) -
     """(doc_id, item_id, rouge) of candidates that share an n-gram with a reference: clipped recall.
 
     candidates (doc_id, text); references (item_id, text)."""
-    grams = lambda df, key: df.select(key, F.explode(ngrams(tokens(F.col("text")), n)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, tokens(F.col("text")).alias("_k")).select(key, F.explode(ngrams(F.col("_k"), n)).alias("gram"))
+        return rows.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+
     c, r = grams(candidates, "doc_id"), grams(references, "item_id")
     total = r.groupBy("item_id").agg(F.sum("n").alias("_total"))
     shared = c.withColumnRenamed("n", "_c").join(r, "gram").groupBy("doc_id", "item_id").agg(F.sum(F.least("_c", "n")).alias("_hit"))
