@@ -1,4 +1,4 @@
 """Imports every module of queries, so that the registry is full."""
 
-from textmill.plans import term_queries, text_queries  # noqa: F401
+from textmill.plans import record_queries, term_queries, text_queries  # noqa: F401
 from textmill.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
