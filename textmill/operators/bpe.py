@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,27 @@ def merge_pair(symbols: Column, a: str, b: str) -> Column:
     return F.aggregate(symbols, F.array().cast("array<string>"), step)
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """df from the folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
+    return df.checkpoint()
+
+
 def train_bpe(words: DataFrame, merges: int) -> DataFrame:
     """(step, a, b, n) of the first merges: the most frequent pair, ties to the first in the alphabet.
 
-    The driver keeps one pair per merge; the word table is cached, and its lineage grows by one projection a merge."""
-    words = words.cache()
+    The driver keeps one pair per merge; the word table is checkpointed after each, so plans stay as small as the first."""
+    words = _checkpointed(words)
     found = []
     for step in range(merges):
         best = pair_counts(words).orderBy(F.desc("n"), "a", "b").first()
         if best is None:
             break
         found.append((step, best.a, best.b, best.n))
-        words = words.withColumn("symbols", F.when(F.array_contains("symbols", best.a) & F.array_contains("symbols", best.b), merge_pair(F.col("symbols"), best.a, best.b)).otherwise(F.col("symbols")))
+        joined = F.array_contains("symbols", best.a) & F.array_contains("symbols", best.b)
+        words = _checkpointed(words.withColumn("symbols", F.when(joined, merge_pair(F.col("symbols"), best.a, best.b)).otherwise(F.col("symbols"))))
     return words.sparkSession.createDataFrame(found, "step int, a string, b string, n long")
 
 

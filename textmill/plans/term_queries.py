@@ -352,3 +352,11 @@ def tokens_per_word(t):
 def length_stats(t):
     n = t("documents").select("lang", F.size(X.tokenize(F.col("text"))).cast("long").alias("n"))
     return n.groupBy("lang").agg(F.round(F.percentile("n", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"), F.max("n").alias("longest"))
+
+
+@query("bpe_merges")
+def bpe_merges(t):
+    """The first 20 merges over the corpus; the toy case in the tests has the expected merges."""
+    from textmill.operators.bpe import train_bpe, word_symbols
+
+    return train_bpe(word_symbols(t("documents")), 20)
