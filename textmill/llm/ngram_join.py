@@ -438,8 +438,8 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Words are runs of characters other than space and U+0009 to U+000D, A-Z in lower case; a set holds the distinct
     runs of five words, or all words as one if there are fewer. Two rows link if 100 * intersection >= 75 * union.
     A null or empty text, or one without words, has no shingle, links to nothing and is its own component. Rows
-    repeated with equal text are one class and share a component; a row with null doc_id takes part and never names a
-    component that has another row. Other columns are ignored, an empty table gives an empty result, and long
+    repeated with equal text are one class and share a component; a row with null doc_id belongs to the class of its text,
+    and a class without any doc_id is compared with no other. Other columns are ignored, an empty table gives an empty result, and long
     texts are read whole. parts: partitions of the inverted lists, by default one for every two of the input.
     """
     docs = docs.select("doc_id", "text")
@@ -498,7 +498,9 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id."""
-    found = jaccard_components(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """The rows of docs that stay: of each component the one with the smallest doc_id.
+
+    Rows that repeat this doc_id stay together, and so do rows without a doc_id, which can't be told apart."""
+    found = jaccard_components(docs).filter("doc_id <> component_id")
     gone = found.select(F.col("doc_id").alias("_textmill_id")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_textmill_id")), "left_anti")
