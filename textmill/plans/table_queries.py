@@ -45,7 +45,7 @@ def contamination_4gram(t):
 _TFK = f"""tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
     (SELECT query_id, doc_id, round(sum(qw * w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL)) WHERE rank <= 5)"""
 RRF = f"""WITH {BM25}, bk AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5),
-    {TFIDF.split(", ", 1)[1] if False else TFIDF[TFIDF.index("idf AS"):]}, qt AS (SELECT item_id AS query_id, term, count(*) AS tf FROM (SELECT item_id, unnest({ALNUM_SQL}) AS term FROM benchmark) GROUP BY ALL),
+    {TFIDF[TFIDF.index("idf AS"):]}, qt AS (SELECT item_id AS query_id, term, count(*) AS tf FROM (SELECT item_id, unnest({ALNUM_SQL}) AS term FROM benchmark) GROUP BY ALL),
     qx AS (SELECT query_id, term, tf * idf AS x FROM qt JOIN idf USING (term)), qw AS (SELECT query_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS qw FROM qx), {_TFK},
     u AS (SELECT query_id, doc_id, rank, 1 AS list FROM bk UNION ALL SELECT query_id, doc_id, rank, 2 FROM tk),
     f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS seen FROM u GROUP BY ALL)"""
@@ -76,17 +76,14 @@ def interleave_merge(t):
 @query("recall_at_k", f"""WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored),
     g AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
     h AS (SELECT item_id, min(rank) AS best FROM g LEFT JOIN r ON r.query_id = item_id AND r.doc_id = g.doc_id AND rank <= 10 GROUP BY item_id)
-    SELECT count(*) AS items, round(avg(CAST(best <= 1 AS INT) ), 6) AS recall_1, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM h""".replace("avg(CAST(best <= 1 AS INT) )", "avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0 END)"))
+    SELECT count(*) AS items, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM h""")
 def recall_at_k(t):
     """A document is evidence for an item if it holds the item's text; items without evidence don't count.
 
-    Candidates of evidence share the item's first eight words; the whole text is compared for those."""
-    def grams(df, key):
-        rows = df.select(key, F.split(F.col("text"), r"\s+").alias("k"), "text")
-        return rows
-
-    items = grams(t("benchmark"), "item_id").select("item_id", F.col("text").alias("item"), F.array_join(F.slice("k", 2, 6), " ").alias("gram"))
-    docs = grams(t("documents"), "doc_id")
+    Candidates of evidence share six words at the start of the item; the whole text is compared for those."""
+    words = lambda name, key: t(name).select(key, F.split(F.col("text"), r"\s+").alias("k"), "text")
+    items = words("benchmark", "item_id").select("item_id", F.col("text").alias("item"), F.array_join(F.slice("k", 2, 6), " ").alias("gram"))
+    docs = words("documents", "doc_id")
     found = docs.select("doc_id", F.explode(ngrams(F.col("k"), 6)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
     gold = found.join(items, "item_id").join(t("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
     ranked = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 10, "query_id").select(F.col("query_id").alias("item_id"), "doc_id", "rank")
