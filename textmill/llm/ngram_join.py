@@ -475,14 +475,13 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     near = near.unionByName(_with_bitmaps(star, classes).select("a", "b", F.lit(True).alias("star")))
     near = materialize(near, "near")
 
-    # One pair of each class first: most others then lie inside a component.
-    one = near.filter("NOT star").groupBy("a").agg(F.min("b").alias("b"))
-    first = near.filter("star").select("a", "b").unionByName(one.select("a", "b")).distinct()
+    # One pair of each class first, and one with a pivot: most others then lie inside a component.
+    first = near.groupBy("a", "star").agg(F.min("b").alias("b")).select("a", "b").distinct()
     links = _compare(first, docs, classes, seed)
-    more = materialize(_apart(near.filter("NOT star").select("a", "b"), materialize(_labels(links), "labels")), "apart")
-    star_links = links.join(near.filter("star").select("a", "b"), ["a", "b"], "left_semi")
+    more = materialize(_apart(near.select("a", "b").distinct(), materialize(_labels(links), "labels")), "apart")
     if not more.isEmpty():
-        links = links.unionByName(_compare(more, docs, classes, seed))
+        links = materialize(links.unionByName(_compare(more, docs, classes, seed)), "links")
+    star_links = links.join(near.filter("star").select("a", "b"), ["a", "b"], "left_semi")
     if members.isEmpty():
         components = connected_components(_edges(links))
     else:
