@@ -30,8 +30,9 @@ def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, with the digests of ids and decoded text; the order of the rows stays."""
-    return sentencepiece_bpe.sentencepiece(docs, tokenizer_path("piece_bpe_32k.model"), keep_text=False)
+    """The ids of every document, with the digests of ids and decoded text, its place in the mix, and if it is in the mix."""
+    placed = source_mix.with_positions(docs)
+    return sentencepiece_bpe.sentencepiece(placed, tokenizer_path("piece_bpe_32k.model"), keep_text=False, carry=("mix_position", "in_mix"))
 
 
 STAGES = [

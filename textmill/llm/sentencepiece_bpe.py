@@ -281,22 +281,22 @@ def _lenient(data: bytes) -> str:
         return "".join(out)
 
 
-def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256 of each row of docs.
+def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256 of each row of docs, and its columns named in carry.
 
     model_path: the model file, read once on the driver and sent to the executors (under 1 MB). ids holds the
     ids without begin or end; ids_sha256 is the digest of the decimal ids joined by commas; decoded is decode(ids).
     keep_ids, keep_text: leave ids or decoded out if false. A null text counts as empty and has no ids. Rows are
-    independent: repeats give repeated results, other columns are ignored, an empty table gives an empty result,
+    independent: repeats give repeated results, columns not in carry are ignored, an empty table gives an empty result,
     and long texts are encoded whole.
     """
     with open(model_path, "rb") as file:
         data = file.read()
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", *carry)
     optional = [("ids", "array<int>", keep_ids), ("decoded", "string", keep_text)]
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(
         f", {name} {kind}" for name, kind, wanted in optional if wanted
-    )
+    ) + "".join(f", {name} {rows.schema[name].dataType.simpleString()}" for name in carry)
     model_file = rows.sparkSession.sparkContext.broadcast(data)
 
     def run(batches):
@@ -331,6 +331,7 @@ def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
                 if keep_text:
                     arrays.append(pa.array(out[4], pa.string()))
                     names.append("decoded")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                arrays += [batch.column(2 + i).slice(start, stop - start) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, *carry])
 
     return rows.mapInArrow(run, schema)

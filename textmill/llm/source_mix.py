@@ -82,6 +82,13 @@ def schedule(weights: DataFrame) -> DataFrame:
     return slots.withColumn("nth", nth.cast("long"))
 
 
+def _cycle(weighted: DataFrame, block_rows: int) -> DataFrame:
+    """The schedule with each source's n_rows, quanta and cycle, and with end: the first slot of all whose block does not exist."""
+    blocks = F.ceil(F.col("n_rows") / block_rows).cast("long")
+    missing = F.when(F.col("nth") == blocks % F.col("quanta"), F.floor(blocks / F.col("quanta")) * F.col("cycle") + F.col("slot"))
+    return schedule(weighted).join(weighted, "source").withColumn("end", F.min(missing).over(Window.partitionBy()))
+
+
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, quanta: int = QUANTA,
     block_rows: int = BLOCK_ROWS, buckets: int = BUCKETS,
@@ -96,10 +103,7 @@ def mix(
     repeated. An empty table gives an empty result.
     """
     weighted = materialize(target_weights(docs, weights, alpha, quanta), "weights")
-    blocks = F.ceil(F.col("n_rows") / block_rows).cast("long")
-    # The first slot of all whose block does not exist.
-    missing = F.when(F.col("nth") == blocks % F.col("quanta"), F.floor(blocks / F.col("quanta")) * F.col("cycle") + F.col("slot"))
-    cycle = schedule(weighted).join(weighted, "source").withColumn("end", F.min(missing).over(Window.partitionBy()))
+    cycle = _cycle(weighted, block_rows)
     by_source = materialize(
         cycle.groupBy(F.col("source").alias("_mix_source")).agg(
             F.max("quanta").alias("_mix_quanta"), F.max("cycle").alias("_mix_cycle"), F.max("end").alias("_mix_end"),
@@ -133,3 +137,25 @@ def mixed_order(docs: DataFrame, parts: int | None = None, **options) -> DataFra
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(parts, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place")
     return ordered.drop("mix_slot", "mix_place", "in_mix")
+
+
+def with_positions(ordered: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, quanta: int = QUANTA, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """ordered with mix_position, from 0 without gaps, and in_mix as in mix: what the order of the files says.
+
+    ordered: a frame read from the Parquet files that mixed_order's rows were written to, with the options of that call.
+    Splits are read in any order, so a row's place is taken from its file and its index there, and files are
+    counted in the order of their part numbers. The rows in the mix are the first ones, as many as the blocks of
+    all slots before the first missing block have.
+    """
+    part = F.regexp_extract("_mix_file", r"part-(\d+)", 1).cast("int")
+    rows = ordered.select("*", F.col("_metadata.file_name").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_index"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part, "_mix_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = rows.groupBy("_mix_file").agg(F.count(F.lit(1)).alias("_n")).select("_mix_file", before.alias("_mix_before"))
+    end = F.col("end")
+    slots = F.floor(end / F.col("cycle")) + (F.col("slot") < end % F.col("cycle")).cast("long")
+    weighted = materialize(target_weights(ordered, weights, alpha, quanta), "weights")
+    held = _cycle(weighted, block_rows).groupBy("source").agg(F.least(F.max("n_rows"), F.sum(slots) * block_rows).alias("_n"))
+    stretch = held.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_mix_stretch"))
+    placed = rows.join(F.broadcast(files), "_mix_file").crossJoin(F.broadcast(stretch))
+    position = F.col("_mix_before") + F.col("_mix_index")
+    return placed.select(*ordered.columns, position.alias("mix_position"), (position < F.col("_mix_stretch")).alias("in_mix"))
