@@ -1,0 +1,27 @@
+"""Registered queries on the whole of their input, against plain Python."""
+
+import json
+import math
+
+from textmill.plans import catalogue
+
+
+def write(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def events(spark, folder, records):
+    """records: (user_id, k, correct)."""
+    rows = [(i, u, "click", "2024-01-01", float(0 if c else 99), json.dumps({"k": k})) for i, (u, k, c) in enumerate(records)]
+    return write(spark, folder, "events", rows, "event_id long, user_id long, event_type string, ts string, value double, props string")
+
+
+def test_sign_test_takes_whole_counts(spark, tmp_path):
+    counts = {1: (40, 25), 2: (0, 3), 3: (12, 24), 4: (700, 800), 5: (1, 1), 6: (5, 0), 7: (1500, 10)}
+    folder = events(spark, tmp_path, [(u, 1, c) for u, (w, l) in counts.items() for c in [1] * w + [0] * l])
+    got = {r.user_id: (r.w, r.l, r.p) for r in catalogue.QUERIES["sign_test"](spark, folder).collect()}
+    for u, (w, l) in counts.items():
+        n = w + l
+        p = min(1.0, 2 * sum(math.comb(n, j) for j in range(max(w, l), n + 1)) / 2**n)
+        assert got[u] == (w, l, round(p, 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,3 +60,17 @@ def rate_with_error(condition: Column, name: str) -> list[Column]:
     """n, the rate and its standard error sqrt(r (1 - r) / n); null without rows."""
     x = condition.cast("double")
     return [F.count(x).alias(f"{name}_n"), F.avg(x).alias(name), F.sqrt(F.try_divide(F.avg(x) * (1 - F.avg(x)), F.count(x))).alias(f"{name}_se")]
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Two-sided exact binomial test of whole counts; 1 without any.
+
+    One fold over i up to the smaller count m holds ln C(n, i) and the sum of C(n, j) for j up to i in units of
+    C(n, i), so that no term underflows however large n is."""
+    n, m = wins + losses, F.least(wins, losses)
+    none = F.expr("CAST(array() AS array<bigint>)")
+    steps = F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(none)
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(1.0).alias("sum"))
+    step = lambda s, i: F.struct((s["log"] + F.ln((n - i + 1) / i)).alias("log"), (s["sum"] * (i / (n - i + 1)) + 1).alias("sum"))
+    log_tail = F.aggregate(steps, start, step, lambda s: s["log"] + F.ln(s["sum"])) - n * F.lit(math.log(2))
+    return F.least(F.lit(1.0), 2 * F.exp(log_tail))

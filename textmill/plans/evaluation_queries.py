@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from textmill.functions import arrays as A
 from textmill.functions import text as X
+from textmill.operators import calibration as C
 from textmill.operators import vectors as V
 from textmill.plans.record_queries import REC, UNIT, pairs, rec
 from textmill.plans.registry import query
@@ -78,12 +79,8 @@ def prob_shift(t):
     x AS (SELECT user_id, w, l, CAST(w + l AS BIGINT) AS n, CAST(least(w, l) AS BIGINT) AS m FROM u)
     SELECT user_id, w, l, round(least(1.0, 2 * list_sum(list_transform(range(0, m + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p FROM x""")
 def sign_test(t):
-    """Two-sided exact binomial test: the tail is summed term by term, each from the one before."""
-    u = rec(t).groupBy("user_id").agg((F.count_if(F.col("correct") == 1) % 12).alias("w"), (F.count_if(F.col("correct") == 0) % 12).alias("l"))
-    n, m = F.col("w") + F.col("l"), F.least("w", "l")
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), m), start, lambda s, i: F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum")), lambda s: s["sum"])
-    return u.select("user_id", "w", "l", F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
+    u = rec(t).groupBy("user_id").agg(F.count_if(F.col("correct") == 1).alias("w"), F.count_if(F.col("correct") == 0).alias("l"))
+    return u.select("user_id", "w", "l", F.round(C.sign_test(F.col("w"), F.col("l")), 6).alias("p"))
 
 
 @query("usage_rollup", f"WITH {REC} SELECT user_id, sum(k) FILTER (event_type = 'click') AS tokens_in, sum(k) FILTER (event_type = 'view') AS tokens_out, count_if(event_type = 'error') AS errors, CASE WHEN bool_and(k > 0) THEN round(sum(value), 4) END AS usd FROM rec GROUP BY user_id")
