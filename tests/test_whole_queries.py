@@ -2,7 +2,11 @@
 
 import json
 import math
+import random
 
+import pytest
+
+from textmill.operators import calibration
 from textmill.plans import catalogue
 
 
@@ -25,3 +29,34 @@ def test_sign_test_takes_whole_counts(spark, tmp_path):
         n = w + l
         p = min(1.0, 2 * sum(math.comb(n, j) for j in range(max(w, l), n + 1)) / 2**n)
         assert got[u] == (w, l, round(p, 6))
+
+
+def best_pair(rows, wrong, ask, miss, escalate):
+    """The reference's search: every pair of candidates, the first best one."""
+    known = [k for k, _ in rows if k is not None]
+    tries = sorted({0, *known, max(known) + 1})
+
+    def cost(a, b):
+        return sum(ask + miss * (1 - c) if k is None else escalate if k < a else wrong * (1 - c) if k >= b else ask + miss * (1 - c) for k, c in rows)
+
+    total, a, b = min((round(cost(a, b), 6), a, b) for a in tries for b in tries if a <= b)
+    return a, b, total / len(rows)
+
+
+def test_choose_thresholds_searches_every_value(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, int(rng.random() < k / 100)) for k in range(100) for _ in range(4)] + [(None, 1), (None, 0)]
+    rows += [(k, 1) for k in range(83, 100) for _ in range(90)]
+    frame = spark.createDataFrame(rows, "k int, correct int")
+    seen = set()
+    for costs in ((20.0, 0.5, 4.0, 3.0), (20.0, 0.5, 0.0, 3.0), (5.0, 2.0, 4.0, 1.5)):
+        got = calibration.choose_thresholds(frame, "k", *costs).first()
+        want = best_pair(rows, *costs)
+        assert (got.esc, got.act) == want[:2] and got.cost == pytest.approx(want[2])
+        seen |= set(want[:2])
+    assert any(x % 10 for x in seen)
+    assert calibration.choose_thresholds(frame.limit(0), "k", 20.0, 0.5, 4.0, 3.0).count() == 0
+    kept = [(k, c) for k, c in rows if k is not None]
+    got = catalogue.QUERIES["choose_thresholds"](spark, events(spark, tmp_path, [(1, *r) for r in kept])).first()
+    want = best_pair(kept, 20.0, 0.5, 0.0, 3.0)
+    assert (got.esc, got.act, got.cost) == (*want[:2], round(want[2], 9)) and got.act % 10

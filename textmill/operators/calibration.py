@@ -56,6 +56,33 @@ def choose_threshold(df: DataFrame, wrong: float, abstain: float) -> DataFrame:
     return every.agg(F.min(F.struct(F.round("cost", 12).alias("cost"), "threshold")).alias("b")).select("b.threshold", "b.cost")
 
 
+def choose_thresholds(df: DataFrame, by: str, wrong: float, ask: float, miss: float, escalate: float) -> DataFrame:
+    """(esc, act, cost): escalate below esc, act from act on, ask between, at the least mean cost; ties to the smallest esc, then act.
+
+    df: a whole number by and correct, 0 or 1. Acting costs wrong if it errs, asking costs ask, and miss more if it
+    errs; rows without by are asked about. Candidates are all values of by, 0 and one above the largest. A pair's cost is a
+    sum over the values below esc plus one over those around act, so the best esc up to each act is a running
+    minimum over the counts of distinct values, and no pair is built. An empty df gives an empty result."""
+    counts = df.groupBy(F.col(by).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum(1 - F.col("correct")).alias("_e"))
+    asked = ask * F.col("_n") + miss * F.col("_e")
+    blank = F.col("_v").isNull()
+    whole = counts.agg(
+        F.sum("_n").alias("_all"), F.coalesce(F.sum(F.when(blank, asked)), F.lit(0.0)).alias("_blank"), F.max("_v").alias("_top")
+    ).filter("_all IS NOT NULL")
+    ends = whole.select(F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.coalesce(F.col("_top") + 1, F.lit(0))))).alias("_v"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_e"))
+    values = counts.filter(~blank).unionByName(ends).groupBy("_v").agg(F.sum("_n").alias("_n"), F.sum("_e").alias("_e"))
+    below = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.orderBy("_v").rowsBetween(0, Window.unboundedFollowing)
+    before = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0.0))
+    sums = values.select(
+        "_v", F.round(before(escalate * F.col("_n") - asked), 6).alias("_low"), F.round(before(asked) + F.sum(wrong * F.col("_e")).over(onward), 6).alias("_high")
+    )
+    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = sums.withColumn("_b", F.min(F.struct("_low", "_v")).over(upto)).select(F.round(F.col("_b._low") + F.col("_high"), 6).alias("_cost"), F.col("_b._v").alias("esc"), F.col("_v").alias("act"))
+    best = pairs.agg(F.min(F.struct("_cost", "esc", "act")).alias("b"))
+    return best.join(F.broadcast(whole)).select("b.esc", "b.act", ((F.col("b._cost") + F.col("_blank")) / F.col("_all")).alias("cost"))
+
+
 def rate_with_error(condition: Column, name: str) -> list[Column]:
     """n, the rate and its standard error sqrt(r (1 - r) / n); null without rows."""
     x = condition.cast("double")

@@ -33,20 +33,9 @@ def apply_thresholds(t):
     cost AS (SELECT esc, act, round(sum(CASE WHEN k >= act THEN e * 20.0 WHEN k < esc THEN n * 3.0 ELSE n * 0.5 END) / sum(n), 9) AS cost FROM pair, g GROUP BY esc, act)
     SELECT esc, act, cost FROM cost ORDER BY cost, esc, act LIMIT 1""")
 def choose_thresholds(t):
-    """The best pair of thresholds on a grid of tenths: three sums of a histogram by k for every pair."""
-    g = rec(t).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("e"))
-    entry = g.agg(F.collect_list(F.struct("k", "n", "e")).alias("h"), F.sum("n").alias("all"))  # k has 100 values
-    grid = [(a, b) for a in range(0, 101, 10) for b in range(a, 101, 10)]
-
-    def cost(p):
-        def one(x):
-            return F.when(x["k"] >= p["act"], x["e"] * 20.0).when(x["k"] < p["esc"], x["n"] * 3.0).otherwise(x["n"] * 0.5)
-
-        return F.round(A.total(F.transform("h", one)) / F.col("all"), 9)
-
-    options = F.array(*(F.struct(F.lit(a).cast("long").alias("esc"), F.lit(b).cast("long").alias("act")) for a, b in grid))
-    best = F.array_min(F.transform(options, lambda p: F.struct(cost(p).alias("cost"), p["esc"].alias("esc"), p["act"].alias("act"))))
-    return entry.select(best.alias("b")).select("b.esc", "b.act", "b.cost")
+    """The best pair of thresholds among all observed k, 0 and one above the largest."""
+    best = C.choose_thresholds(rec(t).select("k", "correct"), "k", wrong=20.0, ask=0.5, miss=0.0, escalate=3.0)
+    return best.select("esc", "act", F.round("cost", 9).alias("cost"))
 
 
 @query("proper_score_curve", "SELECT q, p, round(p * (1 - q) * (1 - q) + (1 - p) * q * q, 6) AS brier FROM (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS q), (SELECT unnest([0.2, 0.7])::DOUBLE AS p)")
