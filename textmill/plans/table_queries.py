@@ -94,8 +94,15 @@ def recall_at_k(t):
 
 @query("unique_sentences", "SELECT page_id, (length(html) - length(replace(html, '</p>', ''))) // 4 = 1 AS once, instr(html, '</p>') AS at FROM pages")
 def unique_sentences(t):
-    times = F.expr("(length(html) - length(replace(html, '</p>', ''))) div 4")
-    return t("pages").select("page_id", (times == 1).alias("once"), F.instr("html", "</p>").cast("long").alias("at"))
+    """Sentences of 12 to 40 words that the whole text of their document holds exactly once, with their place from 1.
+
+    Paragraphs of markup, formulas and code have none. A sentence that white space other than one space interrupts is not in the text as it reads here."""
+    prose = F.filter(F.split("text", "\n\n"), lambda p: ~p.rlike(r"^(?:[#|$\-`!]|1\.)") & ~p.contains("$") & ~p.contains("`"))
+    parts = F.flatten(F.transform(prose, lambda p: X.sentences(X.collapse(p))))
+    sized = F.array_distinct(F.filter(parts, lambda s: F.size(F.split(s, " ")).between(12, 40)))
+    rows = t("documents").select("doc_id", "text", sized.alias("parts")).withColumn("parts", F.expr("transform(parts, s -> struct(instr(text, s) AS at, s AS sentence))"))
+    once = F.expr("filter(parts, x -> x.at > 0 AND locate(x.sentence, text, x.at + length(x.sentence)) = 0)")
+    return rows.select("doc_id", F.explode(once).alias("x")).select("doc_id", F.col("x.at").cast("long").alias("at"), "x.sentence")
 
 
 # -- quality
