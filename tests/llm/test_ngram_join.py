@@ -10,11 +10,13 @@ from textmill.llm.components import connected_components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(rows):
-    sets = []
-    for _, t in rows:
-        words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
-        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -64,32 +66,83 @@ def test_components_equal_brute_force(spark, monkeypatch, short, frequent):
     assert kept == sorted({c for _, _, c in brute(rows)})
 
 
-def test_empty_table_and_repeated_rows(spark):
+def test_empty_table_repeats_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     assert J.jaccard_components(docs.limit(0)).count() == 0
+    assert J.one_of_each(docs.limit(0)).count() == 0
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()) == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words), " ".join(words[:56]), " ".join(words[:52])]  # the middle one holds the ends together
+    rows = [(1, chain[0], "x"), (None, chain[1], "y"), (3, chain[2], "z"), (None, "w1 " * 9, "q"), (None, None, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()}
+    assert got == {(1, 56, 1), (None, 52, 1), (3, 48, 1), (None, 1, None), (None, 0, None)}
+    assert sorted((r.doc_id or 0, r.node) for r in J.one_of_each(docs).collect()) == [(0, "q"), (0, "r"), (0, "y"), (1, "x")]
+
+
+def test_links_equal_brute_force(spark):
+    rows = sample(8, 6, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links, membership = J.jaccard_links(docs)
+    sets = {k: frozenset(shingles(t)) for k, t in rows}
+    least = {}
+    for k, s in sorted(sets.items(), reverse=True):
+        least[s] = k
+    want = set()
+    for s, a in least.items():
+        for t, b in least.items():
+            if a < b and s and 100 * len(s & t) >= 75 * len(s | t):
+                want.add((a, b, len(s), len(t), len(s & t)))
+    assert {tuple(sorted(((r.a, r.n_a), (r.b, r.n_b)))) + (r.shared,) for r in links.collect()} == {((a, n), (b, m), x) for a, b, n, m, x in want}
+    assert {(r.doc_id, r.class_id, r.n_shingles) for r in membership.collect()} == {(k, least[s] if s else None, len(s)) for k, s in sets.items()}
+
+
+def templates(n):
+    """Texts that share 160 of 196 words, alike to just under the limit."""
+    shared = [f"s{i}" for i in range(160)]
+    return [(i, " ".join(shared + [f"u{i}x{k}" for k in range(36)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_templates_below_the_limit_give_few_candidates(spark, n):
+    docs = spark.createDataFrame(templates(n), "doc_id long, text string").coalesce(2).select("doc_id", "text")
+    _, _, pairs, members, _, _ = J._candidates(docs, None)
+    assert pairs.count() + members.count() <= n
+    assert all(r.component_id == r.doc_id for r in J.jaccard_components(docs).collect())
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            copy[rng.randrange(120)] = f"x{rng.randint(0, 9999)}"
+        rows.append((i, " ".join(copy)))
+    rows.append((900, "very " * 50 + "long " * 50_000 + " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = J.jaccard_components(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
-def test_bitmaps_never_overstate_the_difference():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        a = np.unique(rng.integers(0, 400, rng.integers(1, 300))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        b = np.unique(rng.integers(0, 400, rng.integers(1, 300))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        a, b = np.sort(a), np.sort(b)
-        assert J.least_difference(J.bitmap(a), J.bitmap(b)) <= len(np.setxor1d(a, b))
-
-
-def test_linked_sets_share_a_key():
+def test_linked_sets_meet_with_room():
     rng = np.random.default_rng(2)
-    none = np.zeros(0, np.uint64)
-    for _ in range(400):
-        n = int(rng.integers(3, 60))
+    met = 0
+    for _ in range(600):
+        n = int(rng.integers(3, 90))
         a = np.unique(rng.integers(1, 1 << 62, n)).astype(np.uint64)
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(1, 1 << 62, rng.integers(0, 5)).astype(np.uint64)]))
-        shared = len(np.intersect1d(a, b))
-        if J.linked(shared, len(a), len(b)) and len(np.setxor1d(a, b)):
-            for boundary in (2, 8, 24, 64):
-                assert len(np.intersect1d(J.keys_of(a, none, boundary), J.keys_of(b, none, boundary)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(1, 1 << 62, rng.integers(0, 5)).astype(np.uint64)]))
+        often = np.unique(rng.choice(a, len(a) // 2))
+        for order in (J.NO_ORDER, J.Order(often, rng.permutation(len(often)).astype(np.int32))):
+            shared = len(np.intersect1d(a, b))
+            if J.linked(shared, len(a), len(b)) and len(np.setxor1d(a, b)):
+                met += 1
+                for boundary in (2, 8, 24, 64):
+                    (ka, pa), (kb, pb) = J.keys_of(a, order, boundary), J.keys_of(b, order, boundary)
+                    _, i, j = np.intersect1d(ka, kb, return_indices=True)
+                    assert J.room(len(a), pa[i], len(b), pb[j]).any()
+    assert met > 100
 
 
 def test_connected_components_of_a_chain(spark):

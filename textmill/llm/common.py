@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,19 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under spark.checkpoint.dir; only where that is unset and all is on one machine, a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="textmill-"))
-        root = root if "://" in root else f"file://{root}"
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='textmill-')}"
+        root = _OWN[context.applicationId]
     return f"{root.rstrip('/')}/textmill-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}-{tag}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor.
+
+    The shuffle files of the job go when it has ended, as nothing can read them any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}-{tag}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -61,3 +74,43 @@ def slices(texts: list[str], limit: int = 4_000_000):
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Log2 of the rows of a bitmap of keys: 64 bits each, 1,048,576 rows at most, whatever the number of keys.
+BITMAP_ROWS = 20
+#: Groups with more than this share of all rows are hot; there are fewer than its inverse.
+HOT_SHARE = 0.001
+
+
+def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(_word, _bits): a bitmap of the long column key, small enough to broadcast. If it fills up, rows_that_may_hold
+    keeps more rows than it need, never fewer."""
+    word = F.shiftrightunsigned(key, 64 - BITMAP_ROWS).alias("_word")
+    return keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS int))")).alias("_bits"))
+
+
+def _marked(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    word = F.shiftrightunsigned(key, 64 - BITMAP_ROWS)
+    hit = F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS int))")) != 0
+    return rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
+
+
+def rows_that_may_hold(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose key may be in the bitmap; nothing is shuffled."""
+    return _marked(rows, key, bitmap).filter("_hit").drop("_word", "_bits", "_hit")
+
+
+def rows_without(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose key is not in the bitmap."""
+    return _marked(rows, key, bitmap).filter("NOT _hit").drop("_word", "_bits", "_hit")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with one row of groups for each value of keys, where size is the number of rows of a group.
+
+    Groups with more than HOT_SHARE of the total rows are fewer than 1 / HOT_SHARE: they are broadcast, so no task
+    gathers their rows. how: inner or left."""
+    limit = HOT_SHARE * total
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(size) <= limit), keys, how)
+    return rows.join(hot, keys).unionByName(rest)

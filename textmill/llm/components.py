@@ -37,10 +37,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    while not _finished(now):
+    while not now.isEmpty() and not _finished(now):
         step = materialize(_small_star(_large_star(now)), "edges")
         discard(now)
         now = step
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def extended(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """components (node, component) after more edges (u, v): only the components that these join are worked on."""
+    label = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    ends = edges.join(label("u"), "u", "left").join(label("v"), "v", "left")
+    ends = ends.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    joined = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("_c"))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(components, "node", "left_anti")
+    whole = components.select("node", "component").unionByName(nodes.select("node", F.col("node").alias("component")))
+    return whole.join(joined, "component", "left").select("node", F.coalesce("_c", "component").alias("component"))

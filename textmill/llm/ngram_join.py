@@ -5,44 +5,47 @@ Two sets with Jaccard similarity of at least t share, in any global order of shi
 meet in equal subsets; heavy (large) sets scan inverted lists of single prefix shingles, in which the light sets
 near to them in size stand too. The boundary between light and heavy is where the summed cost of enumeration and of
 scanning, computed from the distribution of set sizes and the list lengths seen, is least. The global order puts
-shingles that are frequent in the corpus last, so that passages that many documents share seldom stand in a prefix;
-the order only decides how many candidates there are, never which links are found.
-
-Candidates are first compared by parity bitmaps, whose Hamming distance never exceeds the true difference of the
-sets, then exactly. Identical sets are one class from the start. A list of up to SHORT_LIST classes gives all its
-pairs. In longer lists every class is compared with a few pivots, and classes that stay in other components are
-compared through the triangle inequality for the size of the symmetric difference, so that no list gives all its
-pairs and yet no link between components is lost.
+shingles that are frequent in the corpus last, the most frequent ones at the end, so that passages that many documents
+share seldom stand in a prefix; the order only decides how many candidates there are, never which links are found.
+
+A posting carries the set's size and the key's place in the order. Two sets meet as candidates only where sizes and
+places leave room for a link: under the first shingle that both have, they always do. Identical sets are one class from
+the start. A list of up to SHORT_LIST classes gives all such pairs. In a longer list each class is first compared with
+one pivot, the class in which the key stands first and which therefore has the fewest rarer shingles. If the list then
+holds several components, its members are compared with a pivot of each other component, and at last with all members
+of other components that sizes and places leave open: no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, materialize, slices
-from textmill.llm.components import connected_components
+from textmill.llm.common import discard, materialize
+from textmill.llm.components import extended
+from textmill.llm.shingles import shingle_sets
 
-SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Shingles seen more often than FREQUENT stand last in the order; at most MOST_FREQUENT of them are broadcast (8 MB).
-FREQUENT, MOST_FREQUENT = 20, 1_000_000
-#: Lists of up to so many classes give all their pairs; in longer ones every class is compared with so many pivots.
-SHORT_LIST, PIVOTS = 16, 8
+#: Shingles seen more often than FREQUENT stand last in the order; at most MOST_FREQUENT of them are broadcast (16 MB).
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
+#: Lists of up to so many classes give all their pairs.
+SHORT_LIST = 16
 #: Cost of comparing a candidate pair, where that of writing a posting is 1.
 PAIR_COST = 4.0
+#: Largest light size that the cost model considers.
+MOST_LIGHT = 256
 #: Shingles counted together in a task before those seen once are dropped.
 COUNT_TOGETHER = 4_000_000
+#: Partners of one set that are compared in one task; more are dealt over several.
+PARTNERS = 512
+#: Log2 of the 64-bit words of the bitmap of classes to compare (2 MB); if it fills, more sets than needed are built.
+BITMAP = 18
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _C = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.uint64(1 << 63)
 
@@ -52,49 +55,23 @@ def needed(n: int) -> int:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def most_difference(total) -> Column | int:
-    """Largest symmetric difference of two linked sets whose sizes sum to total: from 100 i >= 75 (s - i)."""
-    return (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)
-
-
-def linked(shared: int, a: int, b: int) -> bool:
+def linked(shared, a, b):
+    """Whether sets of a and b shingles that share so many link."""
     return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def room(n_a, at_a, n_b, at_b):
+    """Whether two sets may link that share the shingle at these places, if they share none before: the rest of the
+    smaller remainder would be the intersection. For numbers, arrays and columns alike."""
+    rest_a, rest_b = n_a - at_a, n_b - at_b
+    fits = lambda rest: (DENOMINATOR + NUMERATOR) * rest >= NUMERATOR * (n_a + n_b)
+    near = (DENOMINATOR * n_a >= NUMERATOR * n_b) & (DENOMINATOR * n_b >= NUMERATOR * n_a)
+    return near & fits(rest_a) & fits(rest_b)
 
 
-class Shingler:
-    """Shingle sets as sorted arrays of 64-bit hashes; remembers the hashes of words."""
-
-    def __init__(self, remember: int = 400_000):
-        self.words, self.remember = _Hashes(), remember
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > self.remember:
-            self.words.clear()
-        get = self.words.__getitem__
-        out = []
-        for text in texts:
-            found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
-            h = np.fromiter(map(get, found), np.uint64, len(found))
-            if not len(h):
-                out.append(h)
-                continue
-            n = min(SHINGLE, len(h))
-            rolled = np.full(len(h) - n + 1, np.uint64(n))
-            for j in range(n):
-                rolled = rolled * _C + h[j : len(h) - n + 1 + j]
-            out.append(np.unique(_mix(rolled)))
-        return out
+def largest_partner(n: Column, at: Column) -> Column:
+    """The size of the largest set that may link to a set of n under the key at this place."""
+    return F.floor((DENOMINATOR + NUMERATOR) * (n - at) / NUMERATOR).cast("long") - n
 
 
 def digest(values: np.ndarray, seed: int) -> tuple[int, int]:
@@ -103,65 +80,62 @@ def digest(values: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each slot; a power of two of slots, at least two for each shingle."""
-    slots = max(64, 1 << int(2 * len(values) - 1).bit_length())
-    parity = np.bincount((values & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-    return np.packbits(parity.astype(np.uint8)).tobytes()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
 
+class Order:
+    """The global order of shingles: those of a table of frequent ones last, by rank; the others before, by hash."""
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference of two sets from their bitmaps."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, size = int.from_bytes(a), len(a)
-    while size > len(b):  # the upper half of the slots falls on the lower one
-        size //= 2
-        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
-    return (x ^ int.from_bytes(b)).bit_count()
+    def __init__(self, frequent: np.ndarray, rank: np.ndarray):
+        self.frequent, self.rank = frequent, rank
 
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return values
+        at = np.minimum(np.searchsorted(self.frequent, values), len(self.frequent) - 1)
+        often = self.frequent[at] == values
+        late = values[often]
+        return np.concatenate([values[~often], late[np.argsort(self.rank[at[often]], kind="stable")]])
 
-def ordered(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A set in the global order: frequent shingles last, else by hash."""
-    if not len(frequent):
-        return values
-    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-    often = frequent[at] == values
-    return np.concatenate([values[~often], values[often]])
 
+NO_ORDER = Order(np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
-def keys_of(values: np.ndarray, frequent: np.ndarray, boundary: int) -> np.ndarray:
-    """The keys under which a set meets others: subsets of two if light, single shingles if heavy or nearly so."""
+
+def keys_of(values: np.ndarray, order: Order, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set meets others, and their places: subsets of two if it is light, single shingles if it
+    is heavy or nearly so. A subset's place is one before that of its second shingle, as the first is shared too."""
     n = len(values)
     if n <= 2:
-        return np.zeros(0, np.uint64)  # such sets link only to identical ones
-    first = ordered(values, frequent)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)  # such sets link only to identical ones
     spare = n - needed(n)
-    out = []
+    first = order(values)[: spare + 2]
+    keys, places = [], []
     if n <= boundary:
-        prefix = first[: min(n, spare + 2)]
-        i, j = np.triu_indices(len(prefix), 1)
-        low, high = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
-        out.append(_mix(low * _C + high) | _FAR)
+        i, j = np.triu_indices(len(first), 1)
+        low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
+        keys.append(_mix(low * _C + high) | _FAR)
+        places.append(j - 1)
     if n > boundary or DENOMINATOR * n >= NUMERATOR * (boundary + 1):
-        out.append(first[: spare + 1] & ~_FAR)
-    return np.concatenate(out)
+        keys.append(first[: spare + 1] & ~_FAR)
+        places.append(np.arange(spare + 1))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def choose_boundary(sizes: dict[int, int], met: float) -> int:
     """The largest light size, so that enumerating and scanning cost least; met: other classes met in a list by a
-    posting on average."""
+    posting on average. sizes: number of sets by size, where larger ones than MOST_LIGHT may count as one more."""
     scan = 1 + PAIR_COST * met
     best, cheapest = 2, None
-    for boundary in range(2, 65):
+    for boundary in range(2, MOST_LIGHT + 1):
         cost = 0.0
         for n, count in sizes.items():
             if n <= 2:
                 continue
             spare = n - needed(n)
             if n <= boundary:
-                p = min(n, spare + 2)
-                cost += count * p * (p - 1) / 2
+                cost += count * (spare + 2) * (spare + 1) / 2
             if n > boundary or DENOMINATOR * n >= NUMERATOR * (boundary + 1):
                 cost += count * (spare + 1) * scan
         if cheapest is None or cost < cheapest:
@@ -172,334 +146,342 @@ def choose_boundary(sizes: dict[int, int], met: float) -> int:
 # -- passes over the texts
 
 
-def _texts(batches):
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for start, stop in slices(texts):
-            yield batch.column(0).slice(start, stop - start), texts[start:stop]
+def _longs(values) -> pa.Array:
+    return pa.array(values, pa.int64())
 
 
 def _describe(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, node2, bitmap) of every row, and (shingle, count) of shingles that a task saw twice."""
+    """(doc_id, n, node, node2) of every row, and (shingle, seen) of shingles that a task saw twice."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, node long, node2 long, bitmap binary, shingle long, seen long"
+    names = ["doc_id", "n", "node", "node2", "shingle", "seen"]
+    schema = f"doc_id {kind}, n long, node long, node2 long, shingle long, seen long"
 
     def run(batches):
-        shingler, met, held, size = Shingler(), set(), [], 0
+        met, held, size = set(), [], 0
 
-        def repeated():
+        def repeated(kind):
             values, seen = np.unique(np.concatenate(held), return_counts=True)
             values, seen = values[seen > 1], seen[seen > 1]
-            none = lambda t: pa.nulls(len(values), t)
-            return pa.RecordBatch.from_arrays(
-                [none(ids.type), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(values.view(np.int64)), pa.array(seen, pa.int64())],
-                ["doc_id", "n", "node", "node2", "bitmap", "shingle", "seen"],
-            )
-
-        for ids, texts in _texts(batches):
-            sets = shingler.sets(texts)
-            nodes = [digest(s, seed) if len(s) else (None, None) for s in sets]
-            for s, node in zip(sets, nodes, strict=True):
-                if len(s) > 2 and node not in met:  # copies count once
-                    met.add(node)
-                    held.append(s)
-                    size += len(s)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(map(len, sets), pa.int64()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64()),
-                 pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
-                ["doc_id", "n", "node", "node2", "bitmap", "shingle", "seen"],
-            )
-            if size > COUNT_TOGETHER:
-                yield repeated()
-                held, size = [], 0
+            none = pa.nulls(len(values), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), none, none, none, _longs(values.view(np.int64)), _longs(seen)], names)
+
+        for batch in batches:
+            ids = batch.column(0)
+            for start, stop, sets in shingle_sets(batch.column(1)):
+                nodes = [digest(s, seed) if len(s) else (None, None) for s in sets]
+                for s, node in zip(sets, nodes, strict=True):
+                    if len(s) > 2 and node not in met:  # copies count once
+                        met.add(node)
+                        held.append(s)
+                        size += len(s)
+                none = pa.nulls(len(sets), pa.int64())
+                own = [ids.slice(start, stop - start), _longs([len(s) for s in sets]), _longs([a for a, _ in nodes]), _longs([b for _, b in nodes])]
+                yield pa.RecordBatch.from_arrays([*own, none, none], names)
+                if size > COUNT_TOGETHER:
+                    yield repeated(ids.type)
+                    held, size = [], 0
         if held:
-            yield repeated()
+            yield repeated(ids.type)
 
     found = materialize(docs.mapInArrow(run, schema), "described")
-    rows = found.filter("n IS NOT NULL").select("doc_id", "n", "node", "node2", "bitmap")
+    rows = found.filter("n IS NOT NULL").select("doc_id", "n", "node", "node2")
     return rows, found.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen"))
 
 
-def _postings(docs: DataFrame, frequent, boundary: int, seed: int) -> DataFrame:
-    """(key, node): each set once per task."""
+def _postings(docs: DataFrame, order, boundary: int, seed: int) -> DataFrame:
+    """(key, node, n, at): each set once per task."""
 
     def run(batches):
-        often = frequent.value
-        shingler, met = Shingler(), set()
-        for _, texts in _texts(batches):
-            keys, owner = [], []
-            for s in shingler.sets(texts):
-                if len(s) <= 2:
-                    continue
-                node = digest(s, seed)[0]
-                if node not in met:
-                    met.add(node)
-                    own = keys_of(s, often, boundary)
-                    keys.append(own)
-                    owner.append(np.full(len(own), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "node"])
-
-    return docs.mapInArrow(run, "key long, node long")
+        met = set()
+        for batch in batches:
+            for _, _, sets in shingle_sets(batch.column(1)):
+                out: tuple[list, ...] = ([], [], [], [])
+                for s in sets:
+                    if len(s) <= 2:
+                        continue
+                    node = digest(s, seed)[0]
+                    if node not in met:
+                        met.add(node)
+                        keys, places = keys_of(s, order.value, boundary)
+                        for o, x in zip(out, (keys.view(np.int64), np.full(len(keys), node, np.int64), np.full(len(keys), len(s), np.int32), places.astype(np.int32)), strict=True):
+                            o.append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["key", "node", "n", "at"])
+
+    return docs.mapInArrow(run, "key long, node long, n int, at int")
+
+
+def _near_pairs(keys: np.ndarray, nodes: np.ndarray, n: np.ndarray, at: np.ndarray, short: int) -> tuple[list, list, np.ndarray]:
+    """From whole lists sorted by key: the candidate pairs (a, b) of short lists, and the rows that are in long ones."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    length = np.diff(np.append(start, len(keys)))
+    of = np.repeat(length, length)
+    some = np.flatnonzero((of > 1) & (of <= short))
+    a, b = [], []
+    for step in range(1, short):
+        i = some[: len(some) - step]
+        j = some[step:]
+        same = keys[i] == keys[j]
+        if not same.any():
+            break
+        i, j = i[same], j[same]
+        fit = room(n[i], at[i], n[j], at[j])
+        a.append(np.minimum(nodes[i], nodes[j])[fit])
+        b.append(np.maximum(nodes[i], nodes[j])[fit])
+    return a, b, np.flatnonzero(of > short)
 
 
 def _lists(postings: DataFrame, parts: int) -> DataFrame:
-    """From postings sorted by key, in a stream of bounded memory: (key null, a, b) for each pair in a short list, and
-    (key, a) for each member of a long one."""
-
-    def flush(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "a", "b"])
+    """From postings sorted by key, in a stream of bounded memory: (key null, a, b) for each candidate pair in a short
+    list, and (key, a, n, at) for each member of a long one."""
+    names, short = ["key", "a", "b", "n", "at"], SHORT_LIST
 
     def run(batches):
-        now, members, long = None, [], False
-        out: tuple[list, list, list] = ([], [], [])
-
-        def close():
-            if long:
-                return
-            for i, a in enumerate(members):
-                for b in members[i + 1 :]:
-                    out[0].append(None)
-                    out[1].append(a)
-                    out[2].append(b)
+        def pairs(a, b):
+            code = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+            none = pa.nulls(code.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(code[0]), pa.array(code[1]), none.cast(pa.int32()), none.cast(pa.int32())], names)
+
+        def members(rows):
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[2]), pa.array(rows[3])], names)
 
+        rest, long = None, None
         for batch in batches:
-            keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            # Rows that are alone under their key inside the batch need no look.
-            same = keys[1:] == keys[:-1]
-            alone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-            if len(alone):
-                alone[0] = alone[-1] = False
-            for key, node in zip(keys[~alone].tolist(), nodes[~alone].tolist(), strict=True):
-                if key != now:
-                    close()
-                    now, members, long = key, [node], False
-                    continue
-                if node == members[-1]:
-                    continue
-                members.append(node)
-                if not long and len(members) > SHORT_LIST:
-                    long = True
-                    for m in members:
-                        out[0].append(key)
-                        out[1].append(m)
-                        out[2].append(None)
-                    members = members[-1:]
-                elif long:
-                    out[0].append(key)
-                    out[1].append(node)
-                    out[2].append(None)
-                    members = [node]
-            if len(out[0]) > 20_000:
-                yield flush(out)
-                out = ([], [], [])
-        close()
-        if out[0]:
-            yield flush(out)
+            now = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            new = np.ones(len(now[0]), bool)  # the same class from several tasks counts once
+            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
+            now = [x[new] for x in now]
+            if long is not None:
+                stop = int(np.searchsorted(now[0], long, "right"))
+                if stop:
+                    yield members([x[:stop] for x in now])
+                now = [x[stop:] for x in now]
+            if not len(now[0]):
+                rest = None
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1], "left"))
+            long, rest = None, [x[last:] for x in now]
+            if len(rest[0]) > short:
+                yield members(rest)
+                long, rest = int(rest[0][0]), None
+            a, b, far = _near_pairs(*(x[:last] for x in now), short) if last else ([], [], [])
+            if len(far):
+                yield members([x[far] for x in now])
+            if a:
+                yield pairs(a, b)
+        if rest is not None:
+            a, b, _ = _near_pairs(*rest, short)
+            if a:
+                yield pairs(a, b)
 
     dealt = postings.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "key long, a long, b long")
+    return dealt.mapInArrow(run, "key long, a long, b long, n int, at int")
 
 
 # -- comparisons
 
 
-def _with_bitmaps(pairs: DataFrame, classes: DataFrame, near: bool = True) -> DataFrame:
-    """pairs (a, b, ...) with n_a, n_b and low, a lower bound of their difference; if near, only those that may link."""
-    of = lambda side: classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bits_{side}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    if near:
-        joined = joined.filter(
-            (DENOMINATOR * F.col("n_a") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n_a"))
-        )
-    kept = [c for c in joined.columns if not c.startswith("bits_")]
-    schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in kept) + ", low long"
-    joined = joined.select(*kept, "bits_a", "bits_b")
-    at_a, at_b = kept.index("n_a"), kept.index("n_b")
+def _compare(pairs: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """The pairs (a, b) that link, with the size of the intersection and of both sets.
 
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            low = np.fromiter(map(least_difference, left, right), np.int64, len(left))
-            out = pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(low)], [*kept, "low"])
-            if near:
-                total = batch.column(at_a).to_numpy() + batch.column(at_b).to_numpy()
-                out = out.filter(pa.array(low <= most_difference(total)))
-            yield out
-
-    return joined.mapInArrow(run, schema)
-
-
-def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """The pairs (a, b) that link, with their exact difference. Only the texts of classes in a pair are read again."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(wanted, "node", "left_semi").select("node", "rep")
-    ids = materialize(wanted, "wanted")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    Only sets of classes in a pair are built, by a bitmap of their hashes; each is sent once, and once more for every
+    pair. Sets with many partners are copied, so that no task compares more than some PARTNERS with one."""
+    ends = F.explode(F.array("a", "b"))
+    word = F.shiftrightunsigned("node", 64 - BITMAP)
+    bits = pairs.select(ends.alias("node")).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 AS int))")).alias("bits"))
+    found = bits.toArrow()
+    bitmap = np.zeros(1 << BITMAP, np.uint64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(batches):
-        shingler = Shingler()
-        for doc_ids, texts in _texts(batches):
-            sets = shingler.sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array([digest(s, seed)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "node", "values"]
-            )
-
-    texts = docs.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(build, f"rep {kind}, node long, values binary").join(ids, ["rep", "node"], "left_semi")
-    sets = materialize(sets.select("node", "values").dropDuplicates(["node"]), "sets")
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("values").alias(f"set_{side}"))
+        met = set()
+        for batch in batches:
+            for _, _, sets in shingle_sets(batch.column(1)):
+                out: tuple[list, list] = ([], [])
+                for s in sets:
+                    if len(s) <= 2:
+                        continue
+                    node = digest(s, seed)[0]
+                    at = node & ((1 << 64) - 1)
+                    if node not in met and int(wanted.value[at >> (64 - BITMAP)]) >> (at & 63) & 1:
+                        met.add(node)
+                        out[0].append(node)
+                        out[1].append(s.tobytes())
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([_longs(out[0]), pa.array(out[1], pa.binary())], ["node", "values"])
+
+    # The side with more partners first: it is sent to the others, in copies if they are many.
+    uses = pairs.select(ends.alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
+    use_of = lambda side: uses.select(F.col("node").alias(side), F.col("uses").alias(f"uses_{side}"))
+    turned = pairs.select("a", "b").join(use_of("a"), "a").join(use_of("b"), "b")
+    more = F.col("uses_a") >= F.col("uses_b")
+    turned = turned.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("q"), F.greatest("uses_a", "uses_b").alias("uses"))
+    copies = F.floor(F.col("uses") / PARTNERS).cast("int")
+    turned = turned.select("p", "q", F.pmod(F.xxhash64("q"), copies + 1).cast("int").alias("copy"))
+    sets = docs.mapInArrow(build, "node long, values binary").groupBy("node").agg(F.first("values").alias("values"))
+    sets = materialize(sets.join(uses, "node"), "sets")
+    left = sets.select(F.col("node").alias("p"), F.explode(F.sequence(F.lit(0), copies)).alias("copy"), F.col("values").alias("set_p"))
+    right = sets.select(F.col("node").alias("q"), F.col("values").alias("set_q"))
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out = []
+            for p, q, x, y in zip(*batch.columns, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if linked(shared, len(x), len(y)):
-                    for o, v in zip(out, (a, b, len(x) + len(y) - 2 * shared), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["a", "b", "difference"])
+                    p, q = p.as_py(), q.as_py()
+                    out.append((p, q, shared, len(x), len(y)) if p < q else (q, p, shared, len(y), len(x)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([_longs(c) for c in columns], ["a", "b", "shared", "n_a", "n_b"])
 
-    joined = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
-    found = materialize(joined.mapInArrow(run, "a long, b long, difference long"), "links")
+    joined = turned.join(left, ["p", "copy"]).join(right, "q").select("p", "q", "set_p", "set_q")
+    links = materialize(joined.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long"), "links")
     discard(sets)
-    return found
-
-
-def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    of = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"_c{side}"))
-    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return joined.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, component): a cheap label that linked nodes often share, the least neighbour of the least neighbour."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    least = both.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("label"))
-    hop = least.select(F.col("node").alias("label"), F.col("label").alias("component"))
-    return least.join(hop, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    wanted.unpersist()
+    return links
 
 
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _long_lists(members: DataFrame, star: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """Components after all links inside long lists are known to join nothing more.
+def _pair(a: str = "a", b: str = "b") -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
 
-    members (key, node); star: verified links (a, b, difference) of a member a with a pivot b. Two members whose
-    pivots differ by more than their distances from these and the largest difference of a link cannot link."""
-    components = materialize(connected_components(_edges(links)), "components")
+def _open(members: DataFrame, components: DataFrame) -> DataFrame:
+    """members (key, node, n, at) with their component, of the lists that hold several."""
     labelled = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    pending = materialize(labelled.join(open_keys, "key", "left_semi"), "pending")
-    if pending.isEmpty():
-        return components
-    pivot = star.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct("b", "difference"), F.struct("difference", "b")).alias("_p"))
-    nodes = pending.select("node").distinct().join(pivot, "node", "left").join(classes.select("node", "n"), "node")
-    nodes = materialize(
-        nodes.select("node", F.coalesce("_p.b", "node").alias("pivot"), F.coalesce("_p.difference", F.lit(0)).alias("difference"), "n"), "pivots"
-    )
-    reach = nodes.groupBy("pivot").agg(F.max("difference").alias("radius"), F.max("n").alias("largest"))
-    seen = pending.join(nodes.select("node", "pivot"), "node").select("key", "pivot", "component").distinct()
-    other = seen.select("key", F.col("pivot").alias("b"), F.col("component").alias("_c"))
-    pairs = seen.withColumnRenamed("pivot", "a").join(other, "key").filter("a < b AND component <> _c").select("a", "b").distinct()
-    of = lambda side: reach.select(F.col("pivot").alias(side), F.col("radius").alias(f"radius_{side}"), F.col("largest").alias(f"largest_{side}"))
-    pairs = _with_bitmaps(pairs, classes, near=False).join(of("a"), "a").join(of("b"), "b")
-    close = F.expr(f"low - radius_a - radius_b <= ({DENOMINATOR - NUMERATOR} * (largest_a + largest_b)) div {DENOMINATOR + NUMERATOR}")
-    pairs = materialize(pairs.filter(close).select("a", "b"), "pivot_pairs")
-    if pairs.isEmpty():
-        return components
-    # Members of either pivot against the other pivot.
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    side = both.withColumnRenamed("a", "pivot").join(nodes.select("pivot", "node"), "pivot").select(F.col("node").alias("a"), "b", "pivot")
-    side = _with_bitmaps(side, classes, near=False).join(of("b"), "b")
-    close = F.expr(f"low - radius_b <= ({DENOMINATOR - NUMERATOR} * (n_a + largest_b)) div {DENOMINATOR + NUMERATOR}")
-    side = materialize(side.filter(close), "sides")
-    may = side.filter(F.expr(f"low <= ({DENOMINATOR - NUMERATOR} * (n_a + n_b)) div {DENOMINATOR + NUMERATOR}")).select("a", "b")
-    found = _compare(_apart(may, components), docs, classes, seed)
-    links = links.select("a", "b").unionByName(found.select("a", "b"))
-    components = materialize(connected_components(_edges(links)), "components")
-    # What is still apart: members against members.
-    left = _apart(side.filter("pivot < b").select("a", "b"), components)
-    full = left.withColumnRenamed("b", "pivot").join(nodes.select("pivot", F.col("node").alias("b")), "pivot").select("a", "b").distinct()
-    full = materialize(_with_bitmaps(_apart(full, components), classes).select("a", "b"), "rest")
-    if full.isEmpty():
-        return components
-    found = _compare(full, docs, classes, seed)
-    return connected_components(_edges(links.unionByName(found.select("a", "b"))))
+    several = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
+    return labelled.join(several, "key", "left_semi").select("key", "node", "n", "at", "component")
 
 
-def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs: the smallest doc_id that links reach.
+def _against(members: DataFrame, others: DataFrame) -> DataFrame:
+    """The candidate pairs of members with others of the same list and another component."""
+    other = others.select("key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("component").alias("_component"))
+    met = members.join(other, "key").filter(F.col("component") != F.col("_component"))
+    return met.filter(room(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"))).select(*_pair("node", "_node")).distinct()
 
-    Words are runs of characters other than space and U+0009 to U+000D, A-Z in lower case; a set holds the distinct
-    runs of five words, or all words as one if there are fewer. Two rows link if 100 * intersection >= 75 * union.
-    A null or empty text, or one without words, has no shingle, links to nothing and is its own component. Rows
-    repeated with equal text are one class and share a component; a row with null doc_id belongs to the class of its text,
-    and a class without any doc_id is compared with no other. Other columns are ignored, an empty table gives an empty result, and long
-    texts are read whole. parts: partitions of the inverted lists, by default one for every two of the input.
-    """
-    docs = docs.select("doc_id", "text")
+
+def _candidates(docs: DataFrame, parts: int | None):
+    """(rows, classes, pairs, members, seed): the descriptions of rows, the classes of equal sets, the candidate pairs
+    of short lists, and the members of long lists that may have a partner there."""
     seed = 0
     while True:  # a clash of two different sets in 64 bits calls for another salt
         rows, counts = _describe(docs, seed)
-        classes = rows.filter("n > 0").groupBy("node", "node2").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")
-        )
-        classes = materialize(classes, "classes")
+        classes = materialize(rows.filter("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
         if classes.groupBy("node").count().filter("count > 1").isEmpty():
             break
         seed += 1
     session = docs.sparkSession
-    often = counts.filter(F.col("seen") > FREQUENT).orderBy(F.desc("seen"), "shingle").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r.shingle for r in often.select("shingle").collect()], np.int64).view(np.uint64))
-    sizes = {r.n: r["count"] for r in classes.groupBy(F.least("n", F.lit(200)).alias("n")).count().collect()}
+    often = counts.filter(F.col("seen") > FREQUENT).orderBy(F.desc("seen"), "shingle").limit(MOST_FREQUENT).toArrow()
+    shingle, seen = often["shingle"].to_numpy().view(np.uint64), often["seen"].to_numpy()
+    rank = np.empty(len(seen), np.int32)
+    rank[np.lexsort((shingle, seen))] = np.arange(len(seen), dtype=np.int32)
+    by_hash = np.argsort(shingle)
+    order = Order(shingle[by_hash], rank[by_hash])
+    sizes = {r.n: r["count"] for r in classes.groupBy(F.least("n", F.lit(MOST_LIGHT + 1)).alias("n")).count().collect()}
     total = sum(n * c for n, c in sizes.items())
     met = counts.filter(F.col("seen") <= FREQUENT).agg(F.sum(F.col("seen") * (F.col("seen") - 1))).first()[0] or 0
     boundary = choose_boundary(sizes, met / max(1, total))
 
     parts = parts or max(int(session.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 2)
-    lists = _lists(_postings(docs, session.sparkContext.broadcast(frequent), boundary, seed), parts)
-    lists = materialize(lists, "lists")
-    short = lists.filter("key IS NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
-    members = lists.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
-    # The pivots of a list: the least under several hashes, which lists of much the same members share.
-    chosen = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS))))
-    pivots = members.groupBy("key").agg(F.array_sort(chosen).alias("_pivots"))
-    star = members.join(pivots, "key").select(F.col("node").alias("a"), "_pivots").distinct()
-    star = star.select("a", F.explode("_pivots").alias("b")).filter("a <> b").distinct()
-    near = _with_bitmaps(short, classes).select("a", "b", F.lit(False).alias("star"))
-    near = near.unionByName(_with_bitmaps(star, classes).select("a", "b", F.lit(True).alias("star")))
-    near = materialize(near, "near")
-
-    # One pair of each class first, and one with a pivot: most others then lie inside a component.
-    first = near.groupBy("a", "star").agg(F.min("b").alias("b")).select("a", "b").distinct()
-    links = _compare(first, docs, classes, seed)
-    more = materialize(_apart(near.select("a", "b").distinct(), materialize(_labels(links), "labels")), "apart")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(_compare(more, docs, classes, seed)), "links")
-    star_links = links.join(near.filter("star").select("a", "b"), ["a", "b"], "left_semi")
-    if members.isEmpty():
-        components = connected_components(_edges(links))
-    else:
-        components = _long_lists(members, star_links, links, docs, classes, seed)
+    sent = session.sparkContext.broadcast(order)
+    lists = materialize(_lists(_postings(docs, sent, boundary, seed), parts), "lists")
+    sent.unpersist()
+    pairs = lists.filter("key IS NULL").select("a", "b").distinct()
+    members = lists.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "at")
+    most = largest_partner(F.col("n"), F.col("at"))
+    spans = members.groupBy("key").agg(F.min("n").alias("_least"), F.max(most).alias("_most"))
+    members = members.join(spans, "key").filter((F.col("n") <= F.col("_most")) & (most >= F.col("_least"))).drop("_least", "_most")
+    members = materialize(members, "members")
+    return rows, classes, pairs, members, lists, seed
+
+
+def _labels(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """(node, component): a label that only linked nodes share, and that most of a component's nodes do: the least node
+    within so many links."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("_other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("_other")))
+    label = both.groupBy("node").agg(F.min("_other").alias("_m")).select("node", F.least("node", "_m").alias("component"))
+    for _ in range(rounds - 1):
+        near = both.join(label.withColumnsRenamed({"node": "_other", "component": "_c"}), "_other").groupBy("node").agg(F.min("_c").alias("_c"))
+        label = label.join(near, "node").select("node", F.least("component", "_c").alias("component"))
+    return label
+
+
+def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
+    """(node, component) of all classes with a link."""
+    first = lambda: F.min_by(F.struct("node", "n", "at", "component"), F.struct("at", F.xxhash64("node"), "node")).alias("_p")
+    alone = members.withColumn("component", F.col("node"))
+    star = _against(alone, alone.groupBy("key").agg(first()).select("key", "_p.*"))
+    done = materialize(pairs.unionByName(star).distinct(), "pairs")
+    links = _compare(done, docs, seed)
+    labels = materialize(_labels(links), "labels")
+    # With one pivot of each other component in the list first, then with whoever is still in another one.
+    for whole in (False, True):
+        left = materialize(_open(members, labels), "open")
+        others = left if whole else left.groupBy("key", "component").agg(first()).select("key", "_p.*")
+        todo = materialize(_against(left, others).join(done, ["a", "b"], "left_anti"), "todo")
+        if not todo.isEmpty():
+            links = materialize(links.unionByName(_compare(todo, docs, seed)), "links")
+            done = materialize(done.unionByName(todo), "pairs")
+            labels = materialize(_labels(links), "labels")
+        discard(left)
+    discard(done)
+    return materialize(extended(labels, _edges(links)), "components")
 
+
+def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: the smallest doc_id that links reach.
+
+    Words are runs of characters other than space and U+0009 to U+000D, A-Z in lower case; a set holds the distinct
+    runs of five words, or all words as one if there are fewer. Two rows link if 100 * intersection >= 75 * union.
+    A null or empty text, or one without words, has no shingle, links to nothing and is its own component. Rows
+    repeated with equal text are one class and share a component. A row with null doc_id links as any other; it never
+    names a component, and a component of such rows alone has a null component_id. Other columns are ignored, an empty
+    table gives an empty result, and long texts are read whole. parts: partitions of the inverted lists, by default one
+    for every two of the input.
+    """
+    docs = docs.select("doc_id", "text")
+    rows, classes, pairs, members, lists, seed = _candidates(docs, parts)
+    components = _components(docs, pairs, members, seed)
     named = classes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(names, "component").select("node", "component_id"), "named")
+    for old in (classes, lists, members, components):
+        discard(old)
     whole = rows.filter("n > 0").select("doc_id", "n", "node").join(named, "node", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
 
 
+def jaccard_links(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, membership): every link between different sets, also those inside a component.
+
+    links: a, b (doc_ids of the two classes' representatives, the smallest of each class), n_a, n_b, shared.
+    membership: doc_id, class_id (the representative; null for a row without shingles), n_shingles for each row of docs.
+    Nulls, empty texts and repeats are as in jaccard_components. All pairs that sizes and places leave open are compared,
+    so the work grows with the number of links inside groups; jaccard_components spares that."""
+    docs = docs.select("doc_id", "text")
+    rows, classes, pairs, members, _, seed = _candidates(docs, parts)
+    alone = members.withColumn("component", F.col("node"))
+    links = _compare(materialize(pairs.unionByName(_against(alone, alone)).distinct(), "pairs"), docs, seed)
+    rep = lambda side: classes.select(F.col("node").alias(f"_{side}"), F.col("rep").alias(side))
+    named = links.withColumnsRenamed({"a": "_a", "b": "_b"}).join(rep("a"), "_a").join(rep("b"), "_b").select("a", "b", "n_a", "n_b", "shared")
+    owned = rows.join(classes.select("node", F.col("rep").alias("class_id")), "node", "left")
+    return named, owned.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id.
+    """The rows of docs that stay, with all their columns: of each component the one with the smallest doc_id.
 
-    Rows that repeat this doc_id stay together, and so do rows without a doc_id, which can't be told apart."""
+    Rows that repeat this doc_id stay together. Rows without a doc_id can't be told apart: they stay. Rows without
+    words link to nothing and stay. An empty table gives an empty result."""
     found = jaccard_components(docs).filter("doc_id <> component_id")
     gone = found.select(F.col("doc_id").alias("_textmill_id")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_textmill_id")), "left_anti")
