@@ -54,10 +54,12 @@ def sample(seed, groups, copies, words=60):
     return [(3 * i + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("short", "frequent"), [(64, 20), (2, 1)])  # the second: nearly all lists are long
-def test_components_equal_brute_force(spark, monkeypatch, short, frequent):
+@pytest.mark.parametrize(("short", "frequent", "members"), [(64, 20, 1000), (2, 1, 4)])  # the second: nearly all lists are long
+def test_components_equal_brute_force(spark, monkeypatch, short, frequent, members):
     monkeypatch.setattr(J, "SHORT_LIST", short)
     monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "MEMBERS", members)
+    monkeypatch.setattr(J, "PARTNERS", members)
     rows = sample(5, 12, 9)
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, n int, component_id int")
     got = J.jaccard_components(docs.repartition(3)).collect()
@@ -126,6 +128,18 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_sketches_never_miss_a_link():
+    rng = np.random.default_rng(4)
+    for n in (3, 40, 700, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+        x, y = J.from_sketch(J.sketch(a)), J.from_sketch(J.sketch(b))
+        assert (x == (a >> np.uint64(40))).all() and len(y) == len(b)
+        true = len(np.intersect1d(a, b))
+        assert true <= J.common(x, y) <= true + J.most_chance(len(a), len(b))
+    assert J.most_chance(60, 60) < 6 < J.most_chance(20_000, 20_000) < 100
+
+
 def test_linked_sets_meet_with_room():
     rng = np.random.default_rng(2)
     met = 0

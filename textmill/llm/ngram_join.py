@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, materialize
+from textmill.llm.common import discard, join_groups, materialize
 from textmill.llm.components import extended
 from textmill.llm.shingles import shingle_sets
 
@@ -41,8 +41,12 @@ PAIR_COST = 4.0
 MOST_LIGHT = 256
 #: Shingles counted together in a task before those seen once are dropped.
 COUNT_TOGETHER = 4_000_000
+#: Members of a list that meet others of it in one task.
+MEMBERS = 1000
 #: Partners of one set that are compared in one task; more are dealt over several.
 PARTNERS = 512
+#: Bits of each hash that sets are compared by at first.
+SKETCH = 24
 #: Log2 of the 64-bit words of the bitmap of classes to compare (2 MB); if it fills, more sets than needed are built.
 BITMAP = 18
 
@@ -283,11 +287,37 @@ def _lists(postings: DataFrame, parts: int) -> DataFrame:
 # -- comparisons
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
-    """The pairs (a, b) that link, with the size of the intersection and of both sets.
+def sketch(values: np.ndarray) -> bytes:
+    """The first SKETCH bits of a set's hashes: differences of neighbours, a plane for each of their three bytes, the last
+    of which is nearly empty and compresses."""
+    steps = np.diff((values >> np.uint64(64 - SKETCH)).astype("<u4"), prepend=np.uint32(0))
+    return steps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def from_sketch(data) -> np.ndarray:
+    low, middle, high = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.uint32)
+    return np.cumsum(low | middle << np.uint32(8) | high << np.uint32(16), dtype=np.uint32)
+
+
+def most_chance(n_a: int, n_b: int) -> int:
+    """A number of equal beginnings of different hashes that two sets exceed with a probability below that of a clash of
+    two 64-bit hashes (1e-18)."""
+    mean = n_a * n_b / 2**SKETCH
+    if mean > 0.5:
+        return int(mean + 9 * mean**0.5 + 14)
+    most, chance = 0, mean
+    while chance > 1e-18:
+        most += 1
+        chance *= mean / (most + 1)
+    return most
+
+
+def _meet(pairs: DataFrame, docs: DataFrame, seed: int, whole: bool) -> DataFrame:
+    """(a, b, shared, n_a, n_b, sure) of the pairs (a, b) that link, or that may do so where sure is false.
 
-    Only sets of classes in a pair are built, by a bitmap of their hashes; each is sent once, and once more for every
-    pair. Sets with many partners are copied, so that no task compares more than some PARTNERS with one."""
+    Sets are sent as sketches, or as whole hashes, when all rows are sure. Only sets of classes in a pair are built, by
+    a bitmap of their nodes; each is sent once, and once more for every pair. Sets with many partners are copied, so that
+    no task compares more than some PARTNERS with one."""
     ends = F.explode(F.array("a", "b"))
     word = F.shiftrightunsigned("node", 64 - BITMAP)
     bits = pairs.select(ends.alias("node")).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 AS int))")).alias("bits"))
@@ -309,7 +339,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
                     if node not in met and int(wanted.value[at >> (64 - BITMAP)]) >> (at & 63) & 1:
                         met.add(node)
                         out[0].append(node)
-                        out[1].append(s.tobytes())
+                        out[1].append(s.tobytes() if whole else sketch(s))
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([_longs(out[0]), pa.array(out[1], pa.binary())], ["node", "values"])
 
@@ -330,21 +360,41 @@ def _compare(pairs: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             out = []
             for p, q, x, y in zip(*batch.columns, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if whole:
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    shared, spare = len(np.intersect1d(x, y, assume_unique=True)), 0
+                else:
+                    x, y = from_sketch(x.as_buffer()), from_sketch(y.as_buffer())
+                    shared, spare = common(x, y), most_chance(len(x), len(y))
                 if linked(shared, len(x), len(y)):
-                    p, q = p.as_py(), q.as_py()
-                    out.append((p, q, shared, len(x), len(y)) if p < q else (q, p, shared, len(y), len(x)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([_longs(c) for c in columns], ["a", "b", "shared", "n_a", "n_b"])
+                    p, q, sure = p.as_py(), q.as_py(), linked(shared - spare, len(x), len(y))
+                    out.append((p, q, shared, len(x), len(y), sure) if p < q else (q, p, shared, len(y), len(x), sure))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([*(_longs(c) for c in columns[:5]), pa.array(columns[5], pa.bool_())], ["a", "b", "shared", "n_a", "n_b", "sure"])
 
     joined = turned.join(left, ["p", "copy"]).join(right, "q").select("p", "q", "set_p", "set_q")
-    links = materialize(joined.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long"), "links")
+    links = materialize(joined.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long, sure boolean"), "links")
     discard(sets)
     wanted.unpersist()
     return links
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """At least as many as the hashes that two sets share, from their sorted beginnings."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """The pairs (a, b) that link: by sketches where these decide, by all hashes where they don't."""
+    found = _meet(pairs, docs, seed, whole=False)
+    doubt = found.filter("NOT sure").select("a", "b")
+    sure = found.filter("sure").select("a", "b")
+    return sure if doubt.isEmpty() else sure.unionByName(_meet(doubt, docs, seed, whole=True).select("a", "b"))
+
+
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -353,17 +403,23 @@ def _pair(a: str = "a", b: str = "b") -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(members: DataFrame, components: DataFrame) -> DataFrame:
-    """members (key, node, n, at) with their component, of the lists that hold several."""
+def _open(members: DataFrame, components: DataFrame, total: int) -> DataFrame:
+    """members (key, node, n, at, size) with their component, of the lists that hold several."""
     labelled = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
-    return labelled.join(several, "key", "left_semi").select("key", "node", "n", "at", "component")
+    several = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    several = materialize(several.filter("_lo < _hi").select("key", "_n"), "several")
+    return join_groups(labelled, several, ["key"], "_n", total).select("key", "node", "n", "at", "size", "component")
 
 
 def _against(members: DataFrame, others: DataFrame) -> DataFrame:
-    """The candidate pairs of members with others of the same list and another component."""
-    other = others.select("key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("component").alias("_component"))
-    met = members.join(other, "key").filter(F.col("component") != F.col("_component"))
+    """The candidate pairs of members with others of the same list and another component. Long lists are dealt over
+    several tasks."""
+    deals = F.floor(F.col("size") / MEMBERS).cast("int")
+    other = others.select(
+        "key", F.explode(F.sequence(F.lit(0), deals)).alias("_deal"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("component").alias("_component")
+    )
+    dealt = members.withColumn("_deal", F.pmod(F.xxhash64("node"), deals + 1).cast("int"))
+    met = dealt.join(other, ["key", "_deal"]).filter(F.col("component") != F.col("_component"))
     return met.filter(room(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"))).select(*_pair("node", "_node")).distinct()
 
 
@@ -396,9 +452,11 @@ def _candidates(docs: DataFrame, parts: int | None):
     pairs = lists.filter("key IS NULL").select("a", "b").distinct()
     members = lists.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "at")
     most = largest_partner(F.col("n"), F.col("at"))
-    spans = members.groupBy("key").agg(F.min("n").alias("_least"), F.max(most).alias("_most"))
-    members = members.join(spans, "key").filter((F.col("n") <= F.col("_most")) & (most >= F.col("_least"))).drop("_least", "_most")
-    members = materialize(members, "members")
+    spans = members.groupBy("key").agg(F.min("n").alias("_least"), F.max(most).alias("_most"), F.count(F.lit(1)).alias("size"))
+    spans = materialize(spans.filter("_least <= _most"), "spans")
+    members = join_groups(members, spans, ["key"], "size", members.count())
+    members = materialize(members.filter((F.col("n") <= F.col("_most")) & (most >= F.col("_least"))).drop("_least", "_most"), "members")
+    discard(spans)
     return rows, classes, pairs, members, lists, seed
 
 
@@ -415,7 +473,8 @@ def _labels(links: DataFrame, rounds: int = 3) -> DataFrame:
 
 def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
     """(node, component) of all classes with a link."""
-    first = lambda: F.min_by(F.struct("node", "n", "at", "component"), F.struct("at", F.xxhash64("node"), "node")).alias("_p")
+    first = lambda: F.min_by(F.struct("node", "n", "at", "size", "component"), F.struct("at", F.xxhash64("node"), "node")).alias("_p")
+    total = members.count()
     alone = members.withColumn("component", F.col("node"))
     star = _against(alone, alone.groupBy("key").agg(first()).select("key", "_p.*"))
     done = materialize(pairs.unionByName(star).distinct(), "pairs")
@@ -423,7 +482,7 @@ def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int
     labels = materialize(_labels(links), "labels")
     # With one pivot of each other component in the list first, then with whoever is still in another one.
     for whole in (False, True):
-        left = materialize(_open(members, labels), "open")
+        left = materialize(_open(members, labels, total), "open")
         others = left if whole else left.groupBy("key", "component").agg(first()).select("key", "_p.*")
         todo = materialize(_against(left, others).join(done, ["a", "b"], "left_anti"), "todo")
         if not todo.isEmpty():
@@ -470,7 +529,7 @@ def jaccard_links(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     docs = docs.select("doc_id", "text")
     rows, classes, pairs, members, _, seed = _candidates(docs, parts)
     alone = members.withColumn("component", F.col("node"))
-    links = _compare(materialize(pairs.unionByName(_against(alone, alone)).distinct(), "pairs"), docs, seed)
+    links = _meet(materialize(pairs.unionByName(_against(alone, alone)).distinct(), "pairs"), docs, seed, whole=True)
     rep = lambda side: classes.select(F.col("node").alias(f"_{side}"), F.col("rep").alias(side))
     named = links.withColumnsRenamed({"a": "_a", "b": "_b"}).join(rep("a"), "_a").join(rep("b"), "_b").select("a", "b", "n_a", "n_b", "shared")
     owned = rows.join(classes.select("node", F.col("rep").alias("class_id")), "node", "left")
