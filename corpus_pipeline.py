@@ -1,4 +1,10 @@
-"""The corpus pipeline: STAGES in order, each on all that its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each on all that its predecessor kept.
+
+Every stage takes documents with nulls in any column and further columns of any name, which stay with their rows. A null
+text counts as empty: it is never toxic, equals other empty texts, is like no other, and has no tokens. Rows repeated with
+their doc_id and text are one document from the second stage on. A null doc_id sorts below all others, and a null source is
+a source of its own. Texts are read whole. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from textmill.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go; it learns from the labelled ones among docs."""
+    """Documents that the classifier calls toxic go; it learns from the labelled ones among docs. Without labels none goes."""
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -20,7 +26,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of a Jaccard similarity of 0.75 connect, the one with the smallest doc_id stays."""
+    """Of documents that links of a Jaccard similarity of 0.75 connect, the one with the smallest doc_id stays; those without
+    doc_id stay too."""
     return ngram_join.one_of_each(docs)
 
 
@@ -45,7 +52,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again.
+
+    A row for each document that stays: doc_id, n_tokens, ids, ids_sha256, decoded_sha256, mix_position and in_mix."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The stop words of the reference queries.
+#: The stop words of content tokens.
 STOPWORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the this to was were which will with".split()
-)
+    "a an and are as at be been being but by can could did do does doing for from had has have having he her here hers him his how i if in into is it its "
+    "itself just me more most my no nor not of off on once only or other our out over own same she should so some such than that the their them then there "
+    "these they this those through to too under until up very was we were what when where which while who whom why will with would you your"
+).split()
+#: The stop words of content words.
+WORD_STOPWORDS = (
+    "the and for are was were with that this from into have has had not but its their there which what when where who why how than then them they you your our "
+    "out all any can may one two also each such more most other some only own same very will would should could about"
+).split()
+#: Fixed value: a token.
 TOKEN = r"([a-z0-9']+|[^a-z0-9'\s])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SECRET = r"(?:sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|token = \"[0-9a-f]{40}\"|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
@@ -28,7 +36,7 @@ def content_tokens(text: Column, stop: list[str] = STOPWORDS) -> Column:
     return F.filter(alnum_tokens(text), lambda x: ~x.isin(list(stop)))
 
 
-def content_words(text: Column, min_length: int = 4, stop: list[str] = STOPWORDS) -> Column:
+def content_words(text: Column, min_length: int = 3, stop: list[str] = WORD_STOPWORDS) -> Column:
     return F.filter(content_tokens(text, stop), lambda x: F.length(x) >= min_length)
 
 

@@ -36,9 +36,11 @@ def merge_pair(symbols: Column, a: str, b: str) -> Column:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """df from the folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """df from the folder in spark.checkpoint.dir; a temporary one where that is unset and all is on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
     return df.checkpoint()
 

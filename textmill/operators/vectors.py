@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textmill.functions import arrays as A
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query, key, sim, rank): the k nearest rows of each query by cosine, itself left out, ties to the smaller key.
 
-    A stated query set against all rows, in blocks: rows are dealt to blocks, each block keeps its k best for a query
-    by bounded aggregation, and only those meet."""
+    A stated query set against all rows, in blocks, by default one for each shuffle partition. The ranking keeps k rows
+    of a query in each task before anything is sent, so no task holds a block's scores."""
+    blocks = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unit = lambda df, name: df.select(F.col(key).alias(name), A.doubles(F.col(vector)).alias("_v")).withColumn(f"_u_{name}", F.transform("_v", lambda x: x / A.norm(F.col("_v")))).drop("_v")
     q, r = unit(queries, "query"), unit(rows, "item")
     r = r.withColumn("_block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = q.join(r, "_block").filter("query <> item")
-    scored = pairs.select("query", "item", "_block", F.round(A.dot(F.col("_u_query"), F.col("_u_item")), 6).alias("sim"))
-    entry = F.struct((-F.col("sim")).alias("_s"), F.col("item"))
-    best = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("_b"))
-    block = best(scored, "query", "_block").select("query", F.explode("_b").alias("e")).select("query", F.col("e.item").alias("item"), (-F.col("e._s")).alias("sim"))
-    top = best(block, "query").select("query", F.posexplode("_b").alias("p", "e"))
-    return top.select("query", F.col("e.item").alias(key), (-F.col("e._s")).alias("sim"), (F.col("p") + 1).alias("rank"))
+    scored = pairs.select("query", "item", F.round(A.dot(F.col("_u_query"), F.col("_u_item")), 6).alias("sim"))
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
+    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select("query", F.col("item").alias(key), "sim", "rank")
 
 
 def mean_vectors(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 from textmill.functions import arrays as A
 from textmill.functions import text as X
 from textmill.operators import calibration as C
+from textmill.operators import retrieval as S
 from textmill.operators import vectors as V
 from textmill.plans.record_queries import REC, UNIT, pairs, rec
 from textmill.plans.registry import query
-from textmill.plans.text_queries import ALNUM_SQL, STOP_SQL
+from textmill.plans.text_queries import ALNUM_SQL, WORD_STOP_SQL
 
 
 @query("calibration_summary", f"WITH {REC} SELECT event_type, count(*) AS n, count_if(k >= 5) AS n_valid, round(avg(correct * CAST(k >= 5 AS INT)), 6) AS accuracy, round(avg(conf) FILTER (k >= 5), 6) AS mean_conf FROM rec GROUP BY event_type")
@@ -28,7 +29,7 @@ def apply_thresholds(t):
     return rec(t).groupBy("event_type").agg(F.round(F.avg((c >= 0.8).cast("int")), 6).alias("act"), F.round(F.avg((c < 0.3).cast("int")), 6).alias("escalate"), F.round(F.avg(cost), 6).alias("cost"))
 
 
-@query("choose_thresholds", f"""WITH {REC}, g AS (SELECT k, count(*) AS n, sum(1 - correct) AS e FROM rec GROUP BY k), cand AS (SELECT unnest(range(0, 101, 10)) AS c),
+@query("choose_thresholds", f"""WITH {REC}, g AS (SELECT k, count(*) AS n, sum(1 - correct) AS e FROM rec GROUP BY k), cand AS (SELECT k AS c FROM rec UNION SELECT 0 UNION SELECT max(k) + 1 FROM rec),
     pair AS (SELECT a.c AS esc, b.c AS act FROM cand a JOIN cand b ON a.c <= b.c),
     cost AS (SELECT esc, act, round(sum(CASE WHEN k >= act THEN e * 20.0 WHEN k < esc THEN n * 3.0 ELSE n * 0.5 END) / sum(n), 9) AS cost FROM pair, g GROUP BY esc, act)
     SELECT esc, act, cost FROM cost ORDER BY cost, esc, act LIMIT 1""")
@@ -40,7 +41,7 @@ def choose_thresholds(t):
 
 @query("proper_score_curve", "SELECT q, p, round(p * (1 - q) * (1 - q) + (1 - p) * q * q, 6) AS brier FROM (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS q), (SELECT unnest([0.2, 0.7])::DOUBLE AS p)")
 def proper_score_curve(t):
-    grid = t("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i")).select((F.col("i") / 10.0).alias("q"), F.explode(F.array(F.lit(0.2), F.lit(0.7))).alias("p"))
+    grid = t("region").sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i")).select((F.col("i") / 10.0).alias("q"), F.explode(F.array(F.lit(0.2), F.lit(0.7))).alias("p"))
     q, p = F.col("q"), F.col("p")
     return grid.select("q", "p", F.round(p * (1 - q) * (1 - q) + (1 - p) * q * q, 6).alias("brier"))
 
@@ -64,7 +65,7 @@ def prob_shift(t):
     return side("click", "x").join(side("view", "y"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.max(F.abs(d)), 6).alias("most"), F.count_if((F.col("x") >= 0.5) != (F.col("y") >= 0.5)).alias("crossings"))
 
 
-@query("sign_test", f"""WITH {REC}, u AS (SELECT user_id, count_if(correct = 1) % 12 AS w, count_if(correct = 0) % 12 AS l FROM rec GROUP BY user_id),
+@query("sign_test", f"""WITH {REC}, u AS (SELECT user_id, count_if(correct = 1) AS w, count_if(correct = 0) AS l FROM rec GROUP BY user_id),
     x AS (SELECT user_id, w, l, CAST(w + l AS BIGINT) AS n, CAST(least(w, l) AS BIGINT) AS m FROM u)
     SELECT user_id, w, l, round(least(1.0, 2 * list_sum(list_transform(range(0, m + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p FROM x""")
 def sign_test(t):
@@ -132,12 +133,7 @@ def phase_seconds(t):
 @query("span_cover", "SELECT d.doc_id, b.item_id, (least(b.s + b.n, d.c + 1000) - greatest(b.s, d.c)) * 2 >= b.n AS covered, d.c AS chunk FROM (SELECT doc_id, item_id, instr(d.text, b.text) - 1 AS s, length(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text)) b JOIN (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 900)) AS c FROM documents) d ON d.doc_id = b.doc_id AND d.c < b.s + b.n AND b.s < d.c + 1000")
 def span_cover(t):
     """Which windows of 1,000 characters, 900 apart, hold at least half of a benchmark passage that its document contains."""
-    from textmill.functions.arrays import ngrams
-
-    words = lambda name, key: t(name).select(key, F.split("text", r"\s+").alias("k"), "text")
-    items = words("benchmark", "item_id").select("item_id", F.col("text").alias("item"), F.array_join(F.slice("k", 2, 6), " ").alias("gram"))
-    near = words("documents", "doc_id").select("doc_id", F.explode(ngrams(F.col("k"), 6)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    found = near.join(items.select("item_id", "item"), "item_id").join(t("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "item"))
+    found = S.containing(t("benchmark"), t("documents"), "item_id", "doc_id")
     s = found.select("doc_id", "item_id", (F.expr("instr(text, item)") - 1).alias("s"), F.length("item").alias("n"), F.length("text").alias("size"))
     last = F.least(F.col("s") + F.col("n") - 1, F.col("size") - 1)
     low = F.greatest(F.ceil((F.col("s") - 999) / 900), F.lit(0))
@@ -154,7 +150,7 @@ def broken_links(t):
     return link.join(known, "link", "left_anti")
 
 
-@query("claim_support", f"""WITH c AS (SELECT conv_id, turn, list_filter({ALNUM_SQL}, lambda x: x NOT IN ({STOP_SQL}) AND length(x) >= 4) AS w FROM conversations WHERE role = 'assistant'),
+@query("claim_support", f"""WITH c AS (SELECT conv_id, turn, list_filter({ALNUM_SQL}, lambda x: x NOT IN ({WORD_STOP_SQL}) AND length(x) >= 3) AS w FROM conversations WHERE role = 'assistant'),
     s AS (SELECT conv_id, list_distinct(flatten(list(({ALNUM_SQL})))) AS src FROM conversations WHERE role = 'user' GROUP BY conv_id)
     SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 1.0 ELSE round(len(list_filter(w, lambda x: list_contains(coalesce(src, []), x))) / len(w), 6) END AS support FROM c LEFT JOIN s USING (conv_id)""")
 def claim_support(t):
@@ -168,18 +164,13 @@ def claim_support(t):
 
 @query("locate_unique", "SELECT item_id, doc_id, instr(d.text, b.text) AS at, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) = 1 AS once FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def locate_unique(t):
-    from textmill.functions.arrays import ngrams
-
-    words = lambda name, key: t(name).select(key, F.split("text", r"\s+").alias("k"), "text")
-    items = words("benchmark", "item_id").select("item_id", F.col("text").alias("item"), F.array_join(F.slice("k", 2, 6), " ").alias("gram"))
-    near = words("documents", "doc_id").select("doc_id", F.explode(ngrams(F.col("k"), 6)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    found = near.join(items.select("item_id", "item"), "item_id").join(t("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "item"))
+    found = S.containing(t("benchmark"), t("documents"), "item_id", "doc_id")
     return found.select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("at"), F.expr("(length(text) - length(replace(text, item, ''))) div length(item) = 1").alias("once"))
 
 
 @query("absent_terms", "SELECT w AS term FROM (SELECT unnest(['idiot', 'zebra', 'licensed', 'quasar', 'tion']) AS w) WHERE w NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM documents)")
 def absent_terms(t):
-    asked = t("region").limit(1).select(F.explode(F.array(*map(F.lit, ["idiot", "zebra", "licensed", "quasar", "tion"]))).alias("term"))
+    asked = t("region").sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ["idiot", "zebra", "licensed", "quasar", "tion"]))).alias("term"))
     return asked.join(t("documents").select(F.explode(X.alnum_tokens(F.col("text"))).alias("term")), "term", "left_anti")
 
 
@@ -209,10 +200,15 @@ def choose_tau(t):
     return row.select(best.alias("b")).select("b.tau", "b.cost")
 
 
-@query("window_cover", "SELECT event_id // 64 AS block, min(event_id) AS first, max(event_id) AS last, count(*) AS scored FROM events GROUP BY 1")
+@query("window_cover", """WITH n AS (SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+')) AS n FROM conversations), p AS (SELECT conv_id, turn, n, unnest(range(0, n)) AS i FROM n)
+    SELECT conv_id, turn, CASE WHEN i < 32 THEN 0 ELSE (i - 32) // 16 + 1 END AS win, min(i) AS first, max(i) AS last, count(*) AS scored FROM p GROUP BY ALL""")
 def window_cover(t):
-    block = F.expr("event_id div 64")
-    return t("events").groupBy(block.alias("block")).agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count(F.lit(1)).alias("scored"))
+    """Windows of 32 words, 16 apart, over each message: the places that each scores, which are those that no earlier one has."""
+    rows = t("conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("n")).filter("n > 0")
+    rows = rows.withColumn("win", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n") - 32, F.lit(0)) / 16).cast("int"))))
+    first = F.when(F.col("win") == 0, 0).otherwise(F.col("win") * 16 + 16)
+    last = F.least(F.col("win") * 16 + 31, F.col("n") - 1)
+    return rows.select("conv_id", "turn", "win", first.alias("first"), last.alias("last"), (last - first + 1).alias("scored"))
 
 
 @query("analogy", f"""WITH {UNIT}, q AS (SELECT a.vec_id AS query, list_transform(range(1, 65), lambda i: b.v[i] - a.v[i] + c.v[i]) AS v FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 JOIN u c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 20 = 0)

@@ -363,8 +363,8 @@ def radius_gyration(t):
     return V.radius_of_gyration(t("embeddings"), "label").withColumn("rg", F.round("rg", 6))
 
 
-@query("softmax_outcomes", f"WITH {UNIT}, z AS (SELECT vec_id, list_transform(v[1:10], lambda x: exp((x - list_max(v[1:10])) / 0.5)) AS e, label FROM u) SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS conf, CAST(list_position(e, list_max(e)) - 1 = label AS INT) AS correct FROM z")
+@query("softmax_outcomes", f"WITH {UNIT}, z AS (SELECT vec_id, list_transform(v, lambda x: exp((x - list_max(v)) / 0.5)) AS e, label FROM u) SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS conf, CAST(list_position(e, list_max(e)) - 1 = label AS INT) AS correct FROM z")
 def softmax_outcomes(t):
-    z = t("embeddings").select("vec_id", "label", F.slice(A.doubles(F.col("embedding")), 1, 10).alias("z"))
+    z = t("embeddings").select("vec_id", "label", A.doubles(F.col("embedding")).alias("z"))
     p = z.select("vec_id", "label", A.softmax(F.col("z"), 0.5).alias("p"))
     return p.select("vec_id", F.round(F.array_max("p"), 6).alias("conf"), (A.argmax(F.col("p")) == F.col("label")).cast("int").alias("correct"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from textmill.functions import text as X
 from textmill.functions.arrays import ngrams
 from textmill.operators import quality as Q
+from textmill.operators import retrieval as S
 from textmill.operators import terms as O
 from textmill.plans.registry import query
 from textmill.plans.term_queries import BM25, TFIDF, bm25_scores, n_docs, tfidf_cosine_topk
@@ -78,21 +79,18 @@ def interleave_merge(t):
     h AS (SELECT item_id, min(rank) AS best FROM g LEFT JOIN r ON r.query_id = item_id AND r.doc_id = g.doc_id AND rank <= 10 GROUP BY item_id)
     SELECT count(*) AS items, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM h""")
 def recall_at_k(t):
-    """A document is evidence for an item if it holds the item's text; items without evidence don't count.
-
-    Candidates of evidence share six words at the start of the item; the whole text is compared for those."""
-    words = lambda name, key: t(name).select(key, F.split(F.col("text"), r"\s+").alias("k"), "text")
-    items = words("benchmark", "item_id").select("item_id", F.col("text").alias("item"), F.array_join(F.slice("k", 2, 6), " ").alias("gram"))
-    docs = words("documents", "doc_id")
-    found = docs.select("doc_id", F.explode(ngrams(F.col("k"), 6)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    gold = found.join(items, "item_id").join(t("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
+    """A document is evidence for an item if it holds the item's text; items without evidence don't count."""
+    gold = S.containing(t("benchmark"), t("documents"), "item_id", "doc_id").select("item_id", "doc_id")
     ranked = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 10, "query_id").select(F.col("query_id").alias("item_id"), "doc_id", "rank")
     best = gold.join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("best"))
     hit = lambda k: F.round(F.avg(F.when(F.col("best") <= k, 1.0).otherwise(0.0)), 6)
     return best.agg(F.count(F.lit(1)).alias("items"), hit(1).alias("recall_1"), hit(10).alias("recall_10"), F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query("unique_sentences", "SELECT page_id, (length(html) - length(replace(html, '</p>', ''))) // 4 = 1 AS once, instr(html, '</p>') AS at FROM pages")
+@query("unique_sentences", r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS para FROM documents),
+    q AS (SELECT doc_id, trim(regexp_replace(para, '\s+', ' ', 'g')) AS flat FROM p WHERE NOT regexp_matches(para, '^(?:[#|$\-`!]|1\.)') AND NOT contains(para, '$') AND NOT contains(para, '`')),
+    s AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(flat, '([.!?]) ([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence FROM q)
+    SELECT doc_id, instr(text, sentence) AS at, sentence FROM s JOIN documents USING (doc_id) WHERE len(string_split(sentence, ' ')) BETWEEN 12 AND 40 AND (length(text) - length(replace(text, sentence, ''))) // length(sentence) = 1""")
 def unique_sentences(t):
     """Sentences of 12 to 40 words that the whole text of their document holds exactly once, with their place from 1.
 
@@ -203,10 +201,13 @@ def stats_zero_filled(t):
     return wide.unpivot(["source"], langs, "lang", "n")
 
 
-@query("multiset_equal", "SELECT doc_id, list_sort(regexp_extract_all(text, '\\d+')) = list_sort(regexp_extract_all(lower(text), '\\d+')) AS equal FROM documents")
+@query("multiset_equal", "SELECT event_id, list_sort(string_split(CAST(event_id AS VARCHAR), '')) = list_sort(string_split(CAST(event_id AS VARCHAR)[2:] || CAST(user_id AS VARCHAR)[1:1], '')) AS equal FROM events")
 def multiset_equal(t):
-    numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)))
-    return t("documents").select("doc_id", (numbers(F.col("text")) == numbers(F.lower("text"))).alias("equal"))
+    """Whether two numbers have the same digits, each as often: the event's, and that with its first digit put for the user's."""
+    digits = lambda c: F.array_sort(F.split(c, ""))
+    event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    other = F.concat(F.substring(event, F.lit(2), F.length(event)), F.substring(user, 1, 1))
+    return t("events").select("event_id", (digits(event) == digits(other)).alias("equal"))
 
 
 # -- segmentation

@@ -8,6 +8,7 @@ from textmill.functions import text as X
 from textmill.plans.registry import query
 
 STOP_SQL = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+WORD_STOP_SQL = ", ".join(f"'{w}'" for w in X.WORD_STOPWORDS)
 TOK_SQL = r"regexp_extract_all(lower(text), '([a-z0-9'']+|[^a-z0-9''\s])')"
 ALNUM_SQL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 LEXICON = ["the", "and", "die", "der", "les", "des", "que", "los", "ing", "tion"]
@@ -52,7 +53,7 @@ def content_tokens(t):
 
 
 @query("content_words", f"""SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS tokens_md5
-    FROM (SELECT doc_id, list_filter({ALNUM_SQL}, lambda x: x NOT IN ({STOP_SQL}) AND length(x) >= 4) AS k FROM documents)""")
+    FROM (SELECT doc_id, list_filter({ALNUM_SQL}, lambda x: x NOT IN ({WORD_STOP_SQL}) AND length(x) >= 3) AS k FROM documents)""")
 def content_words(t):
     return t("documents").select("doc_id", *_joined(X.content_words(F.col("text"))))
 
@@ -189,18 +190,6 @@ def error_kind(t):
     return t("events").select("event_id", X.error_kind(message).alias("kind"))
 
 
-@query("parse_decision", """SELECT event_id, event_type AS answer, CASE WHEN k < 50 THEN round(k / 100.0, 6) END AS confidence
-    FROM (SELECT event_id, event_type, CAST(props->>'$.k' AS INT) AS k FROM events)""")
-def parse_decision(t):
-    """Replies built from events: confidences of 50 and over are out of range and become null."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    stated = F.when(k < 25, F.concat(F.lit('"'), k.cast("string"), F.lit('%"'))).when(k < 50, F.format_number(k / 100, 2)).otherwise(k.cast("string"))
-    reply = F.concat(F.lit('{"answer": "'), F.col("event_type"), F.lit('", "confidence": '), stated, F.lit("}"))
-    parsed = X.parse_decision(reply, ["click", "error", "purchase", "signup", "view"])
-    return t("events").filter("event_type IS NOT NULL").select("event_id", parsed.alias("d")).select(
-        "event_id", "d.answer", F.round(F.when(F.col("d.confidence") < 0.5, F.col("d.confidence")), 6).alias("confidence"))
-
-
 @query("content_hash", "SELECT doc_id, sha256(lang || chr(10) || text) AS sha FROM documents")
 def content_hash(t):
     return t("documents").select("doc_id", F.sha2(F.concat_ws("\n", "lang", "text"), 256).alias("sha"))
@@ -211,34 +200,3 @@ def format_chat(t):
     turn = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"))
     chats = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("s")))).alias("x"))
     return chats.select("conv_id", F.md5(F.array_join(F.transform("x", lambda e: e["s"]), "\n")).alias("chat_md5"))
-
-
-@query("policy_label", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN c_acctbal < 0 THEN 'review' WHEN o_totalprice > 300000 THEN 'approve_manager'
-    WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'standard' END AS label FROM orders JOIN customer ON o_custkey = c_custkey""")
-def policy_label(t):
-    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    label = (F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("c_acctbal") < 0, "review").when(F.col("o_totalprice") > 300000, "approve_manager")
-             .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "fast").otherwise("standard"))
-    return joined.select("o_orderkey", label.alias("label"))
-
-
-@query("route_label", """SELECT event_id, CASE WHEN event_type = 'error' AND value > 100 THEN 'escalate' WHEN event_type = 'error' THEN 'retry'
-    WHEN value > 200 THEN 'review' WHEN event_type = 'purchase' THEN 'billing' ELSE 'auto' END AS route FROM events""")
-def route_label(t):
-    error = F.col("event_type") == "error"
-    route = (F.when(error & (F.col("value") > 100), "escalate").when(error, "retry").when(F.col("value") > 200, "review")
-             .when(F.col("event_type") == "purchase", "billing").otherwise("auto"))
-    return t("events").select("event_id", route.alias("route"))
-
-
-@query("featurize", """SELECT o_orderkey, round(least(greatest(o_totalprice / 500000, 0), 1), 10) AS price, round(c_acctbal / 10000, 10) AS balance,
-    CAST(c_mktsegment = 'BUILDING' AS INT) AS building, CAST(c_mktsegment = 'MACHINERY' AS INT) AS machinery, CAST(regexp_matches(o_orderpriority, 'URGENT|HIGH') AS INT) AS urgent,
-    round(least(greatest(o_totalprice / 500000, 0), 1) * CAST(regexp_matches(o_orderpriority, 'URGENT|HIGH') AS INT), 10) AS price_urgent
-    FROM orders JOIN customer ON o_custkey = c_custkey""")
-def featurize(t):
-    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    price = F.least(F.greatest(F.col("o_totalprice") / 500000, F.lit(0)), F.lit(1))
-    urgent = F.rlike("o_orderpriority", F.lit("URGENT|HIGH")).cast("int")
-    return joined.select("o_orderkey", F.round(price, 10).alias("price"), F.round(F.col("c_acctbal") / 10000, 10).alias("balance"),
-                         (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"), (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("machinery"),
-                         urgent.alias("urgent"), F.round(price * urgent, 10).alias("price_urgent"))

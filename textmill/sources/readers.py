@@ -23,9 +23,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     """The records, and (file, line) of lines that are no JSON of the schema."""
     bad = "_corrupt_record"
     full = T._parse_datatype_string(schema).add(bad, T.StringType())
-    rows = spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad).withColumn("_file", F.col("_metadata.file_name"))
-    rows = rows.cache()  # a query of the corrupt column alone is refused otherwise
-    return rows.filter(F.col(bad).isNull()).drop(bad, "_file"), rows.filter(F.col(bad).isNotNull()).select(F.col("_file").alias("file"), F.col(bad).alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file")).filter(F.trim("value") != "")
+    rows = lines.select("_file", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("_r"))
+    names = [f"_r.{c}" for c in full.names if c != bad]
+    broken = F.col(f"_r.{bad}")
+    return rows.filter(broken.isNull()).select(*names), rows.filter(broken.isNotNull()).select(F.col("_file").alias("file"), broken.alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -55,3 +57,55 @@ def read_vectors(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
     parts = spark.read.text(path).select(F.split("value", " ").alias("p"))
     rows = parts.select(F.col("p")[0].alias("word"), F.slice("p", F.lit(2), F.size("p")).cast("array<float>").alias("vector"))
     return rows.join(words.select("word").distinct(), "word", "left_semi")
+
+
+#: Columns of an atom record.
+ATOM = {
+    "name": (13, 16, "string"), "alt": (17, 17, "string"), "res_name": (18, 20, "string"), "chain": (22, 22, "string"), "res_seq": (23, 26, "int"),
+    "x": (31, 38, "double"), "y": (39, 46, "double"), "z": (47, 54, "double"), "b": (61, 66, "double"), "element": (77, 78, "string"),
+}
+
+
+def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, and the fields of ATOM) of the atoms of each file's first model, of alternate places only the first.
+
+    A file is one row until its lines are split, so their order is that of the file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n").alias("_l"))
+    last = F.array_position(F.transform("_l", lambda x: F.startswith(x, F.lit("ENDMDL"))), True)
+    first = files.select("file", F.posexplode(F.when(last > 0, F.slice("_l", F.lit(1), last.cast("int"))).otherwise(F.col("_l"))).alias("line", "value"))
+    rows = first.filter(F.startswith("value", F.lit("ATOM")))
+    fields = parse_fixed_width(rows, ATOM).columns
+    parts = {name: F.nullif(F.trim(F.substring("value", a, b - a + 1)), F.lit("")).try_cast(kind) for name, (a, b, kind) in ATOM.items()}
+    parts["element"] = F.coalesce(parts["element"], F.trim(F.substring("value", 13, 2)))
+    return rows.select("file", "line", *(parts[c].alias(c) for c in fields)).filter(F.col("alt").isNull() | (F.col("alt") == "A"))
+
+
+def read_submissions(spark: SparkSession, path: str, schema: str, pattern: str = "capstone_*.json") -> DataFrame:
+    """One JSON document a file, with the file's name."""
+    return spark.read.schema(schema).option("pathGlobFilter", pattern).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+
+
+def read_exports(spark: SparkSession, path: str, schema: str, required: list[str], pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """Records of the good files, and (file, why) of those refused: a required field that no record has, or a stub as provider."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter(F.trim("value") != "")
+    keys = lines.select("file", F.explode(F.json_object_keys("value")).alias("k")).groupBy("file").agg(F.collect_set("k").alias("keys"))
+    missing = F.size(F.array_except(F.array(*map(F.lit, required)), "keys")) > 0
+    rows = lines.select("file", F.from_json("value", schema).alias("r"))
+    stubs = rows.groupBy("file").agg(F.bool_or(F.contains("r.provider", F.lit("stub"))).alias("stub"))
+    why = keys.join(stubs, "file", "full").select("file", F.when(F.coalesce(missing, F.lit(True)), "fields").when(F.coalesce("stub", F.lit(False)), "stub").alias("why"))
+    bad = why.filter("why IS NOT NULL")
+    return rows.join(bad, "file", "left_anti").select("file", "r.*"), bad
+
+
+def located_questions(items: DataFrame, pages: DataFrame, key: str, page_key: str) -> DataFrame:
+    """items (key, page_key, quote) with start and stop: 0-based places of a quote that its page holds exactly once, else nulls."""
+    joined = items.join(pages.select(page_key, F.col("text").alias("_t")), page_key, "left")
+    once = (F.length("quote") > 0) & (F.instr("_t", F.col("quote")) > 0) & (F.expr("locate(quote, _t, instr(_t, quote) + 1)") == 0)
+    at = F.when(once, F.instr("_t", F.col("quote")) - 1)
+    return joined.select(*items.columns, at.alias("start"), (at + F.length("quote")).alias("stop"))
+
+
+def recorded(records: DataFrame, key: str, value, field: str):
+    """The field of the record with this key, or None."""
+    row = records.filter(F.col(key) == value).select(field).first()
+    return row[0] if row else None
