@@ -137,6 +137,25 @@ def ordinal_date(day: Column) -> Column:
     return F.concat(F.date_format(day, "MMMM "), n.cast("string"), suffix, F.date_format(day, ", yyyy"))
 
 
+#: Names of months.
+MONTHS = "january february march april may june july august september october november december".split()
+
+
+def extract_date(text: Column) -> Column:
+    """The first date of a text as an ISO date: yyyy-mm-dd, else ``4th of May 2026``, else ``May 4, 2026``; null without one."""
+    low, names = F.lower(text), "|".join(MONTHS)
+    iso = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
+    forms = [(rf"(\d{{1,2}})(?:st|nd|rd|th)? (?:of )?({names}) (\d{{4}})", 1, 2), (rf"({names}) (\d{{1,2}}), (\d{{4}})", 2, 1)]
+
+    def spelled(pattern: str, day: int, month: int) -> Column:
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, pattern, month))
+        two = lambda c: F.lpad(c, 2, "0")
+        found = F.concat_ws("-", F.regexp_extract(low, pattern, 3), two(number.cast("string")), two(F.regexp_extract(low, pattern, day)))
+        return F.when((number > 0) & F.try_to_date(found, "yyyy-MM-dd").isNotNull(), found)
+
+    return F.coalesce(F.when(iso != "", iso), *(spelled(*f) for f in forms))
+
+
 def is_iso_date(text: Column) -> Column:
     """Of the form yyyy-mm-dd, and a day of the calendar."""
     return F.coalesce(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$")) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
