@@ -83,6 +83,62 @@ def test_language_held_out(spark):
     assert L.training_sample(docs, texts=30, least=5).count() <= 30
 
 
+def plain_vector(text, idf):
+    """TF-IDF of hashed n-grams, one n-gram at a time."""
+    import unicodedata
+
+    code, last = [], None
+    for c in f" {text.lower()} ":
+        x = ord(c) if unicodedata.category(c)[0] == "L" else 0
+        if x or last != 0:
+            code.append(x)
+        last = x
+    v = np.zeros(L.DIMENSIONS)
+    for n in L.LENGTHS:
+        for i in range(len(code) - n + 1):
+            h = 0
+            for k, x in enumerate(code[i : i + n], 1):
+                h = (h * 0x100000001B3 + x + k) % 2**64
+            v[(h * 0x9E3779B97F4A7C15 % 2**64) >> 51] += 1
+    v = np.log1p(v) * idf
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def test_language_equals_a_plain_nearest_centroid():
+    rng = random.Random(4)
+    rows = [(prose(rng, lang, rng.randint(3, 40)), lang) for _ in range(120) for lang in [rng.choice([*SYLLABLES])]]
+    model = L.CentroidModel.fit([t for t, _ in rows], [x for _, x in rows])
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and len(model.centroids) == L.CENTROIDS * 3
+    texts = [prose(rng, rng.choice([*SYLLABLES]), rng.randint(0, 30)) + rng.choice(["", " 12", "\n\t!", " Ä"]) for _ in range(60)] + ["", "x", " é "]
+    names, score, cosine, rejected = model.predict(texts)
+    for text, name, s, c, r in zip(texts, names, score, cosine, rejected, strict=True):
+        near = model.centroids @ plain_vector(text, model.idf)
+        if not any(ch.isalpha() for ch in text):
+            assert (name, s, c, r) == ("und", 0, 0, True)
+            continue
+        by = [max(near[model.owner == k]) for k in range(len(model.languages))]
+        assert name == model.languages[int(np.argmax(by))] and abs(c - near.max()) < 1e-4
+        assert abs(s - np.exp(L.SHARPNESS * max(by)) / np.exp(L.SHARPNESS * np.array(by)).sum()) < 1e-2
+        assert r == (c < model.least[int(np.argmax(near))]) or abs(c - model.least[int(np.argmax(near))]) < 1e-5
+
+
+def test_rare_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 1)
+    docs = spark.createDataFrame([(i, "abc def", "aa" if i < 30 else f"x{i}") for i in range(40)], "doc_id long, text string, lang string")
+    assert {r.lang for r in L.training_sample(docs).collect()} == {"aa"}
+
+
+def test_toxicity_odd_rows(spark):
+    rows = labelled()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    odd = [(1, "plain " * 50_000 + "dimwit numskull blockhead"), (1, "dimwit numskull blockhead"), (1, "dimwit numskull blockhead"), (None, "dimwit numskull blockhead"), (2, "d" * 100_000)]
+    frame = spark.createDataFrame([(*r, "x") for r in odd], "doc_id long, text string, predicted string")
+    got = X.score(frame, model).collect()
+    assert len(got) == 5 and len({r.score for r in got[1:4]}) == 1 and got[1].predicted == 1 and got[3].held_out is False
+    assert all(0 <= r.score <= 1 for r in got) and X.clean(frame, model).columns == frame.columns
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     row = L.identify(docs, L.fit(docs)).first()

@@ -24,6 +24,8 @@ CENTROIDS = 4
 ROUNDS = 12
 #: Bound of the training sample: texts in all, shared out evenly to the languages, and at least so many for each.
 TRAIN_TEXTS, TRAIN_LEAST = 2400, 20
+#: Bound of the languages that are learned, the most frequent ones.
+MOST_LANGUAGES = 400
 #: A text nearer than this share of a centroid's own training texts is not rejected.
 REJECT_QUANTILE = 0.01
 SHARPNESS = 20.0
@@ -141,7 +143,7 @@ def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, least: int = TRAI
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "text", "lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("_h")
     )
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     each = max(least, texts // max(1, len(sizes)))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * each / n)))) if sizes else F.create_map().cast("map<string,double>")
     slot = F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30))

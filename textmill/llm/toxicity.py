@@ -103,7 +103,8 @@ class KernelModel:
         """For each word that is like a landmark: the landmarks and how strongly each counts. Words are compared with
         ``^`` before and ``$`` behind them.
 
-        Only words that hold all but one of a landmark's characters are compared with it."""
+        A word that lacks more than one of a landmark's characters, counted as often as the landmark has them, counts
+        nothing by definition; the kernel is worked out for the others only."""
         found: dict[str, list[tuple[int, float]]] = {}
         if not self.landmarks or not words:
             return found
