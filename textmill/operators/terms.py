@@ -49,8 +49,8 @@ def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
 def tfidf(terms: DataFrame, n_docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """terms with w: tf * idf over the L2 norm of the document."""
     weighted = terms.join(idf(terms, n_docs), "term").withColumn("_x", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-    return weighted.join(norm, key).select(key, "term", "tf", (F.col("_x") / F.col("_norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))  # one exchange by document, no second pass
+    return weighted.select(key, "term", "tf", (F.col("_x") / norm).alias("w"))
 
 
 def bm25(terms: DataFrame, queries: DataFrame, lengths: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -10,6 +10,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Bounds what a Python worker holds of a batch of texts; the operators slice it further.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
