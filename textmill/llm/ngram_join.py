@@ -387,6 +387,14 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def _compare(pairs: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """The pairs (a, b) that link: by sketches where these decide, by all hashes where they don't."""
+    found = _meet(pairs, docs, seed, whole=False)
+    doubt = found.filter("NOT sure").select("a", "b")
+    sure = found.filter("sure").select("a", "b")
+    return sure if doubt.isEmpty() else sure.unionByName(_meet(doubt, docs, seed, whole=True).select("a", "b"))
+
+
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -452,15 +460,18 @@ def _candidates(docs: DataFrame, parts: int | None):
     return rows, classes, pairs, members, lists, seed
 
 
-def _labels(links: DataFrame, rounds: int = 2) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
     """(node, component): a label that only linked nodes share, and that most of a component's nodes do: the least node
-    within so many links."""
+    within two links."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("_other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("_other")))
     label = both.groupBy("node").agg(F.min("_other").alias("_m")).select("node", F.least("node", "_m").alias("component"))
-    for _ in range(rounds - 1):
-        near = both.join(label.withColumnsRenamed({"node": "_other", "component": "_c"}), "_other").groupBy("node").agg(F.min("_c").alias("_c"))
-        label = label.join(near, "node").select("node", F.least("component", "_c").alias("component"))
-    return label
+    near = both.join(label.withColumnsRenamed({"node": "_other", "component": "_c"}), "_other").groupBy("node").agg(F.min("_c").alias("_c"))
+    return label.join(near, "node").select("node", F.least("component", "_c").alias("component"))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component) of all linked classes, whole components: labels first, then the few edges between these."""
+    return materialize(extended(materialize(_labels(links), "labels"), _edges(links)), "components")
 
 
 def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
@@ -470,26 +481,20 @@ def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int
     alone = members.withColumn("component", F.col("node"))
     star = _against(alone, alone.groupBy("key").agg(first()).select("key", "_p.*"))
     done = materialize(pairs.unionByName(star).distinct(), "pairs")
-    found = _meet(done, docs, seed, whole=False)
-    labels = materialize(_labels(found.filter("sure")), "labels")
-    # With one pivot of each other component in the list first, then with whoever is still in another one.
+    links = _compare(done, docs, seed)
+    components = _joined(links)
+    # With one pivot of each other component in the list first, then with whoever is still in another one. Components
+    # are whole each time, as members of one that looked like two would be compared in pairs.
     for whole in (False, True):
-        left = materialize(_open(members, labels, total), "open")
+        left = materialize(_open(members, components, total), "open")
         others = left if whole else left.groupBy("key", "component").agg(first()).select("key", "_p.*")
         todo = materialize(_against(left, others).join(done, ["a", "b"], "left_anti"), "todo")
         if not todo.isEmpty():
-            found = found.unionByName(_meet(todo, docs, seed, whole=False))
+            links = links.unionByName(_compare(todo, docs, seed))
             done = done.unionByName(todo)
-            labels = materialize(_labels(found.filter("sure")), "labels")
+            components = _joined(links)
         discard(left)
-    links = found.filter("sure").select("a", "b")
-    # What sketches leave open, where it matters.
-    end = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    doubt = found.filter("NOT sure").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    doubt = materialize(doubt.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "doubt")
-    if not doubt.isEmpty():
-        links = links.unionByName(_meet(doubt, docs, seed, whole=True).select("a", "b"))
-    return materialize(extended(labels, _edges(links)), "components")
+    return components
 
 
 def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
