@@ -1,8 +1,9 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
 A text is cut where its own content says so, each chunk gets a 64-bit fingerprint, and the ordered list of
-fingerprints is the text's recipe. Texts whose recipe no other text shares need no further work. For the others the chunks' contents are deduplicated and every fingerprint is
-checked: chunks of equal fingerprint and different content get different numbers, so that
+fingerprints is the text's recipe. A bitmap of the recipes that several texts share, of bounded size, is sent to all
+tasks: other texts need no further work and don't move. Of the rest, each distinct chunk is sent once per task, and
+every fingerprint is checked: chunks of equal fingerprint and different content get different numbers, so that
 (fingerprint, number) is a verified identifier. Equal ordered lists of verified identifiers are equal texts.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from textmill.llm.common import materialize, text_or_empty
+from textmill.llm.common import join_groups, key_bitmap, materialize, rows_that_may_hold, text_or_empty
 
 #: A chunk ends at the first line end or full stop after MIN_CHARS characters, and after MAX_CHARS at the latest.
 MIN_CHARS, MAX_CHARS = 512, 8192
@@ -49,12 +50,10 @@ def exact_groups(docs: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = M
         "recipes",
     )
     shared = recipes.groupBy("recipe_key").count().filter("count > 1").select("recipe_key")
+    bitmap = materialize(key_bitmap(shared, "recipe_key"), "bitmap")
     # Only the content of texts with a shared recipe moves, each distinct chunk once per map task.
-    repeated = recipes.join(shared, "recipe_key", "left_semi")
     contents = (
-        rows.withColumn("chunk_list", cut)
-        .withColumn("recipe_key", F.xxhash64(F.transform("chunk_list", lambda c: _fingerprint(c, bits))))
-        .join(shared, "recipe_key", "left_semi")
+        rows_that_may_hold(_keyed(rows, cut, bits), "recipe_key", bitmap)
         .select(F.explode("chunk_list").alias("chunk"))
         .select(_fingerprint(F.col("chunk"), bits).alias("fp"), "chunk")
         .distinct()
@@ -63,35 +62,31 @@ def exact_groups(docs: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = M
     clashing = contents.groupBy("fp").count().filter("count > 1").select("fp")
     clashing = materialize(clashing, "clashing")
     if clashing.isEmpty():
-        verified = repeated.withColumn("ids", F.transform("recipe", lambda f: F.struct(f.alias("fp"), F.lit(0).alias("no"))))
+        verified = recipes.withColumn("ids", F.transform("recipe", lambda f: F.struct(f.alias("fp"), F.lit(0).alias("no"))))
     else:
-        verified = _resolved(rows, repeated, contents, clashing, cut, bits)
+        verified = materialize(_resolved(rows, recipes, contents, clashing, cut, bits, bitmap), "verified")
     groups = verified.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = (
-        verified.join(groups, "ids")
-        .select("doc_id", "text_sha256", F.col("keep_id"), F.col("group_size"))
-    )
-    alone = recipes.join(shared, "recipe_key", "left_anti").select(
-        "doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
-    )
-    found = alone.unionByName(several)
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    found = join_groups(verified, groups, ["ids"], "group_size", recipes.count())
+    return found.select("doc_id", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
+def _keyed(rows: DataFrame, cut: Column, bits: int) -> DataFrame:
+    """rows with their chunk_list and the recipe_key of it."""
+    cut_rows = rows.withColumn("chunk_list", cut)
+    return cut_rows.withColumn("recipe_key", F.xxhash64(F.transform("chunk_list", lambda c: _fingerprint(c, bits))))
 
 
-def _resolved(rows: DataFrame, repeated: DataFrame, contents: DataFrame, clashing: DataFrame, cut: Column, bits: int) -> DataFrame:
+def _resolved(rows: DataFrame, recipes: DataFrame, contents: DataFrame, clashing: DataFrame, cut: Column, bits: int, bitmap: DataFrame) -> DataFrame:
     """Verified identifiers where fingerprints collide: the colliding contents are numbered, and the chunks of the
     texts that hold one are looked up by content."""
     numbered = contents.join(clashing, "fp", "left_semi").withColumn(
         "no", F.dense_rank().over(Window.partitionBy("fp").orderBy("chunk"))
     )
     numbered = materialize(numbered, "numbered")
-    keys = repeated.select("recipe_key").distinct()
-    # Rows are told apart by doc_id and digest; repeats of both have equal texts and share their identifiers.
+    # Rows are told apart by digest: rows of one digest have equal texts and share their identifiers.
     positions = (
-        rows.withColumn("text_sha256", F.sha2("text", 256))
-        .withColumn("chunk_list", cut)
-        .withColumn("recipe_key", F.xxhash64(F.transform("chunk_list", lambda c: _fingerprint(c, bits))))
-        .join(keys, "recipe_key", "left_semi")
+        rows_that_may_hold(_keyed(rows, cut, bits), "recipe_key", bitmap)
+        .withColumn("text_sha256", F.sha2("text", 256))
         .select("text_sha256", "chunk_list")
         .distinct()
         .select("text_sha256", F.posexplode("chunk_list").alias("pos", "chunk"))
@@ -103,7 +98,7 @@ def _resolved(rows: DataFrame, repeated: DataFrame, contents: DataFrame, clashin
         .agg(F.map_from_entries(F.collect_list(F.struct("pos", "no"))).alias("numbers"))
     )
     none = F.create_map().cast(T.MapType(T.IntegerType(), T.IntegerType()))
-    return repeated.join(numbers, "text_sha256", "left").withColumn(
+    return recipes.join(numbers, "text_sha256", "left").withColumn(
         "ids",
         F.transform(
             "recipe",
