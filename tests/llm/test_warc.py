@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 import random
+import zlib
 
 import pytest
 
@@ -30,6 +31,38 @@ def test_a_cut_archive_is_an_error(tmp_path):
         W.normalise_file(str(source), str(tmp_path / "b.warc.gz"))
 
 
+def test_an_archive_cut_at_the_end_of_a_record_is_an_error(tmp_path):
+    raw = [W.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", W._urn(i))], b"abc" * 50) for i in range(3)]
+    packer = zlib.compressobj(1, wbits=31)
+    data = packer.compress(raw[0] + raw[1]) + packer.flush(zlib.Z_FULL_FLUSH)
+    source = tmp_path / "a.warc.gz"
+    for whole, rest in ((True, packer.compress(raw[2]) + packer.flush()), (False, b"")):
+        source.write_bytes(data + rest)
+        if whole:
+            assert len(W.normalise_file(str(source), str(tmp_path / "b.warc.gz"))) == 3
+        else:
+            with pytest.raises(ValueError, match="ends inside a gzip member"):
+                W.normalise_file(str(source), str(tmp_path / "b.warc.gz"))
+
+
+def test_a_page_id_with_two_texts(spark):
+    rows = [(1, "a" * 2000), (1, "b" * 3000), (0, "a" * 2000), (0, "b" * 3000), (None, "c" * 1500), (None, "c" * 1500)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in W.page_records(pages).collect()), key=str)
+    want = [(0, 2000, "revisit", 1), (0, 3000, "revisit", 1), (1, 2000, "response", None), (1, 3000, "response", None), (None, 1500, "response", None), (None, 1500, "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_records_have_the_mandatory_fields(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "x")], "page_id long, url string, html string")
+    index, _ = W.archive_pages(pages)
+    row = index.first()
+    store, path = W._store(row.archive)
+    with store.open_input_file(path) as file:
+        headers, _ = W.read_record(file, row.offset, row.length)
+    assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(headers)
+
+
 def test_pages_round_trip(spark):
     same = "é" * 600
     rows = [(1, "http://a/", same), (5, "http://b/\n x", same), (3, None, same), (4, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (9, "u", "z" * 2_000_000)]
@@ -40,7 +73,7 @@ def test_pages_round_trip(spark):
         data = (html or "").encode()
         revisit = html == same and i != 5
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
-    want.append((-1, 1200, hashlib.sha1(same.encode()).hexdigest(), "response", None))
+    want.append((-1, 1200, hashlib.sha1(same.encode()).hexdigest(), "revisit", 5))
     assert got == sorted(want, key=lambda r: r[:4])
     assert W.page_records(pages.limit(0)).count() == 0
 

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import materialize, shared_dir
+from textmill.llm.common import join_groups, key_bitmap, materialize, rows_that_may_hold, rows_without, shared_dir
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT_BYTES = 1000
 #: An archive is closed at the first record after this many bytes, before compression.
 ARCHIVE_BYTES = 64 << 20
+#: Date of records whose time of capture is not known.
+WARC_DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -82,15 +84,18 @@ class RecordReader:
 
 def inflate(file, size: int = 1 << 20):
     """The bytes of a gzip file of one or more members, in order, each read once."""
-    inflater = zlib.decompressobj(wbits=31)
+    inflater, begun = zlib.decompressobj(wbits=31), False
     while data := file.read(size):
         while data:
+            begun = True
             yield inflater.decompress(data)
             data = inflater.unused_data
             if inflater.eof:
-                inflater = zlib.decompressobj(wbits=31)
+                inflater, begun = zlib.decompressobj(wbits=31), False
             else:
                 break
+    if begun:  # neither the end of the stream nor its check sum was seen
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def normalise_file(source: str, target: str) -> list[dict]:
@@ -139,22 +144,31 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({
         "digest": F.sha1("payload"), "digest2": F.sha2("payload", 256), "size": F.octet_length("payload"),
-    })
-    groups = (
-        rows.filter(F.col("size") >= min_bytes)
-        .groupBy("digest", "digest2", "size")
-        .agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-    )
-    return rows.join(groups, ["digest", "digest2", "size"], "left").select(
-        "page_id", "url", "digest",
-        F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"),
-        "payload",
-    )
-
-
-def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write records into archives that are one gzip stream each; a row (archive, records) for each, committed."""
+    }).withColumn("_key", F.when(F.col("size") >= min_bytes, F.xxhash64("digest", "digest2", "size")))
+    keys = ["_key", "digest", "digest2", "size"]
+    ids = materialize(rows.filter("_key IS NOT NULL").select("page_id", *keys), "digests")
+    groups = ids.groupBy(*keys).agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = materialize(groups, "groups")
+    bitmap = materialize(key_bitmap(groups, "_key"), "bitmap")
+    # A revisit has no payload: only the ids of pages with an equal one are joined, and others stay where they are.
+    refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
+    again = rows_that_may_hold(rows, "_key", bitmap)
+    last = F.col("page_id").eqNullSafe(F.col("first_id")) | F.col("first_id").isNull()
+    narrow = join_groups(again.drop("payload"), groups, keys, "n", ids.count(), "left")
+    revisits = narrow.filter(~last).select("page_id", "url", "digest", refers.alias("refers_to"), F.lit(None).cast("binary").alias("payload"))
+    row = F.xxhash64("page_id", *keys).alias("_row")
+    firsts = narrow.filter(last).select("page_id", *keys, row).distinct().withColumnsRenamed({"page_id": "_id"})
+    holds = rows_that_may_hold(again.select("*", row), "_row", key_bitmap(firsts, "_row"))
+    same = [holds[k] == firsts[k] for k in ("_row", *keys)] + [holds["page_id"].eqNullSafe(firsts["_id"])]
+    full = holds.join(firsts, same, "left_semi").drop("_row")
+    plain = rows_without(rows, "_key", bitmap).unionByName(full)
+    return plain.select("page_id", "url", "digest", F.lit(None).cast("long").alias("refers_to"), "payload").unionByName(revisits)
+
+
+def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str = WARC_DATE) -> DataFrame:
+    """Write records into archives that are one gzip stream each; a row (archive, records) for each, committed.
+
+    date: the WARC-Date of all records, as pages carry no time of their own."""
 
     def run(batches):
         file = packer = None
@@ -168,7 +182,7 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHI
                     store.create_dir(path.rsplit("/", 1)[0])
                     file, packer = store.open_output_stream(path, compression=None), zlib.compressobj(1, wbits=31)
                 headers = [
-                    ("WARC-Type", "response" if refer is None else "revisit"), ("WARC-Record-ID", _urn(key)),
+                    ("WARC-Type", "response" if refer is None else "revisit"), ("WARC-Record-ID", _urn(key)), ("WARC-Date", date),
                     ("WARC-Target-URI", " ".join((url or "").split())), ("Content-Type", "text/html"), ("WARC-Payload-Digest", f"sha1:{digest}"),
                 ]
                 if refer is not None:
@@ -208,8 +222,9 @@ def normalise(archives: DataFrame) -> DataFrame:
     return materialize(archives.select("archive").repartition(n).mapInArrow(run, schema), "index")
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """Read every record at its offset: page_id, record_type, refers_to_id, payload_digest, stored_bytes, payload.
+def read_back(index: DataFrame, keep_payload: bool = True) -> DataFrame:
+    """Read every record at its offset: page_id, record_type, refers_to_id, payload_digest, stored_bytes, payload
+    (null if not keep_payload).
 
     A response's digest is computed from its block and must equal the one in its headers."""
     schema = "page_id long, record_type string, refers_to_id long, payload_digest string, stored_bytes long, payload binary"
@@ -230,7 +245,7 @@ def read_back(index: DataFrame) -> DataFrame:
                 kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                 if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
                     raise ValueError(f"{archive} at {offset}: the payload doesn't have the digest of its headers")
-                values = (_key(headers["warc-record-id"]), kind, _key(headers.get("warc-refers-to")), digest, len(block), block)
+                values = (_key(headers["warc-record-id"]), kind, _key(headers.get("warc-refers-to")), digest, len(block), block if keep_payload else None)
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
                 held += len(block)
@@ -249,31 +264,31 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
 
-def archive_pages(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> tuple[DataFrame, DataFrame]:
+def archive_pages(
+    pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, keep_payload: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Write pages (page_id long, url, html) as WARC, normalise the archives, and return (index, records read back).
 
     A null html counts as empty, a null url is written empty. A page without page_id gets a record without a number
-    that is read back as null, and nothing refers to it; a row repeated with its page_id is a record of its own. An empty table leaves no archive and
+    that is read back as null; it may refer to another, but nothing refers to it. A row repeated with its page_id is a record of its own. An empty table leaves no archive and
     gives empty results. Long pages are written whole. Other columns are ignored. The files stay in the shared
     folder: their paths are in the index."""
     folder = f"{shared_dir(pages.sparkSession)}-warc"
     index = normalise(write_monolithic(plan_records(pages, min_bytes), folder, archive_bytes))
-    return index, read_back(index)
+    return index, read_back(index, keep_payload)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
-    _, records = archive_pages(pages)
+    _, records = archive_pages(pages, keep_payload=False)
     records = materialize(records.drop("payload"), "records")
-    full = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to_id")).agg(F.max("stored_bytes").alias("full_bytes"))
-    revisits = records.filter("record_type = 'revisit'")
+    # A revisit's payload is that of the record it refers to, told apart by id and digest.
+    revisits = records.filter("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to_id")
+    keys = ["refers_to_id", "payload_digest"]
+    full = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to_id"), "payload_digest").agg(F.max("stored_bytes").alias("payload_bytes"))
+    full = full.join(revisits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    resolved = join_groups(revisits, full, keys, "_n", records.count()).withColumnRenamed("refers_to_id", "refers_to")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return (
-        records.filter("record_type = 'response'")
-        .select("page_id", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast(T.LongType()).alias("refers_to"))
-        .unionByName(
-            revisits.join(full, "refers_to_id", "left")
-            .withColumnsRenamed({"full_bytes": "payload_bytes", "refers_to_id": "refers_to"})
-            .select(columns)
-        )
-    )
+    none = F.lit(None).cast(T.LongType()).alias("refers_to")
+    whole = records.filter("record_type = 'response'").select("page_id", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", none)
+    return whole.unionByName(resolved.select(columns))
