@@ -185,12 +185,13 @@ ORACLE_SQL = {
         WITH log AS (SELECT * FROM (VALUES {_LIST_SQL}) l(rule, action, since)),
         captures AS (
             SELECT page_id, DATE '{FIRST_CAPTURE}' + CAST(page_id % {CAPTURE_DAYS} AS INT) AS fetched_at,
-                   nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host
+                   nullif(rtrim(lower(url_decode(regexp_extract(lower(trim(url)), {_quoted(url_filter.HOST)}, 1))), '.'), '') AS host
             FROM pages
         ),
         asked AS (
             SELECT page_id, fetched_at, array_to_string(labels[i:], '.') AS rule
             FROM (SELECT *, string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM captures)
+            WHERE i = 1 OR NOT regexp_matches(host, {_quoted(url_filter.ADDRESS)})
         ),
         active AS (
             SELECT page_id, log.rule, action, since FROM asked ASOF JOIN log ON asked.rule = log.rule AND asked.fetched_at >= log.since
