@@ -1,6 +1,8 @@
 from datetime import date
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from textmill.llm import license_scan, source_mix, url_filter
 
 
@@ -20,6 +22,17 @@ def test_licence_is_found_whatever_its_dress(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_from_files(spark, tmp_path):
+    for name, texts in license_scan.KNOWN.items():
+        (tmp_path / f"{name}.txt").write_text(f"{name}\n\nCopyright (c) 2021 Somebody\n\n" + texts[-1].replace(". ", ".\n"))
+    known = license_scan.known_from_files(spark, str(tmp_path))
+    assert known.count() == len(license_scan.KNOWN) >= 20
+    docs = known.select(F.xxhash64("license").alias("doc_id"), F.upper("text").alias("text"), F.col("license").alias("name"))
+    got = {r.doc_id: r.license for r in license_scan.scan(docs, known).collect()}
+    assert got == {r.doc_id: r.name for r in docs.collect()}
+    assert all(r.license is None for r in license_scan.scan(docs, known.limit(0)).collect())
+
+
 def test_spellings_keep_the_first_three_characters():
     assert all(a[:3] == b[:3] for a, b in license_scan.SPELLINGS)
 
@@ -57,6 +70,18 @@ def test_default_weights_and_order(spark):
     assert source_mix.mix(docs.limit(0)).count() == 0
 
 
+def test_hosts_as_browsers_read_them(spark):
+    urls = {
+        "http://[2001:DB8::1]:80/x": "[2001:db8::1]", "http://bad.org\\@good.org/": "bad.org", "http:\\\\bad.org": "bad.org", "https://bad%2Eorg/": "bad.org",
+        "http://a@b@Bad.org./p@q": "bad.org", "http://1.2.3.4/": "1.2.3.4", "http://": None, "mailto:x@y.z": None, "http://100%25.org": "100%.org", "http://x%zz": "x%zz",
+    }
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.host for r in frame.select("url", url_filter.host_of(frame.url).alias("host")).collect()} == urls
+    entries = spark.createDataFrame([("4", "block", date(2024, 1, 1)), ("[2001:db8::1]", "block", date(2024, 1, 1))], "rule string, action string, listed_at date")
+    pages = spark.createDataFrame([(u, date(2024, 2, 1)) for u in urls], "url string, fetched_at date")
+    assert [r.host for r in url_filter.evaluate(pages, entries).filter("verdict = 'block'").collect()] == ["[2001:db8::1]"]
+
+
 def test_url_filter_as_of(spark):
     d = lambda m, n=1: date(2024, m, n)
     entries = spark.createDataFrame(
