@@ -21,7 +21,7 @@ def texts():
     letters = "aaab  ▁▁\n\tthe re in é日本😀x0019#$%​\x00.,"
     out = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
     out += [c * n for c in ("a", " ", "=", "ab", "▁") for n in (1, 2, 3, 7, 16, 17, 33, 64)]
-    return out + ["", "a" * 5000, " " * 5000, "thethethe" * 700, "日" * 4500 + " x"]
+    return out + ["", "a" * 5000, " " * 5000, "thethethe" * 700, "日" * 4500 + " x", "".join(rng.choice(letters.strip()) for _ in range(30_000)).replace(" ", ""), "".join(rng.choice("abcdefghijklmnop") for _ in range(60_000))]
 
 
 def test_encode_and_decode_equal_the_library(both):

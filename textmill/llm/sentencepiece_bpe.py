@@ -8,7 +8,6 @@ and closes the gaps, until no word has a pair left. Results equal the sentencepi
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import struct
 
@@ -23,8 +22,6 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _SPLIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NONE = np.int64(1 << 40)
-#: Words longer than this are merged one pair at a time from a heap: many rounds over few words do not pay.
-LONG_WORD = 4096
 #: Encoded words that a worker remembers.
 CACHE_WORDS = 300_000
 
@@ -115,12 +112,10 @@ class PieceModel:
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words after the last round, and the word that each belongs to."""
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-        done = [(np.array(x, np.int64), np.full(len(x), i)) for i in long for x in [self._merge_long(words[i])]]
-        short = words if not long else ["" if len(w) > LONG_WORD else w for w in words]
-        sizes = np.fromiter(map(len, short), np.int64, len(short))
-        sym = self.symbols[np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        word = np.repeat(np.arange(len(short)), sizes)
+        done = []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sym = self.symbols[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), sizes)
         rank = np.full(len(sym), _NONE)
         into = np.full(len(sym), -1, np.int64)
         touched = np.arange(len(sym))
@@ -189,33 +184,6 @@ class PieceModel:
         first = np.concatenate([[True], ~same])
         return take[first | ~np.isin(word[take], broken)]
 
-    def _merge_long(self, word: str) -> list[int]:
-        """The same merges for one long word, from a heap of pairs ordered by rank and place."""
-        sym = [self.chars.get(c, self.first_other + ord(c)) for c in word]
-        pair = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True)}
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(sym) and (hit := pair.get(sym[i] * self.width + sym[j])):
-                heapq.heappush(heap, (hit[0], i, sym[i], sym[j], hit[1]))
-
-        for i in range(len(sym) - 1):
-            offer(i)
-        while heap:
-            _, i, left, right, merged = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != left or j >= len(sym) or sym[j] != right:
-                continue
-            sym[i], sym[j], after[i] = merged, -1, after[j]
-            if after[j] < len(sym):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s in sym if s >= 0]
-
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
         sym, word = self.merge(words)
