@@ -25,8 +25,19 @@ def ece(table: DataFrame) -> DataFrame:
 
 
 def mass_bins(df: DataFrame, m: int, tie: str) -> DataFrame:
-    """df with bin: m groups of as equal size as can be, the first ones larger, by confidence and tie."""
-    return df.withColumn("bin", F.ntile(m).over(Window.orderBy("conf", tie)))
+    """df with bin from 1: m groups of as equal size as can be, the first ones larger, by confidence and tie.
+
+    Only the counts of distinct confidences are put in one order; rows of one confidence are ranked by themselves. Rows
+    without a confidence have no bin and are left out."""
+    counts = df.filter("conf IS NOT NULL").groupBy("conf").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("conf").orderBy(tie)) - 1)
+    rows = ranked.join(counts.select("conf", earlier.alias("_before")), "conf").join(F.broadcast(total))
+    place, small, larger = F.col("_before") + F.col("_r"), F.expr(f"_all div {m}"), F.col("_all") % m
+    edge = larger * (small + 1)
+    number = F.when(place < edge, F.floor(place / (small + 1))).otherwise(larger + F.floor((place - edge) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("bin", (number + 1).cast("int")).drop("_r", "_before", "_all")
 
 
 def risk_coverage(df: DataFrame) -> DataFrame:

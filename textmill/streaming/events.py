@@ -39,20 +39,16 @@ def newest(events: DataFrame) -> DataFrame:
     return best.select("user_id", "b.event_id", "b.value")
 
 
-def retry_budget(events: DataFrame, budget: int, idle: str = "30 days") -> DataFrame:
+def retry_budget(events: DataFrame, budget: int) -> DataFrame:
     """(user_id, errors, exhausted) after each batch, from a count of errors kept per user; for update mode.
 
-    A user without events for the idle time is forgotten, so the state is bounded by the users of that time."""
+    The state grows with the number of users: a processing-time timeout would keep a query of all available data from ending."""
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         errors = state.get[0] if state.exists else 0
         errors += sum(int((f.event_type == "error").sum()) for f in frames)
         state.update((errors,))
-        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"user_id": [key[0]], "errors": [errors], "exhausted": [errors >= budget]})
 
     schema = "user_id long, errors long, exhausted boolean"
-    return events.groupBy("user_id").applyInPandasWithState(count, schema, "errors long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(count, schema, "errors long", "update", GroupStateTimeout.NoTimeout)
