@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,20 @@ def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS int))")).alias("_bits"))
 
 
+def sent_bitmap(keys: DataFrame, key: str):
+    """The key_bitmap as a broadcast array of 64-bit words (8 MB) for in_bitmap in Python tasks."""
+    found = key_bitmap(keys, key).toArrow()
+    bitmap = np.zeros(1 << BITMAP_ROWS, np.uint64)
+    bitmap[found["_word"].to_numpy()] = found["_bits"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of keys (uint64) may be in the bitmap."""
+    bits = bitmap[(keys >> np.uint64(64 - BITMAP_ROWS)).astype(np.int64)]
+    return (bits >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _marked(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     word = F.shiftrightunsigned(key, 64 - BITMAP_ROWS)
     hit = F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS int))")) != 0

@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import exact_dedup, language_id, license_scan, ngram_join, quality, sentencepiece_bpe, source_mix, toxicity, url_filter, warc
+from textmill.llm import (
+    conversation_trie, exact_dedup, language_id, license_scan, ngram_join, quality, sentencepiece_bpe, source_mix, substring_dedup, toxicity, url_filter, vector_codes, warc,
+)
 from textmill.llm.common import table
 
 
@@ -91,6 +93,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, with its error."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when passages of earlier ones go."""
+    return substring_dedup.shared_passages(table(spark, sf_dir, "documents")).drop("intervals")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_source_mix": op3_source_mix,
@@ -102,6 +119,9 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 def _quoted(text: str) -> str:
@@ -117,6 +137,50 @@ def _canonical_sql(text: str) -> str:
     return f"trim({found})"
 
 
+def _codes_sql() -> str:
+    """vector_codes.compress in DuckDB SQL: a step of the codebooks for each round."""
+    nearest = """
+        a{k} AS (
+            SELECT vec_id, label, part, entry, far FROM (
+                SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) AS r
+                FROM (
+                    SELECT v.vec_id, v.label, v.part, e.entry, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - e.x[i]) * (v.x[i] - e.x[i]))) AS far
+                    FROM parts v JOIN e{k} e ON e.part = v.part
+                )
+            ) WHERE r = 1
+        )"""
+    refined = """
+        s{k} AS (
+            SELECT part, entry, list(floor_mean ORDER BY i) AS x FROM (
+                SELECT a.part, a.entry, i, (sum(v.x[i]) - ((sum(v.x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+                FROM a{k} a JOIN parts v ON v.vec_id = a.vec_id AND v.part = a.part, range(1, (SELECT max(len(x)) + 1 FROM parts)) r(i)
+                GROUP BY a.part, a.entry, i
+            ) GROUP BY part, entry
+        ),
+        e{n} AS (SELECT part, entry, CASE WHEN s{k}.x IS NULL THEN e{k}.x ELSE list_transform(s{k}.x, lambda m: CAST(m AS BIGINT)) END AS x FROM e{k} LEFT JOIN s{k} USING (part, entry))"""
+    rounds = vector_codes.ROUNDS
+    steps = ",".join(nearest.format(k=k) + "," + refined.format(k=k, n=k + 1) for k in range(rounds))
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        parts AS (
+            SELECT vec_id, label, part, q[part * (len(q) // {vector_codes.PARTS}) + 1:(part + 1) * (len(q) // {vector_codes.PARTS})] AS x
+            FROM kept, range({vector_codes.PARTS}) r(part)
+        ),
+        e0 AS (
+            SELECT part, entry, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id)
+            WHERE entry < {vector_codes.ENTRIES}
+        ),
+        {steps},
+        {nearest.format(k=rounds)},
+        books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds}),
+        codes AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, books
+    """
+
+
 _KNOWN_SQL = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in license_scan.KNOWN.items() for text in texts)
 _LIST_SQL = ", ".join(f"('{rule}', '{action}', DATE '{day}')" for rule, action, day in URL_LIST)
 
@@ -232,4 +296,71 @@ ORACLE_SQL = {
         r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)
         SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) USING (doc_id)
     """,
+    "op11_conversation_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        crc AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) r(i))
+        ),
+        ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS first FROM turns),
+        lent AS (
+            SELECT conv_id, first, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) % 9 AS h
+            FROM ids, crc
+        ),
+        rebuilt AS (
+            SELECT l.conv_id, 0 AS part, t.pos, t.role, t.text FROM lent l JOIN turns t ON t.conv_id = l.first AND t.pos <= l.h
+            UNION ALL
+            SELECT l.conv_id, 1, t.pos, t.role, t.text FROM lent l JOIN turns t ON t.conv_id = l.conv_id AND t.pos > l.h
+        ),
+        paths AS (
+            SELECT conv_id, coalesce(p, []) AS p, len(coalesce(p, [])) AS n
+            FROM lent LEFT JOIN (SELECT conv_id, list(struct_pack(role, text) ORDER BY part, pos) AS p FROM rebuilt GROUP BY 1) USING (conv_id)
+        ),
+        occ AS (
+            SELECT conv_id, n, d, sha256(CAST(to_json(p[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(to_json(p[1:d - 1]) AS VARCHAR)) END AS up,
+                   CASE WHEN d > 0 THEN strlen(p[d].text) ELSE 0 END AS bytes
+            FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM paths)
+        ),
+        nodes AS (
+            SELECT k, any_value(up) AS up, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM occ GROUP BY k
+        ),
+        kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+        below AS (
+            SELECT a.k, sum((v.n_convs - 1) * v.bytes) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+            FROM nodes v JOIN occ a ON a.conv_id = v.conv_id AND a.d <= v.d LEFT JOIN kids ON kids.k = v.k GROUP BY a.k
+        )
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+               CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM nodes v LEFT JOIN nodes u ON v.up = u.k LEFT JOIN kids ON kids.k = v.k JOIN below ON below.k = v.k
+    """,
+    "op12_vector_codes": _codes_sql(),
+    "op13_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+        ),
+        firsts AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+        hit AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (k) WHERE first < win.doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
+        gaps AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t
+            FROM (SELECT w.doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w JOIN gaps USING (doc_id)) x
+            WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = x.doc_id AND gone.i = x.i)
+            GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+               sha256(CASE WHEN g IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+        FROM w LEFT JOIN gaps USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }

@@ -48,7 +48,7 @@ class Powers:
 _UP, _DOWN = Powers(_BASE), Powers(_INVERSE)
 
 
-def _hash_block(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, cuts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of a block; no word crosses a cut."""
     inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
@@ -59,20 +59,21 @@ def _hash_block(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[cuts - 1] = inside[cuts - 1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODE[data] * _UP(len(data)), out=sums[1:])
+    np.cumsum(code[data] * _UP(len(data)), out=sums[1:])
     found = (sums[stop] - sums[start]) * _DOWN(len(data))[start]
     return _mixed(found + (stop - start).astype(np.uint64)), start
 
 
-def word_hashes(data: np.ndarray, cuts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of data, and for each cut the number of words before it. cuts: offsets of texts."""
+def word_hashes(data: np.ndarray, cuts: np.ndarray, block: int = BLOCK, code: np.ndarray = _CODE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of data, and for each cut the number of words before it. cuts: offsets of texts; code: the
+    numbers that stand for bytes, by default alike for A-Z and a-z."""
     hashes, starts, at = [], [], 0
     while at < len(data):
         stop = min(len(data), at + block)
         while stop < len(data) and not _SPACE[data[stop - 1]] and not _SPACE[data[stop]]:
             space = np.flatnonzero(_SPACE[data[stop : stop + block]])
             stop = stop + int(space[0]) if len(space) else min(len(data), stop + block)
-        h, s = _hash_block(data[at:stop], cuts - at)
+        h, s = _hash_block(data[at:stop], cuts - at, code)
         hashes.append(h)
         starts.append(s + at)
         at = stop
@@ -81,6 +82,26 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray, block: int = BLOCK) -> tuple
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), cuts)
 
 
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hashes of every run of so many words, from the hashes of the words."""
+    n = len(h)
+    if n < width:
+        return h[:0]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * _UP(n), out=sums[1:])
+    return _mixed((sums[width:] - sums[:-width]) * _DOWN(n)[: n - width + 1])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, and the offsets at which they begin and end; a null text is empty."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    whole = texts.buffers()[2]
+    return (np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)), bounds
+
+
 def _slices(offsets: np.ndarray, limit: int):
     """(start, stop) of runs of texts of about limit bytes each; a longer text is a run of its own."""
     start, rows = 0, len(offsets) - 1
