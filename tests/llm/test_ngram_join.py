@@ -163,3 +163,38 @@ def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+
+
+def test_parity_sketches_never_part_linked_sets(spark):
+    rng = np.random.default_rng(0)
+    rows, far = [], 0
+    for n in (3, 50, 196, 900, 3000):
+        for edits in range(0, n, max(1, n // 25)):
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            b = np.concatenate([a[edits:], rng.integers(0, 1 << 62, edits).astype(np.uint64)])
+            rows.append((n, J.parity(a).tolist(), n, J.parity(b).tolist(), bool(J.linked(n - edits, n, n)), edits))
+    got = spark.createDataFrame(rows, "a long, pa array<long>, b long, pb array<long>, linked boolean, edits int").withColumn("near", J.near(J.F.col("a"), J.F.col("pa"), J.F.col("b"), J.F.col("pb"))).collect()
+    assert all(r.near for r in got if r.linked)
+    far = [r.near for r in got if not r.linked and r.a <= 900 and r.edits > 0.3 * r.a and r.a > 3]
+    assert sum(far) < 0.1 * len(far)
+
+
+def test_pairs_of_alike_texts_without_links_grow_with_their_number(spark, monkeypatch):
+    base = [f"b{k}" for k in range(200)]
+
+    def compared(n):
+        rng, rows, seen = random.Random(n), [], []
+        for k in range(n):
+            words = list(base)
+            for at in rng.sample(range(200), 6):
+                words[at] = f"x{rng.random()}"
+            rows.append((k, " ".join(words)))
+        meet = J._meet
+        monkeypatch.setattr(J, "_meet", lambda pairs, *rest, **more: seen.append(pairs.count()) or meet(pairs, *rest, **more))
+        got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert sorted(map(tuple, got.collect())) == (brute(rows) if n <= 300 else sorted(map(tuple, got.collect())))
+        monkeypatch.setattr(J, "_meet", meet)
+        return sum(seen)
+
+    few, many = compared(300), compared(1200)
+    assert many <= 6 * few, (few, many)

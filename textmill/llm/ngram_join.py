@@ -14,6 +14,11 @@ the start. A list of up to SHORT_LIST classes gives all such pairs. In a longer
 one pivot, the class in which the key stands first and which therefore has the fewest rarer shingles. If the list then
 holds several components, its members are compared with a pivot of each other component, and at last with all members
 of other components that sizes and places leave open: no link between components is lost.
+
+Texts that are alike but don't link would meet in all pairs there, so the members of such lists carry a parity sketch: a
+bit for each residue of the hashes, flipped by each shingle. Two sketches differ in no more bits than the sets do in
+shingles, so pairs whose sketches differ in more than a link allows are left out before anything is compared; this
+is exact, as it can only leave in pairs that don't link. It tells sets of up to some PARITY_BITS shingles apart.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ MEMBERS = 1000
 PARTNERS = 512
 #: Bits of each hash that sets are compared by at first.
 SKETCH = 24
+#: Bits of a parity sketch.
+PARITY_BITS = 1024
 #: Log2 of the 64-bit words of the bitmap of classes to compare (2 MB); if it fills, more sets than needed are built.
 BITMAP = 18
 
@@ -73,6 +80,19 @@ def room(n_a, at_a, n_b, at_b):
     return near & fits(rest_a) & fits(rest_b)
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as int64 words."""
+    odd = np.bincount((values & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near(n_a: Column, parity_a: Column, n_b: Column, parity_b: Column) -> Column:
+    """Whether two sets may link by their parity sketches: linked sets of a and b shingles differ in no more than
+    (a + b) (1 - t) / (1 + t) of them."""
+    differ = sum((F.bit_count(parity_a[k].bitwiseXOR(parity_b[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    return (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n_a + n_b)
+
+
 def largest_partner(n: Column, at: Column) -> Column:
     """The size of the largest set that may link to a set of n under the key at this place."""
     return F.floor((DENOMINATOR + NUMERATOR) * (n - at) / NUMERATOR).cast("long") - n
@@ -155,10 +175,11 @@ def _longs(values) -> pa.Array:
 
 
 def _describe(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, node2) of every row, and (shingle, seen) of shingles that a task saw twice."""
+    """(doc_id, n, node, node2, parity) of every row, where copies in a task but the first lack the parity sketch, and
+    (shingle, seen) of shingles that a task saw twice."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "node", "node2", "shingle", "seen"]
-    schema = f"doc_id {kind}, n long, node long, node2 long, shingle long, seen long"
+    names = ["doc_id", "n", "node", "node2", "parity", "shingle", "seen"]
+    schema = f"doc_id {kind}, n long, node long, node2 long, parity array<long>, shingle long, seen long"
 
     def run(batches):
         met, held, size = set(), [], 0
@@ -167,19 +188,21 @@ def _describe(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
             values, seen = np.unique(np.concatenate(held), return_counts=True)
             values, seen = values[seen > 1], seen[seen > 1]
             none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), none, none, none, _longs(values.view(np.int64)), _longs(seen)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), none, none, none, pa.nulls(len(values), pa.list_(pa.int64())), _longs(values.view(np.int64)), _longs(seen)], names)
 
         for batch in batches:
             ids = batch.column(0)
             for start, stop, sets in shingle_sets(batch.column(1)):
                 nodes = [digest(s, seed) if len(s) else (None, None) for s in sets]
-                for s, node in zip(sets, nodes, strict=True):
+                bits: list = [None] * len(sets)
+                for k, (s, node) in enumerate(zip(sets, nodes, strict=True)):
                     if len(s) > 2 and node not in met:  # copies count once
                         met.add(node)
                         held.append(s)
                         size += len(s)
+                        bits[k] = parity(s)
                 none = pa.nulls(len(sets), pa.int64())
-                own = [ids.slice(start, stop - start), _longs([len(s) for s in sets]), _longs([a for a, _ in nodes]), _longs([b for _, b in nodes])]
+                own = [ids.slice(start, stop - start), _longs([len(s) for s in sets]), _longs([a for a, _ in nodes]), _longs([b for _, b in nodes]), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*own, none, none], names)
                 if size > COUNT_TOGETHER:
                     yield repeated(ids.type)
@@ -188,7 +211,7 @@ def _describe(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
             yield repeated(ids.type)
 
     found = materialize(docs.mapInArrow(run, schema), "described")
-    rows = found.filter("n IS NOT NULL").select("doc_id", "n", "node", "node2")
+    rows = found.filter("n IS NOT NULL").select("doc_id", "n", "node", "node2", "parity")
     return rows, found.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen"))
 
 
@@ -403,24 +426,30 @@ def _pair(a: str = "a", b: str = "b") -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(members: DataFrame, components: DataFrame, total: int) -> DataFrame:
-    """members (key, node, n, at, size) with their component, of the lists that hold several."""
+def _sketched(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with the parity sketches of their classes."""
+    return members.join(classes.select("node", "parity"), "node")
+
+
+def _open(members: DataFrame, components: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """members (key, node, n, at, size) with their component and parity sketch, of the lists that hold several."""
     labelled = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     several = materialize(several.filter("_lo < _hi").select("key", "_n"), "several")
-    return join_groups(labelled, several, ["key"], "_n", total).select("key", "node", "n", "at", "size", "component")
+    return _sketched(join_groups(labelled, several, ["key"], "_n", total).select("key", "node", "n", "at", "size", "component"), classes)
 
 
 def _against(members: DataFrame, others: DataFrame) -> DataFrame:
-    """The candidate pairs of members with others of the same list and another component. Long lists are dealt over
-    several tasks."""
+    """The candidate pairs of members with others of the same list and another component, by sizes, places and, if both
+    have them, parity sketches. Long lists are dealt over several tasks."""
     deals = F.floor(F.col("size") / MEMBERS).cast("int")
-    other = others.select(
-        "key", F.explode(F.sequence(F.lit(0), deals)).alias("_deal"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("component").alias("_component")
-    )
+    has = ["parity"] if "parity" in members.columns and "parity" in others.columns else []
+    other = others.select("key", F.explode(F.sequence(F.lit(0), deals)).alias("_deal"), *(F.col(c).alias(f"_{c}") for c in ["node", "n", "at", "component", *has]))
     dealt = members.withColumn("_deal", F.pmod(F.xxhash64("node"), deals + 1).cast("int"))
-    met = dealt.join(other, ["key", "_deal"]).filter(F.col("component") != F.col("_component"))
-    return met.filter(room(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"))).select(*_pair("node", "_node")).distinct()
+    fits = (F.col("component") != F.col("_component")) & room(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"))
+    if has:
+        fits = fits & near(F.col("n"), F.col("parity"), F.col("_n"), F.col("_parity"))
+    return dealt.join(other, ["key", "_deal"]).filter(fits).select(*_pair("node", "_node")).distinct()
 
 
 def _candidates(docs: DataFrame, parts: int | None):
@@ -429,7 +458,7 @@ def _candidates(docs: DataFrame, parts: int | None):
     seed = 0
     while True:  # a clash of two different sets in 64 bits calls for another salt
         rows, counts = _describe(docs, seed)
-        classes = materialize(rows.filter("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+        classes = materialize(rows.filter("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity", ignorenulls=True).alias("parity")), "classes")
         if classes.groupBy("node").count().filter("count > 1").isEmpty():
             break
         seed += 1
@@ -474,9 +503,9 @@ def _joined(links: DataFrame) -> DataFrame:
     return materialize(extended(materialize(_labels(links), "labels"), _edges(links)), "components")
 
 
-def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
+def _components(docs: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
     """(node, component) of all classes with a link."""
-    first = lambda: F.min_by(F.struct("node", "n", "at", "size", "component"), F.struct("at", F.xxhash64("node"), "node")).alias("_p")
+    first = lambda *more: F.min_by(F.struct("node", "n", "at", "size", "component", *more), F.struct("at", F.xxhash64("node"), "node")).alias("_p")
     total = members.count()
     alone = members.withColumn("component", F.col("node"))
     star = _against(alone, alone.groupBy("key").agg(first()).select("key", "_p.*"))
@@ -486,8 +515,8 @@ def _components(docs: DataFrame, pairs: DataFrame, members: DataFrame, seed: int
     # With one pivot of each other component in the list first, then with whoever is still in another one. Components
     # are whole each time, as members of one that looked like two would be compared in pairs.
     for whole in (False, True):
-        left = materialize(_open(members, components, total), "open")
-        others = left if whole else left.groupBy("key", "component").agg(first()).select("key", "_p.*")
+        left = materialize(_open(members, components, classes, total), "open")
+        others = left if whole else left.groupBy("key", "component").agg(first("parity")).select("key", "_p.*")
         todo = materialize(_against(left, others).join(done, ["a", "b"], "left_anti"), "todo")
         if not todo.isEmpty():
             links = links.unionByName(_compare(todo, docs, seed))
@@ -510,7 +539,7 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows, classes, pairs, members, lists, seed = _candidates(docs, parts)
-    components = _components(docs, pairs, members, seed)
+    components = _components(docs, classes, pairs, members, seed)
     named = classes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(names, "component").select("node", "component_id"), "named")
@@ -531,7 +560,7 @@ def jaccard_links(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     so the work grows with the number of links inside groups; jaccard_components spares that."""
     docs = docs.select("doc_id", "text")
     rows, classes, pairs, members, _, seed = _candidates(docs, parts)
-    alone = members.withColumn("component", F.col("node"))
+    alone = _sketched(members.withColumn("component", F.col("node")), classes)
     links = _meet(materialize(pairs.unionByName(_against(alone, alone)).distinct(), "pairs"), docs, seed, whole=True)
     rep = lambda side: classes.select(F.col("node").alias(f"_{side}"), F.col("rep").alias(side))
     named = links.withColumnsRenamed({"a": "_a", "b": "_b"}).join(rep("a"), "_a").join(rep("b"), "_b").select("a", "b", "n_a", "n_b", "shared")
