@@ -1,27 +1,13 @@
-"""Loops, tools, judges and tables of whole numbers."""
+"""Loops, retries and judges."""
 
-import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import udfs as U
 from textmill.operators import agents as G
 
 
-def test_tools_never_raise(spark):
-    def half(x):
-        return {"half": x / 2} if x else [][1]
-
-    tools = [U.Tool("half", half, {"x": int})]
-    calls = [("half", '{"x": 4}'), ("half", '{"x": 0}'), ("half", '{"x": true}'), ("half", '{"y": 1}'), ("half", "[1]"), ("half", None), ("nope", "{}")]
-    rows = U.run_calls(spark.createDataFrame([(i, *c) for i, c in enumerate(calls)], "id int, name string, arguments string"), tools).orderBy("id").collect()
-    assert [r.is_error for r in rows] == [False] + [True] * 6 and rows[0].content == '{"half": 2.0}'
-    starts = ["Error: IndexError: ", "Error: invalid arguments for half: x: not int", "Error: invalid arguments for half: x: missing; y: not expected", "Error: the arguments", "Error: the arguments", "Error: unknown tool"]
-    assert all(r.content.startswith(s) for r, s in zip(rows[1:], starts, strict=True))
-
-
 def test_judges_and_encoders(spark):
     answers = spark.createDataFrame([(1, "Cats purr. Dogs fly [1].", ["cats purr"]), (2, None, None), (3, "Cats.", None)], "answer_id int, answer string, sources array<string>")
     judge = U.judge_udf(lambda claim, sources: all(w in " ".join(sources).lower() for w in re.findall("[a-z]+", claim.lower())))
@@ -40,40 +26,10 @@ def test_loops_and_retries(spark):
     assert {r.item_id: (r.attempt, r.value) for r in found.collect()} == {"x": (2, 9), "y": (1, None), "z": (3, None)}
 
 
-class Busy(Exception):
-    status_code = 429
-
-    def __init__(self, after=None):
-        self.response = type("R", (), {"headers": {"retry-after": after} if after else {}})()
-
-
-def test_backoff():
-    waits, plan = [], [Busy("2.5"), Busy(), "done"]
-
-    def request():
-        x = plan.pop(0)
-        if isinstance(x, Exception):
-            raise x
-        return x
-
-    assert G.with_backoff(request, sleep=waits.append) == "done" and waits[0] == 2.5 and 2 <= waits[1] < 4
-    plan[:] = [Busy()] * 2
-    with pytest.raises(Busy):
-        G.with_backoff(request, tries=2, sleep=waits.append)
-    plan[:] = [KeyError("x")]
-    with pytest.raises(KeyError):
-        G.with_backoff(request, sleep=waits.append)
-
-
-def test_integer_tables():
-    rng = random.Random(1)
-    for _ in range(60):
-        rows, columns = [f"r{i}" for i in range(rng.randint(1, 5))], [f"c{i}" for i in range(rng.randint(1, 5))]
-        truth = {(r, c): rng.randint(0, 6) for r in rows for c in columns}
-        banned = {cell for cell, n in truth.items() if n == 0}
-        sums_r, sums_c = {r: sum(truth[r, c] for c in columns) for r in rows}, {c: sum(truth[r, c] for r in rows) for c in columns}
-        got = G.integer_table(sums_r, sums_c, lambda r, c, b=banned: (r, c) not in b)
-        assert all(n >= 0 for n in got.values()) and not any(got[cell] for cell in banned)
-        assert {r: sum(got[r, c] for c in columns) for r in rows} == sums_r and {c: sum(got[r, c] for r in rows) for c in columns} == sums_c
-    with pytest.raises(ValueError, match="no table"):
-        G.integer_table({"a": 1, "b": 1}, {"x": 1, "y": 1}, lambda r, c: c == "x")
+def test_retries_as_rows(spark):
+    rows = [("a", 1, 429, "2.5"), ("a", 2, 429, None), ("a", 3, 200, None), ("a", 4, 200, None), ("b", 1, 500, None), ("b", 2, 200, None), ("c", 1, 429, "1"), ("c", 2, 429, "x"), ("c", 3, 429, "9"), ("d", 1, 200, None), ("e", 1, None, None)]
+    df = spark.createDataFrame(rows, "request_id string, attempt int, status int, retry_after string")
+    got = {r.request_id: (r.calls, r.wait, r.ok) for r in G.retry_waits(df, tries=3).collect()}
+    assert got["a"][::2] == (3, True) and 4.5 <= got["a"][1] < 6.5
+    assert got["b"] == (1, 0.0, False) and got["d"] == (1, 0.0, True) and got["e"] == (1, 0.0, False)
+    assert got["c"][::2] == (3, False) and 3 <= got["c"][1] < 5

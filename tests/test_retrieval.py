@@ -160,9 +160,10 @@ def test_generation(spark):
 
 
 def test_allocation_and_statuses(spark):
-    assert K.allocate_slots([("a", "x", 90), ("a", "y", 9), ("b", "x", 1)], 10) == {("a", "x"): 8, ("a", "y"): 1, ("b", "x"): 1}
-    assert K.allocate_slots([("a", "x", 2), ("b", "x", 3)], 99) == {("a", "x"): 2, ("b", "x"): 3}
-    assert K.allocate_slots([("a", "x", 2)], 0) == {("a", "x"): 0} and K.allocate_slots([], 5) == {}
+    slots = lambda strata, n: {(r.source, r.kind): r.slots for r in K.allocate_slots(spark.createDataFrame(strata, "source string, kind string, size long"), n).collect()}
+    assert slots([("a", "x", 90), ("a", "y", 9), ("b", "x", 1)], 10) == {("a", "x"): 8, ("a", "y"): 1, ("b", "x"): 1}
+    assert slots([("a", "x", 2), ("b", "x", 3)], 99) == {("a", "x"): 2, ("b", "x"): 3}
+    assert slots([("a", "x", 2)], 0) == {("a", "x"): 0} and slots([], 5) == {}
     rows = spark.createDataFrame([("pass", False, 0), ("pass", True, 0), ("fail", False, 0), (None, None, 0), ("pass", None, 9)], "s string, t boolean, age int")
     day = F.lit("2026-03-10").cast("date")
     why = rows.select(K.lab_blocker(F.col("s"), F.col("t"), F.date_sub(day, F.col("age")), day, 5).alias("w"), K.passed(F.col("s"), F.col("t")).alias("p")).collect()

@@ -1,12 +1,10 @@
-"""Extension points: a judge of claims, an encoder that is loaded once per worker, and a registry of tools.
+"""Extension points: a judge of claims, and an encoder that is loaded once per worker.
 
 User code runs in Arrow batches inside the workers; what is built around it stays in the JVM."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,50 +43,3 @@ def embed_udf(load: Callable[[], Callable[[list[str]], list[list[float]]]]):
             yield pd.Series([[float(x) for x in v] for v in encode([t or "" for t in texts])])
 
     return run
-
-
-@dataclass(frozen=True)
-class Tool:
-    """A named function with the types of its arguments, all of them required."""
-
-    name: str
-    fn: Callable
-    args: dict[str, type]
-    description: str = ""
-
-    def problem(self, given: dict) -> str | None:
-        wrong = [f"{k}: missing" for k in self.args if k not in given] + [f"{k}: not expected" for k in given if k not in self.args]
-        wrong += [f"{k}: not {t.__name__}" for k, t in self.args.items() if k in given and (not isinstance(given[k], t) or (t is not bool and isinstance(given[k], bool)))]
-        return "; ".join(wrong) or None
-
-
-def execute(tools: list[Tool], name: str, arguments: str | None) -> tuple[str, bool]:
-    """What a call gives, as JSON, or an error text; it never raises."""
-    by_name = {t.name: t for t in tools}
-    if name not in by_name:
-        return f"Error: unknown tool {name!r}. Available tools: {sorted(by_name)}", True
-    try:
-        given = json.loads(arguments or "")
-    except json.JSONDecodeError:
-        given = None
-    if not isinstance(given, dict):
-        return "Error: the arguments are not a JSON object", True
-    tool = by_name[name]
-    if problem := tool.problem(given):
-        return f"Error: invalid arguments for {name}: {problem}", True
-    try:
-        return json.dumps(tool.fn(**given)), False
-    except Exception as error:  # noqa: BLE001 - a tool's failure is a result
-        return f"Error: {type(error).__name__}: {error}", True
-
-
-def run_calls(calls: DataFrame, tools: list[Tool]) -> DataFrame:
-    """calls (name, arguments, and others) with content and is_error."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calls.schema) + ", content string, is_error boolean"
-
-    def run(frames):
-        for frame in frames:
-            done = [execute(tools, n, a) for n, a in zip(frame["name"], frame["arguments"], strict=True)]
-            yield frame.assign(content=[c for c, _ in done], is_error=[e for _, e in done])
-
-    return calls.mapInPandas(run, schema)

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import random
-import time
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators.quality import hash_uniform
+
+
+def retry_waits(attempts: DataFrame, tries: int = 5, base: float = 1.0, seed: str = "retry") -> DataFrame:
+    """(request_id, calls, wait, ok) of recorded requests: how often each is sent, how long it waits in all, and if it succeeds.
 
-def with_backoff(request: Callable, tries: int = 5, base: float = 1.0, sleep: Callable = time.sleep):
-    """request(), again after a wait while it fails with status 429: as long as it asks for, else doubling with jitter."""
-    for attempt in range(1, tries + 1):
-        try:
-            return request()
-        except Exception as error:
-            if getattr(error, "status_code", None) != 429 or attempt == tries:
-                raise
-            headers = getattr(getattr(error, "response", None), "headers", None) or {}
-            asked = headers.get("retry-after")
-            try:
-                wait = float(asked)
-            except (TypeError, ValueError):
-                wait = base * 2 ** (attempt - 1) * (1 + random.random())
-            sleep(wait)
+    attempts: (request_id, attempt from 1, status, retry_after). A request is sent again after status 429, up to ``tries``
+    times; the first other status ends it, and only 200 is a success. A wait is what the answer asks for, if that is a
+    number of seconds, or else doubles from ``base`` with up to as much again, by a hash of request and attempt."""
+    ends = attempts.groupBy("request_id").agg(F.min(F.when(F.coalesce(F.col("status") != 429, F.lit(True)), F.col("attempt"))).alias("_end"))
+    sent = attempts.join(ends, "request_id").filter((F.col("attempt") <= tries) & (F.col("_end").isNull() | (F.col("attempt") <= F.col("_end"))))
+    again = (F.col("status") == 429) & (F.col("attempt") < tries)
+    wait = F.coalesce(F.col("retry_after").try_cast("double"), base * F.pow(F.lit(2.0), F.col("attempt") - 1) * (1 + hash_uniform(F.lit(seed), F.col("request_id"), F.col("attempt"))))
+    return sent.groupBy("request_id").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.when(again, wait)), F.lit(0.0)).alias("wait"), F.bool_or(F.coalesce(F.col("status") == 200, F.lit(False))).alias("ok"))
 
 
 def replay_loops(steps: DataFrame, most: int) -> DataFrame:
@@ -76,46 +70,3 @@ def seed_thresholds(gaps: DataFrame, offset: float = 0.0) -> DataFrame:
     found = gaps.groupBy("key").agg(F.min(gap).alias("min_gap"), F.max(F.abs(F.col("value") - F.col("again"))).alias("noise"))
     good = (F.col("min_gap") > 0) & (F.col("min_gap") >= 2 * F.coalesce("noise", F.lit(0.0)))
     return found.select("key", "min_gap", "noise", good.alias("assertable"), F.when(good, F.lit(offset) + F.col("min_gap") / 2).alias("threshold"))
-
-
-def integer_table(rows: dict[str, int], columns: dict[str, int], allowed: Callable[[str, str], bool]) -> dict[tuple[str, str], int]:
-    """Whole numbers with the given sums, 0 where allowed says no, as even as proportional fitting makes them; ValueError if there
-    are none. For a few dozen strata: the fitted table is rounded down, and what is missing is moved along augmenting paths."""
-    cells = {(r, c): float(allowed(r, c)) for r in rows for c in columns}
-    for _ in range(500):
-        for side, want in ((0, rows), (1, columns)):
-            sums = dict.fromkeys(want, 0.0)
-            for cell, x in cells.items():
-                sums[cell[side]] += x
-            cells = {cell: x * want[cell[side]] / sums[cell[side]] if sums[cell[side]] else 0.0 for cell, x in cells.items()}
-    table = {cell: int(x + 1e-9) for cell, x in cells.items()}
-    left = {r: n - sum(table[r, c] for c in columns) for r, n in rows.items()}
-    room = {c: n - sum(table[r, c] for r in rows) for c, n in columns.items()}
-
-    def place(r: str, seen: set[str]) -> bool:
-        """One more in row r: in a column with room, or in one from which another row can move."""
-        for c in columns:
-            if not allowed(r, c) or c in seen:
-                continue
-            seen.add(c)
-            if room[c] > 0:
-                room[c] -= 1
-                table[r, c] += 1
-                return True
-            for other in rows:
-                if other != r and table[other, c] > 0:
-                    table[other, c] -= 1
-                    if place(other, seen):
-                        table[r, c] += 1
-                        return True
-                    table[other, c] += 1
-        return False
-
-    for r in rows:
-        while left[r] > 0:
-            if not place(r, set()):
-                raise ValueError(f"no table has the row sums {rows} and the column sums {columns}")
-            left[r] -= 1
-    if any(room.values()):
-        raise ValueError("row and column sums differ")
-    return table

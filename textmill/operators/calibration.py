@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textmill.operators.ordering import place, running
 
 
 def width_bin(conf: Column, m: int) -> Column:
@@ -27,33 +28,29 @@ def ece(table: DataFrame) -> DataFrame:
 def mass_bins(df: DataFrame, m: int, tie: str) -> DataFrame:
     """df with bin from 1: m groups of as equal size as can be, the first ones larger, by confidence and tie.
 
-    Only the counts of distinct confidences are put in one order; rows of one confidence are ranked by themselves. Rows
+    Rows are put in one order part by part, so neither a common confidence nor a common tie gathers in one task. Rows
     without a confidence have no bin and are left out."""
-    counts = df.filter("conf IS NOT NULL").groupBy("conf").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("conf").orderBy(tie)) - 1)
-    rows = ranked.join(counts.select("conf", earlier.alias("_before")), "conf").join(F.broadcast(total))
-    place, small, larger = F.col("_before") + F.col("_r"), F.expr(f"_all div {m}"), F.col("_all") % m
+    rows = place(df.filter("conf IS NOT NULL"), [F.col("conf"), F.col(tie)], "_place", 0)
+    rows = rows.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_all"))))
+    at, small, larger = F.col("_place"), F.expr(f"_all div {m}"), F.col("_all") % m
     edge = larger * (small + 1)
-    number = F.when(place < edge, F.floor(place / (small + 1))).otherwise(larger + F.floor((place - edge) / F.greatest(small, F.lit(1))))
-    return rows.withColumn("bin", (number + 1).cast("int")).drop("_r", "_before", "_all")
+    number = F.when(at < edge, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - edge) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("bin", (number + 1).cast("int")).drop("_place", "_all")
 
 
 def risk_coverage(df: DataFrame) -> DataFrame:
-    """(conf, coverage, risk): one point for each distinct confidence, high to low.
+    """(conf, coverage, risk, share): one point for each distinct confidence, high to low, with the share of rows that it adds.
 
-    Confidences are counted first; only distinct values are put in one order."""
+    Confidences are counted first, and put in one order part by part."""
     counts = df.groupBy("conf").agg(F.count(F.lit(1)).alias("_n"), F.sum(1 - F.col("correct")).alias("_e"))
-    upto = Window.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("_n").alias("_all"))
-    n, e = F.sum("_n").over(upto), F.sum("_e").over(upto)
-    return counts.join(F.broadcast(total)).select("conf", (n / F.col("_all")).alias("coverage"), (e / n).alias("risk"))
+    upto = running(counts, [F.desc("conf")], {"_upto": F.col("_n"), "_errors": F.col("_e")}).join(F.broadcast(total))
+    return upto.select("conf", (F.col("_upto") / F.col("_all")).alias("coverage"), (F.col("_errors") / F.col("_upto")).alias("risk"), (F.col("_n") / F.col("_all")).alias("share"))
 
 
 def aurc(curve: DataFrame) -> DataFrame:
-    step = F.col("coverage") - F.lag("coverage", 1, 0.0).over(Window.orderBy(F.desc("conf")))
-    return curve.select((step * F.col("risk")).alias("_a")).agg(F.sum("_a").alias("aurc"))
+    """The area under the curve of risk_coverage."""
+    return curve.agg(F.sum(F.col("share") * F.col("risk")).alias("aurc"))
 
 
 def choose_threshold(df: DataFrame, wrong: float, abstain: float) -> DataFrame:
@@ -82,14 +79,13 @@ def choose_thresholds(df: DataFrame, by: str, wrong: float, ask: float, miss: fl
     ).filter("_all IS NOT NULL")
     ends = whole.select(F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.coalesce(F.col("_top") + 1, F.lit(0))))).alias("_v"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_e"))
     values = counts.filter(~blank).unionByName(ends).groupBy("_v").agg(F.sum("_n").alias("_n"), F.sum("_e").alias("_e"))
-    below = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("_v").rowsBetween(0, Window.unboundedFollowing)
-    before = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0.0))
-    sums = values.select(
-        "_v", F.round(before(escalate * F.col("_n") - asked), 6).alias("_low"), F.round(before(asked) + F.sum(wrong * F.col("_e")).over(onward), 6).alias("_high")
-    )
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = sums.withColumn("_b", F.min(F.struct("_low", "_v")).over(upto)).select(F.round(F.col("_b._low") + F.col("_high"), 6).alias("_cost"), F.col("_b._v").alias("esc"), F.col("_v").alias("act"))
+    # What stands behind is all that there is less what stands before: no window runs backwards.
+    every = values.agg(F.sum(wrong * F.col("_e")).alias("_wrongs"))
+    cost = {"_less": escalate * F.col("_n") - asked, "_asked": asked.cast("double"), "_wrong": (wrong * F.col("_e")).cast("double")}
+    sums = running(values, [F.col("_v")], cost, before=True).join(F.broadcast(every))
+    sums = sums.select("_v", F.round("_less", 6).alias("_low"), F.round(F.col("_asked") + F.col("_wrongs") - F.col("_wrong"), 6).alias("_high"))
+    upto = running(sums, [F.col("_v")], mins={"_b": F.struct("_low", "_v")})
+    pairs = upto.select(F.round(F.col("_b._low") + F.col("_high"), 6).alias("_cost"), F.col("_b._v").alias("esc"), F.col("_v").alias("act"))
     best = pairs.agg(F.min(F.struct("_cost", "esc", "act")).alias("b"))
     return best.join(F.broadcast(whole)).select("b.esc", "b.act", ((F.col("b._cost") + F.col("_blank")) / F.col("_all")).alias("cost"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.operators.ordering import place
+
 
 def validate(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rule) of each rule that a row breaks; a rule that is null counts as broken."""
@@ -15,12 +17,12 @@ def validate(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 def largest_remainder(shares: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """(key, n): total apportioned by weight, leftovers to the largest remainders, ties to the smaller key."""
-    every = Window.partitionBy()
-    exact = total * F.col(weight) / F.sum(weight).over(every)
-    rows = shares.select(key, F.floor(exact).alias("_base"), F.round(exact - F.floor(exact), 9).alias("_rest"))
-    left = total - F.sum("_base").over(every)
-    place = F.row_number().over(Window.orderBy(F.desc("_rest"), key))
-    return rows.select(key, (F.col("_base") + (place <= left).cast("long")).alias("n"))
+    every = shares.agg(F.sum(weight).alias("_all"))
+    exact = total * F.col(weight) / F.col("_all")
+    rows = shares.join(F.broadcast(every)).select(key, F.floor(exact).alias("_base"), F.round(exact - F.floor(exact), 9).alias("_rest"))
+    ranked = place(rows, [F.desc("_rest"), F.col(key)], "_place")
+    left = ranked.agg((total - F.sum("_base")).alias("_left"))
+    return ranked.join(F.broadcast(left)).select(key, (F.col("_base") + (F.col("_place") <= F.col("_left")).cast("long")).alias("n"))
 
 
 def hash_uniform(*parts: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions.text import alnum_tokens, tokenize
+from textmill.operators.ordering import place
 
 
 def token_table(docs: DataFrame, tokens=tokenize, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,10 +27,9 @@ def term_table(docs: DataFrame, tokens=alnum_tokens, key: str = "doc_id", text:
 def build_vocab(tokens: DataFrame, min_count: int = 2, first_id: int = 2) -> DataFrame:
     """(term, n, id): ids from first_id by count, the largest first, then by term. 0 and 1 are left to ``<unk>`` and ``<s>``.
 
-    Ids are dense, so counts are ranked in one order; only the vocabulary, not the tokens, passes there."""
+    Ids are dense: the vocabulary is put in one order, part by part."""
     counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-    order = F.row_number().over(Window.orderBy(F.desc("n"), "term"))
-    return counts.withColumn("id", (order + first_id - 1).cast("int"))
+    return place(counts, [F.desc("n"), F.col("term")], "id", first_id).withColumn("id", F.col("id").cast("int"))
 
 
 def encode(tokens: DataFrame, vocab: DataFrame, drop_unknown: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.operators.ordering import running
+
 
 def dedupe_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key by order. Aggregated with partial combination, so a hot key moves one row a task."""
@@ -40,12 +42,12 @@ def merge_ranges(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the 0-based rank of value, the mean of its places for ties.
+    """df with the 0-based rank of value, the mean of its places for ties. Rows without a value are left out.
 
-    Ranks come from the counts of distinct values, so only these are put in one order."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(value, (before + (F.col("_c") - 1) / 2).alias(name)), value)
+    Ranks come from the counts of distinct values, put in one order part by part."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts, [F.col(value)], {"_before": F.col("_c")}, before=True)
+    return df.join(ranked.select(value, (F.col("_before") + (F.col("_c") - 1) / 2).alias(name)), value)
 
 
 def nucleus(df: DataFrame, group: str, p: str, tie: str, mass: float) -> DataFrame:

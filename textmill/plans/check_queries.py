@@ -150,6 +150,5 @@ def merge_annotations(t):
 @query("manifest_allocate")
 def manifest_allocate(t):
     """200 slots over the strata of source and language, at least one for each source."""
-    n = t("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).filter("source IS NOT NULL AND lang IS NOT NULL")
-    got = K.allocate_slots([(r.source, r.lang, r.n) for r in n.orderBy(F.desc("n"), "source", "lang").limit(10_000).collect()], 200)
-    return n.sparkSession.createDataFrame([(s, k, c) for (s, k), c in sorted(got.items())], "source string, lang string, slots long")
+    n = t("documents").groupBy("source", F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("size")).filter("source IS NOT NULL AND kind IS NOT NULL")
+    return K.allocate_slots(n, 200).withColumnRenamed("kind", "lang")

@@ -12,6 +12,7 @@ from textmill.functions import arrays as A
 from textmill.operators import calibration as C
 from textmill.operators import vectors as V
 from textmill.operators import windows as W
+from textmill.operators.quantiles import quantiles
 from textmill.plans.registry import query
 
 REC = "rec AS (SELECT event_id, user_id, event_type, ts, value, CAST(props->>'$.k' AS INT) AS k, CAST(props->>'$.k' AS INT) / 100.0::DOUBLE AS conf, CAST(value < 50 AS INT) AS correct FROM events)"
@@ -73,7 +74,7 @@ RC = f"{REC}, c AS (SELECT conf, count(*) AS n, sum(1 - correct) AS e FROM rec G
 
 @query("risk_coverage", f"WITH {RC} SELECT conf, round(coverage, 6) AS coverage, round(risk, 6) AS risk FROM curve")
 def risk_coverage(t):
-    return rnd(C.risk_coverage(rec(t)), "coverage", "risk")
+    return rnd(C.risk_coverage(rec(t)).drop("share"), "coverage", "risk")
 
 
 @query("aurc", f"WITH {RC} SELECT round(sum(a), 6) AS aurc FROM (SELECT (coverage - lag(coverage, 1, 0) OVER (ORDER BY conf DESC)) * risk AS a FROM curve)")
@@ -98,9 +99,16 @@ def threshold_report(t):
     return row.select(F.explode(F.array(*(F.struct(F.lit(tau).alias("tau"), F.col(f"c{i}").alias("coverage"), F.col(f"r{i}").alias("risk")) for i, tau in enumerate(taus)))).alias("g")).select("g.*")
 
 
+def _two_quantiles(rows, by, value):
+    """(by, p50, p95)"""
+    found = quantiles(rows, by, value, [0.5, 0.95]).groupBy(*by)
+    return found.agg(*(F.round(F.max(F.when(F.col("p") == p, F.col("quantile"))), 6).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))))
+
+
 @query("decider_table", f"WITH {REC} SELECT event_type, count(*) AS n, round(avg(CAST(conf >= 0.1 AS INT)), 6) AS validity, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM rec GROUP BY event_type")
 def decider_table(t):
-    return rec(t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("conf") >= 0.1).cast("int")), 6).alias("validity"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    sums = rec(t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("conf") >= 0.1).cast("int")), 6).alias("validity"))
+    return sums.join(_two_quantiles(rec(t), ["event_type"], "value"), "event_type")
 
 
 @query("score_grouping_sets", f"""WITH {REC}, s AS (SELECT event_type, user_id % 3 AS kind, count(*) AS n, avg(correct) AS r, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.95) AS q FROM rec GROUP BY GROUPING SETS ((), (event_type), (user_id % 3)))
@@ -109,8 +117,13 @@ def score_grouping_sets(t):
     rows = rec(t).withColumn("kind", F.col("user_id") % 3)
     n = F.count(F.lit(1))
     r = F.avg("correct")
-    out = rows.groupingSets([[], ["event_type"], ["kind"]], "event_type", "kind").agg(n.alias("n"), F.round(r, 6).alias("rate"), F.round(F.sqrt(r * (1 - r) / n), 6).alias("rate_se"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value") / F.sqrt(n), 6).alias("mean_se"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
-    return out.select(F.coalesce("event_type", F.lit("all")).alias("source"), F.coalesce(F.col("kind").cast("string"), F.lit("all")).alias("kind"), "n", "rate", "rate_se", "mean", "mean_se", "p95")
+    out = rows.groupingSets([[], ["event_type"], ["kind"]], "event_type", "kind").agg(n.alias("n"), F.round(r, 6).alias("rate"), F.round(F.sqrt(r * (1 - r) / n), 6).alias("rate_se"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value") / F.sqrt(n), 6).alias("mean_se"))
+    named = out.withColumns({"source": F.coalesce("event_type", F.lit("all")), "kind": F.coalesce(F.col("kind").cast("string"), F.lit("all"))})
+    every, kind = F.lit("all"), F.col("kind").cast("string")
+    sets = F.array(*(F.struct(a.alias("source"), b.alias("kind")) for a, b in ((every, every), (F.col("event_type"), every), (every, kind))))
+    tail = quantiles(rows.select(F.explode(sets).alias("s"), "value").select("s.*", "value"), ["source", "kind"], "value", [0.95])
+    tail = tail.select("source", "kind", F.round("quantile", 6).alias("p95"))
+    return named.join(tail, ["source", "kind"], "left").select("source", "kind", "n", "rate", "rate_se", "mean", "mean_se", "p95")
 
 
 @query("paired_compare", f"WITH {REC}, a AS (SELECT user_id, avg(correct) AS x FROM rec WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, avg(correct) AS y FROM rec WHERE event_type = 'view' GROUP BY 1) SELECT count(*) AS n, count_if(y > x) AS gained, count_if(y < x) AS lost, round(avg(y - x), 6) AS delta FROM a JOIN b USING (user_id)")

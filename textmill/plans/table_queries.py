@@ -10,6 +10,7 @@ from textmill.functions.arrays import ngrams
 from textmill.operators import quality as Q
 from textmill.operators import retrieval as S
 from textmill.operators import terms as O
+from textmill.operators.ordering import place
 from textmill.plans.registry import query
 from textmill.plans.term_queries import BM25, TFIDF, bm25_scores, n_docs, tfidf_cosine_topk
 from textmill.plans.text_queries import ALNUM_SQL
@@ -179,7 +180,7 @@ def union_lists(t):
 @query("distinct_first_seen", "SELECT event_type, min(event_id) AS first, row_number() OVER (ORDER BY min(event_id)) AS place FROM events GROUP BY event_type")
 def distinct_first_seen(t):
     first = t("events").groupBy("event_type").agg(F.min("event_id").alias("first"))
-    return first.withColumn("place", F.row_number().over(Window.orderBy("first")))
+    return place(first, [F.col("first")], "place")
 
 
 @query("top_values", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 12")

@@ -51,9 +51,12 @@ def document(head: DataFrame, parts: dict[str, tuple[DataFrame, str]], most: int
 
 
 def markdown_table(rows: DataFrame, order: str, most: int = 1000) -> str:
-    """An aligned Markdown table of a short frame."""
+    """An aligned Markdown table of a short frame; one of more than ``most`` rows is refused rather than cut."""
     names = rows.columns
-    cells = [names, *([("" if v is None else str(v)) for v in r] for r in rows.orderBy(order).limit(most).collect())]
+    found = rows.orderBy(order).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the table has more than {most} rows: write it as files")
+    cells = [names, *([("" if v is None else str(v)) for v in r] for r in found)]
     width = [max(3, *(len(r[i]) for r in cells)) for i in range(len(names))]
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, width, strict=True)) + " |"
     return "\n".join([line(cells[0]), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, cells[1:])])

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.operators.ordering import running
+
 #: Kinds of customers: share, invoices a month, lines, quantities, chance to leave, mean days until then.
 KINDS = {
     "regular": (0.35, 1.2, (2, 8), (1, 6), 0.2, 400), "big": (0.10, 2.5, (5, 15), (4, 24), 0.1, 600), "rare": (0.30, 0.3, (1, 4), (1, 3), 0.3, 300),
@@ -62,9 +64,9 @@ def purchases(spark: SparkSession, customers: int, products: int = 200, seed: in
     # Numbers follow the days: each day's invoices are ranked by themselves and begin after all earlier days'.
     invoices = rows.select("invoice_date", "customer_id", "no").distinct()
     days = invoices.groupBy("invoice_date").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("invoice_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = running(days, [F.col("invoice_date")], {"_before": F.col("_c")}, before=True)
     numbered = invoices.withColumn("_r", F.row_number().over(Window.partitionBy("invoice_date").orderBy("customer_id", "no")))
-    numbered = numbered.join(days.select("invoice_date", before.alias("_before")), "invoice_date")
+    numbered = numbered.join(days.select("invoice_date", "_before"), "invoice_date")
     ids = numbered.select("invoice_date", "customer_id", "no", (F.col("_before") + F.col("_r")).alias("invoice_id"))
     return rows.join(ids, ["invoice_date", "customer_id", "no"]).select("invoice_id", "invoice_date", "customer_id", "country", "stock_code", "quantity", "unit_price")
 
