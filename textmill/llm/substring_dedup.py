@@ -11,7 +11,8 @@ they are. All others are counted in Spark by 128-bit hashes: the smallest doc_id
 fills up, more windows are counted than need be, never fewer.
 
 Equal word sequences are one class: its documents but that with the smallest doc_id lose all words if they have a
-window, so a class sends its windows once per task.
+window, so only that document sends its windows. It is told by a second bitmap, of all such documents; where this fills
+up, copies send theirs too.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, in_bitmap, join_groups, materialize, sent_bitmap
+from textmill.llm.common import discard, in_bitmap, join_groups, key_bitmap, materialize, rows_that_may_hold, sent_bitmap
 from textmill.llm.shingles import _BASE, _mixed, _slices, rolled, text_bytes, word_hashes
 
 #: Words of a window.
@@ -91,11 +92,60 @@ def _blocks(batch: pa.RecordBatch, both: bool, window: int, gram: int):
         yield start, part, inner, at, first, second, anchors(h, window, gram)[begin], row
 
 
-def _describe(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, n_words, text_sha256) of every row, and (anchor, low, high) of anchors with the smallest and largest
-    doc_id, put together within a task."""
-    names = ["doc_id", "n_words", "text_sha256", "anchor", "low", "high"]
-    schema = "doc_id long, n_words long, text_sha256 string, anchor long, low long, high long"
+def _describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, text_sha256) of every row, the digest of its words joined by one space."""
+    names = ["doc_id", "n_words", "text_sha256"]
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(1))
+            n, digests = [], []
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                words = words_of(data[a:z].tobytes())
+                n.append(len(words))
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string())], names)
+
+    return materialize(docs.mapInArrow(run, "doc_id long, n_words long, text_sha256 string"), "described")
+
+
+def _member(doc: int, node: int) -> int:
+    """A hash of a document and its class."""
+    return int(_mixed(np.array([doc, node], np.int64).view(np.uint64) * np.uint64(_BASE)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _firsts(rows: DataFrame, window: int) -> DataFrame:
+    """(member): _member of the first document of each class of equal word sequences."""
+    least = rows.filter(f"n_words >= {window} AND doc_id IS NOT NULL").groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
+
+    def run(batches):
+        for batch in batches:
+            nodes = [_node(bytes.fromhex(d)) for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_member(d, n) for d, n in zip(batch.column(0).to_pylist(), nodes, strict=True)], pa.int64())], ["member"])
+
+    return least.select("doc_id", "text_sha256").mapInArrow(run, "member long")
+
+
+def _chosen(batch: pa.RecordBatch, firsts, both: bool, window: int, gram: int, wanted=None):
+    """(doc_ids, row, first, second, anchors) of the windows of documents that are the first of their class, run of texts by
+    run of texts; wanted: a bitmap that one of a document's anchors must be in."""
+    unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+    ids = batch.column(0).fill_null(0).to_numpy()
+    for start, data, bounds, _, first, second, anchor, row in _blocks(batch, both, window, gram):
+        hit = ~unnamed[start + row]
+        if wanted is not None:
+            hit &= in_bitmap(wanted.value, anchor)
+        sent = np.zeros(len(bounds) - 1, bool)
+        for k in np.unique(row[hit]).tolist():
+            words = words_of(data[bounds[k] : bounds[k + 1]].tobytes())
+            node, doc = _node(hashlib.sha256(b" ".join(words)).digest()), int(ids[start + k])
+            sent[k] = in_bitmap(firsts.value, np.array([_member(doc, node)]).view(np.uint64))[0]
+        hit &= sent[row]
+        yield ids[start + row[hit]], row[hit], first[hit] if both else None, second[hit] if both else None, anchor[hit]
+
+
+def _anchors(docs: DataFrame, firsts, window: int, gram: int) -> DataFrame:
+    """(anchor, low, high): the anchors of windows with the smallest and largest doc_id, put together within a task."""
 
     def run(batches):
         held, size = [], 0
@@ -104,28 +154,15 @@ def _describe(docs: DataFrame, window: int, gram: int) -> DataFrame:
             values, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((ids, values))
             values, ids = values[order], ids[order]
-            new = np.concatenate([[True], values[1:] != values[:-1]])
-            start = np.flatnonzero(new)
+            start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
             last = np.append(start[1:], len(values)) - 1
-            none = pa.nulls(len(start), pa.int64())
-            columns = [none, none, pa.nulls(len(start), pa.string()), *(pa.array(x) for x in (values[start].view(np.int64), ids[start], ids[last]))]
-            return pa.RecordBatch.from_arrays(columns, names)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (values[start].view(np.int64), ids[start], ids[last])], ["anchor", "low", "high"])
 
         for batch in batches:
-            unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            for start, data, bounds, _, _, _, anchor, row in _blocks(batch, False, window, gram):
-                n, digests = [], []
-                for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    words = words_of(data[a:z].tobytes())
-                    n.append(len(words))
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.string()), none, none, none], names)
+            for ids, row, _, _, anchor in _chosen(batch, firsts, False, window, gram):
                 new = np.ones(len(row), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-                new &= ~unnamed[start + row]
-                held.append((anchor[new], ids[start + row[new]]))
+                held.append((anchor[new], ids[new]))
                 size += int(new.sum())
                 if size > TOGETHER:
                     yield together()
@@ -133,76 +170,48 @@ def _describe(docs: DataFrame, window: int, gram: int) -> DataFrame:
         if size:
             yield together()
 
-    return materialize(docs.mapInArrow(run, schema), "described")
+    found = docs.mapInArrow(run, "anchor long, low long, high long")
+    return found.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _windows(docs: DataFrame, wanted, window: int, gram: int) -> DataFrame:
-    """(a, b, doc_id, node): the two hashes of windows whose anchor is in the bitmap, once for each document, and of equal
-    documents in one task for that with the smallest doc_id only."""
-    names = ["a", "b", "doc_id", "node"]
+def _windows(docs: DataFrame, wanted, firsts, window: int, gram: int) -> DataFrame:
+    """(a, b, doc_id): the two hashes of windows whose anchor is in the bitmap, once for each document, and of equal
+    documents for the first only."""
 
     def run(batches):
-        met: dict[int, int] = {}
         for batch in batches:
-            unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            for start, data, bounds, _, first, second, anchor, row in _blocks(batch, True, window, gram):
-                hit = in_bitmap(wanted.value, anchor) & ~unnamed[start + row]
-                nodes = np.zeros(len(bounds) - 1, np.int64)
-                sent = np.zeros(len(bounds) - 1, bool)
-                for k in np.unique(row[hit]).tolist():
-                    words = words_of(data[bounds[k] : bounds[k + 1]].tobytes())
-                    nodes[k] = node = _node(hashlib.sha256(b" ".join(words)).digest())
-                    if ids[start + k] < met.get(node, 1 << 63):
-                        met[node] = int(ids[start + k])
-                        sent[k] = True
-                hit &= sent[row]
-                a, b, row = first[hit], second[hit], row[hit]
+            for ids, row, a, b, _ in _chosen(batch, firsts, True, window, gram, wanted):
                 order = np.lexsort((b, a, row))
-                a, b, row = a[order], b[order], row[order]
+                a, b, ids, row = a[order], b[order], ids[order], row[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (row[1:] != row[:-1])
-                a, b, row = a[new], b[new], row[new]
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), ids[start + row], nodes[row])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new].view(np.int64), b[new].view(np.int64), ids[new])], ["a", "b", "doc_id"])
 
-    return materialize(docs.mapInArrow(run, "a long, b long, doc_id long, node long"), "windows")
+    return materialize(docs.mapInArrow(run, "a long, b long, doc_id long"), "windows")
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """(doc_id, node, hashes): the windows of each document that a document with a smaller doc_id has too."""
+    """(doc_id, hashes): the windows of each document that a document with a smaller doc_id has too."""
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
     first = materialize(first.filter("_first < _last").drop("_last"), "first")
     met = join_groups(windows, first, ["a", "b"], "_n", windows.count()).filter(F.col("_first") < F.col("doc_id"))
-    return materialize(met.groupBy("doc_id", "node").agg(F.collect_list("a").alias("hashes")), "repeated")
+    found = materialize(met.groupBy("doc_id").agg(F.collect_list("a").alias("hashes")), "repeated")
+    discard(first)
+    return found
 
 
 def _kept(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     """(doc_id, text_sha256, n_removed, intervals, kept_sha256) of the documents that lose words. Only their texts move."""
-    wanted = sent_bitmap(repeated, "node")
-    names = ["doc_id", "node", "text"]
-
-    def pick(batches):
-        met = set()
-        for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
-            rows, nodes = [], []
-            for k, (doc, a, z) in enumerate(zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if doc is not None and z - a >= 2 * window - 1:
-                    node = _node(hashlib.sha256(b" ".join(words_of(data[a:z].tobytes()))).digest())
-                    if (doc, node) not in met and in_bitmap(wanted.value, np.array([node]).view(np.uint64))[0]:
-                        met.add((doc, node))
-                        rows.append(k)
-                        nodes.append(node)
-            if rows:
-                got = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(nodes, pa.int64()), got.column(1)], names)
+    keyed = lambda rows: rows.withColumn("_key", F.xxhash64("doc_id"))
+    wanted = materialize(key_bitmap(keyed(repeated), "_key"), "losers")
+    texts = rows_that_may_hold(keyed(docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * window - 1))), "_key", wanted)
 
     def cut(batches):
         for batch in batches:
             found = []
-            for text, hashes in zip(batch.column(2), batch.column(3), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
+            for text, hashes in zip(batch.column(1), batch.column(2), strict=True):
+                raw = text.as_py().encode()
                 removed, intervals, digest = kept_words(raw, hashes.values.to_numpy().view(np.uint64), window)
                 found.append((hashlib.sha256(b" ".join(words_of(raw))).hexdigest(), removed, [{"start": a, "stop": z} for a, z in intervals], digest))
             sha, removed, intervals, digest = zip(*found, strict=True) if found else ([],) * 4
@@ -210,10 +219,9 @@ def _kept(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
             columns = [batch.column(0), pa.array(sha, pa.string()), pa.array(removed, pa.int64()), pa.array(intervals, kind), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "n_removed", "intervals", "kept_sha256"])
 
-    texts = docs.mapInArrow(pick, "doc_id long, node long, text string")
-    joined = texts.join(repeated, ["doc_id", "node"]).select("doc_id", "node", "text", "hashes")
+    joined = texts.select("doc_id", "text").join(repeated, "doc_id").select("doc_id", "text", "hashes")
     schema = "doc_id long, text_sha256 string, n_removed long, intervals array<struct<start: long, stop: long>>, kept_sha256 string"
-    # A row repeated in several tasks comes as often.
+    # Repeated rows come as often.
     return materialize(joined.mapInArrow(cut, schema), "kept").dropDuplicates(["doc_id", "text_sha256"])
 
 
@@ -228,12 +236,13 @@ def shared_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     are compared with those of smaller ids, not with each other, so repeated rows give repeated results. Other columns
     are ignored, an empty table gives an empty result, and texts of any length are read whole."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = _describe(docs, window, min(gram, window))
-    rows = described.filter("n_words IS NOT NULL").select("doc_id", "n_words", "text_sha256")
-    shared = described.filter("anchor IS NOT NULL").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    wanted = sent_bitmap(shared.filter("low < high"), "anchor")
-    windows = _windows(docs, wanted, window, min(gram, window))
+    gram = min(gram, window)
+    rows = _describe(docs)
+    firsts = sent_bitmap(_firsts(rows, window), "member")
+    wanted = sent_bitmap(_anchors(docs, firsts, window, gram).filter("low < high"), "anchor")
+    windows = _windows(docs, wanted, firsts, window, gram)
     wanted.unpersist()
+    firsts.unpersist()
     repeated = _repeated(windows)
     discard(windows)
     kept = _kept(docs, repeated, window)
