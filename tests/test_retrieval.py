@@ -117,7 +117,7 @@ def test_temperature_and_noise_floor(spark):
     assert got.mean == pytest.approx(np.mean(values), rel=0.08) and got.p95 == pytest.approx(np.percentile(values, 95), rel=0.12)
 
 
-def test_silhouette_and_lsa(spark):
+def test_silhouette(spark):
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 0.5, (15, 2)) for c in ((0, 0), (4, 0), (0, 4))] + [[[9.0, 9.0]]])
     labels = [0] * 15 + [1] * 15 + [2] * 15 + [3]
@@ -135,9 +135,6 @@ def test_silhouette_and_lsa(spark):
     assert M.choose_k(rows, F.lit(True), range(2, 5))[0][0] in (3, 4)
     names = spark.createDataFrame([(0, -1.0, 1.0, 1.0), (1, -1.0, 0.9, 0.9), (2, 1.0, -1.0, -1.0), (3, 1.0, 1.0, 0.0), (4, -0.1, -1.0, 0.0)], "cluster int, r double, f double, m double")
     assert {r.cluster: r.name for r in M.name_segments(names).collect()} == {0: "Champions", 1: "Champions (2)", 2: "Lost", 3: "At risk", 4: "New or promising"}
-    docs = spark.createDataFrame([(1, "cats and dogs"), (2, "dogs and cats"), (3, "stars and moons and stars"), (4, "moons or stars"), (5, None), (6, "zzz")], "doc_id int, text string")
-    v = {r.doc_id: np.array(r.vector) for r in M.lsa(docs, 2, 64).collect()}
-    assert np.allclose(v[1], v[2]) and v[3] @ v[4] > v[1] @ v[4] and v[5][-1] == 1 and all(np.isclose(np.linalg.norm(x), 1) for x in v.values())
 
 
 def test_generation(spark):

@@ -1,5 +1,4 @@
-"""Fits: temperature, the noise floor of a calibration error, k-means with a Euclidean silhouette, logistic regression
-and latent semantic vectors. Each is a bounded number of passes; only parameters come to the driver."""
+"""Fits: temperature, the noise floor of a calibration error, k-means with a Euclidean silhouette, logistic regression. Each is a bounded number of passes; only parameters come to the driver."""
 
 from __future__ import annotations
 
@@ -35,7 +34,7 @@ def logit_nll(z: Column, label: Column):
     return lambda tau: F.log1p(F.exp(-signed / tau))
 
 
-def noise_floor(df: DataFrame, m: int = 15, reps: int = 200, seed: int = 7) -> DataFrame:
+def noise_floor(df: DataFrame, m: int = 15, reps: int = 2000, seed: int = 7) -> DataFrame:
     """(mean, p95) of the calibration error of a forecaster that is right with probability conf.
 
     Equal confidences are counted, and each partition draws binomial outcomes for its counts and sums them by repetition
@@ -63,7 +62,7 @@ def silhouette(rows: DataFrame, asked: Column, key: str = "key", vector: str = "
     """(silhouette, n): the mean Euclidean silhouette of the rows where asked holds, a stated query set, against all rows.
 
     Distances are summed by query and cluster with partial aggregation; all rows are met in blocks."""
-    blocks = 16
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = rows.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col(label).alias("_l")).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(blocks)))
     queries = rows.filter(asked).select(F.col(key).alias("_qk"), F.col(vector).alias("_qv"), F.col(label).alias("_ql"))
     queries = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -126,51 +125,3 @@ def logistic_regression(train: DataFrame, held: DataFrame, strengths=(0.01, 0.1,
         if best is None or f1 > best[2]:
             best = ((features, model), c, f1)
     return best
-
-
-def lsa(docs: DataFrame, k: int = 16, dims: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, vector): unit vectors of the first k singular directions of sublinear TF-IDF, and a last place that is 1 for a
-    text without a known word. Terms are hashed to dims, so the Gram matrix has dims x dims sums whatever the corpus."""
-    from textmill.functions.text import alnum_tokens
-
-    terms = docs.select(key, F.explode(alnum_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    slots = terms.groupBy(key, F.pmod(F.crc32("term"), F.lit(dims)).cast("int").alias("slot")).agg(F.sum("tf").alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    df = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
-    weight = (1 + F.ln("tf")) * (F.ln((1 + F.col("_n")) / (1 + F.col("_df"))) + 1)
-    rows = slots.join(df, "slot").join(F.broadcast(n)).select(key, "slot", weight.alias("x"))
-    vectors = rows.groupBy(key).agg(F.collect_list("slot").alias("slots"), F.collect_list("x").alias("xs"))
-
-    def dense(slots_, xs):
-        out = np.zeros((len(slots_), dims), np.float32)
-        for row, at, x in zip(out, slots_, xs, strict=True):
-            if at is not None and len(at):
-                row[np.asarray(at, int)] = x
-                row /= np.linalg.norm(row)
-        return out
-
-    def grams(frames):
-        total = np.zeros((dims, dims))
-        for frame in frames:
-            for lo in range(0, len(frame), 512):
-                x = dense(frame["slots"][lo : lo + 512], frame["xs"][lo : lo + 512])
-                total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(dims, dtype=np.int32), "x": [row.tobytes() for row in total]})
-
-    # At most eight partial Gram matrices, of dims rows each, come to the driver.
-    gram = np.zeros((dims, dims))
-    for part in vectors.select("slots", "xs").coalesce(8).mapInPandas(grams, "i int, x binary").toLocalIterator():
-        gram[part.i] += np.frombuffer(part.x)
-    values, directions = np.linalg.eigh(gram)
-    basis = directions[:, np.argsort(-values)[:k]].astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(basis)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def project(frames):
-        for frame in frames:
-            z = dense(frame["slots"], frame["xs"]) @ shared.value
-            size = np.linalg.norm(z, axis=1, keepdims=True)
-            z = np.hstack([z / np.where(size == 0, 1, size), size == 0]).astype(float)
-            yield pd.DataFrame({key: frame[key], "vector": list(z)})
-
-    return docs.select(key).join(vectors, key, "left").mapInPandas(project, f"{key} {kind}, vector array<double>")

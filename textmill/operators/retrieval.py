@@ -79,24 +79,63 @@ def section_of(spans: DataFrame, heads: DataFrame, key: str, start: str = "start
     return both.filter("_own = 1").drop("_at", "_s", "_own")
 
 
+#: Items of one or two words that are looked for in one pass.
+FEW_ITEMS = 10_000
+
+
 def containing(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str, words: int = 6) -> DataFrame:
     """(item_key, doc_key, item, text) of documents that hold an item's text as it is.
 
-    Candidates share words 2 to words + 1 of the item, which the item's bounds can't cut; items too short for that,
-    a stated few, are looked for in every document by a broadcast of bounded size."""
+    The item's bounds can't cut its inner words, so these stand in the document as they are. Candidates share a run of inner
+    words, or in items too short for one the inner word that the fewest documents have. Items of one or two words have
+    none: an automaton looks for FEW_ITEMS of them in one pass over the documents, and for more in as many passes as it takes.
+    Empty items are in no document."""
     parts = F.split("text", r"\s+")
-    asked = items.select(item_key, F.col("text").alias("item"), parts.alias("_k"))
+    asked = items.filter(F.length("text") > 0).select(item_key, F.col("text").alias("item"), parts.alias("_k"))
     long = asked.filter(F.size("_k") >= words + 2).select(item_key, "item", F.array_join(F.slice("_k", 2, words), " ").alias("_g"))
-    short = asked.filter((F.size("_k") < words + 2) & (F.length("item") > 0)).select(item_key, "item")
+    middle = asked.filter((F.size("_k") < words + 2) & (F.size("_k") > 2)).select(item_key, "item", F.explode(F.array_distinct(F.slice("_k", F.lit(2), F.size("_k") - 2))).alias("_g"))
     rows = docs.select(doc_key, "text", parts.alias("_k"))
     count = F.greatest(F.size("_k") - words + 1, F.lit(0))
     starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     grams = rows.select(doc_key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_k", i, words), " ")))).alias("_g"))
-    near = grams.join(long.select(item_key, "_g"), "_g").select(item_key, doc_key).distinct()
-    found = near.join(long.select(item_key, "item"), item_key).join(docs.select(doc_key, "text"), doc_key).filter(F.contains("text", "item"))
-    lists = short.groupBy(F.spark_partition_id()).agg(F.collect_list(F.struct(item_key, "item")).alias("_items"))
-    plain = docs.select(doc_key, "text").join(lists.select("_items")).select(doc_key, "text", F.explode(F.filter("_items", lambda x: F.contains(F.col("text"), x["item"]))).alias("x"))
-    return found.select(item_key, doc_key, "item", "text").unionByName(plain.select(f"x.{item_key}", doc_key, "x.item", "text"))
+    near = grams.join(long.select(item_key, "_g"), "_g").select(item_key, doc_key)
+    held = rows.select(doc_key, F.explode(F.array_distinct("_k")).alias("_g")).join(middle.select("_g").distinct(), "_g", "left_semi")
+    uses = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = middle.join(uses, "_g", "left").groupBy(item_key, "item").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r")).filter("_r._n > 0")
+    near = near.unionByName(held.join(rarest.select(item_key, F.col("_r._g").alias("_g")), "_g").select(item_key, doc_key)).distinct()
+    found = near.join(asked.select(item_key, "item"), item_key).join(docs.select(doc_key, "text"), doc_key).filter(F.contains("text", "item"))
+    found = found.select(item_key, doc_key, "item", "text")
+    short = asked.filter(F.size("_k") <= 2).select(item_key, "item")
+    passes = -(-short.count() // FEW_ITEMS)
+    for no in range(passes):
+        part = short.filter(F.pmod(F.xxhash64(item_key, "item"), F.lit(passes)) == no)
+        found = found.unionByName(_holding(part, docs, item_key, doc_key))
+    return found
+
+
+def _holding(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str) -> DataFrame:
+    """containing for a number of items that fits into one automaton."""
+    named: dict[str, list] = {}
+    for r in items.collect():
+        named.setdefault(r["item"], []).append(r[item_key])
+    shared = docs.sparkSession.sparkContext.broadcast(named)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+
+    def run(frames):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for item in shared.value:
+            automaton.add_word(item, item)
+        automaton.make_automaton()
+        for frame in frames:
+            out = []
+            for doc, text in zip(frame[doc_key], frame["text"], strict=True):
+                for item in {found for _, found in automaton.iter(text)} if text and shared.value else ():
+                    out += [(i, doc, item, text) for i in shared.value[item]]
+            yield pd.DataFrame(out, columns=[item_key, doc_key, "item", "text"])
+
+    return docs.select(doc_key, "text").mapInPandas(run, f"{item_key} {kind(items, item_key)}, {doc_key} {kind(docs, doc_key)}, item string, text string")
 
 
 def occurrences(text: Column, part: Column) -> Column:

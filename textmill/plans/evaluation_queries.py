@@ -10,6 +10,7 @@ from textmill.functions import text as X
 from textmill.operators import calibration as C
 from textmill.operators import retrieval as S
 from textmill.operators import vectors as V
+from textmill.operators.divergence import drift
 from textmill.plans.record_queries import REC, UNIT, pairs, rec
 from textmill.plans.registry import query
 from textmill.plans.text_queries import ALNUM_SQL, WORD_STOP_SQL
@@ -101,6 +102,21 @@ def dpo_loss(t):
     return pairs(t).agg(F.round(F.avg(F.ln(1 + F.exp(-d))), 6).alias("loss"), F.round(F.avg(d), 6).alias("margin"))
 
 
+_DRIFT = f"""tk AS (SELECT doc_id // 200 AS w, unnest({ALNUM_SQL}) AS term FROM documents), c AS (SELECT w, term, count(*) AS n FROM tk GROUP BY ALL), s AS (SELECT w, sum(n) AS s FROM c GROUP BY w),
+    v AS (SELECT DISTINCT term FROM c), vn AS (SELECT count(*) AS v FROM v), g AS (SELECT a.w, term, a.s AS p, b.s AS q FROM s a JOIN s b ON b.w = a.w - 1, v)"""
+
+
+@query("vocabulary_drift", f"""WITH {_DRIFT}, d AS (SELECT g.w, (coalesce(x.n, 0) + 1.0::DOUBLE) / (p + v) AS a, (coalesce(y.n, 0) + 1.0::DOUBLE) / (q + v) AS b
+        FROM g JOIN vn ON true LEFT JOIN c x ON x.w = g.w AND x.term = g.term LEFT JOIN c y ON y.w = g.w - 1 AND y.term = g.term)
+    SELECT w AS "window", round(sum(a * ln(a / b)), 6) AS kl FROM d GROUP BY w""")
+def vocabulary_drift(t):
+    """How far the words of each two hundred documents lie from those of the two hundred before, over the whole vocabulary."""
+    words = t("documents").select(F.expr("doc_id div 200").alias("window"), F.explode(X.alnum_tokens(F.col("text"))).alias("term"))
+    counts = words.groupBy("window", "term").agg(F.count(F.lit(1)).alias("n"))
+    size = counts.agg(F.countDistinct("term").alias("size"))
+    return drift(counts, size).select("window", F.round("kl", 6).alias("kl"))
+
+
 @query("kl_divergence", """WITH p AS (SELECT lang, count(*) FILTER (doc_id % 2 = 0) + 1.0::DOUBLE AS a, count(*) FILTER (doc_id % 2 = 1) + 1.0::DOUBLE AS b FROM documents GROUP BY lang)
     SELECT round(sum(pa * ln(pa / pb)), 6) AS kl FROM (SELECT a / sum(a) OVER () AS pa, b / sum(b) OVER () AS pb FROM p)""")
 def kl_divergence(t):

@@ -6,16 +6,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import text as X
+from textmill.functions.stem import stemmed
+from textmill.operators import dense as D
 from textmill.operators import fitting as M
 from textmill.operators import generation as G
+from textmill.operators import lsa as L
 from textmill.operators import quality as Q
 from textmill.operators import retrieval as S
+from textmill.operators import sweep as W
 from textmill.operators import terms as O
 from textmill.plans.registry import query
 from textmill.plans.table_queries import HASH
 from textmill.plans.term_queries import BM25, bm25_scores, doc_lengths, query_terms, tfidf_cosine_topk
 from textmill.plans.text_queries import ALNUM_SQL, STOP_SQL, WORD_STOP_SQL
 
+#: The stop words of the ranking over stems.
+ENGLISH_STOP = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
+).split()
 _CANDIDATES = "cand AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) WHERE rank <= 20)"
 _TERMS = f"tt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({ALNUM_SQL}) AS term FROM documents) GROUP BY ALL)"
 _ASKED = f"qq AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({ALNUM_SQL}) AS term FROM benchmark))"
@@ -162,9 +170,9 @@ def stub_answer(t):
 
 @query("noise_floor")
 def noise_floor(t):
-    """Calibration error of a forecaster that is right as often as it says: mean and 95th percentile of 200 repetitions."""
+    """Calibration error of a forecaster that is right as often as it says: mean and 95th percentile of 2,000 repetitions."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return M.noise_floor(t("events").select((k / 100.0).alias("conf")), 10, 200)
+    return M.noise_floor(t("events").select((k / 100.0).alias("conf")), 10)
 
 
 @query("fit_temperature")
@@ -211,11 +219,69 @@ def logistic_regression(t):
     return docs.sparkSession.createDataFrame([(c, round(f1, 6))], "ridge double, macro_f1 double")
 
 
+def _lsa_ranked(t, k: int):
+    """(query_id, doc_id, rank, score): documents by the cosine of their latent vectors."""
+    docs, items = t("documents").select("doc_id", "text"), t("benchmark").select(F.col("item_id").alias("query"), "text")
+    model = L.fit(docs)
+    rows, asked = L.vectors(model, docs), L.vectors(model, items, "query")
+    found = D.exact(rows, asked, "doc_id", k, "vector")
+    return found.select(F.col("query").alias("query_id"), "doc_id", "rank", F.col("sim").alias("score"))
+
+
 @query("lsa")
 def lsa(t):
-    """Latent semantic vectors of all documents, as their length and last place."""
-    rows = M.lsa(t("documents"))
-    return rows.select("doc_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"), F.element_at("vector", -1).alias("unknown"))
+    """The five documents nearest to each benchmark item in 256 latent directions of the corpus."""
+    return _lsa_ranked(t, 5).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query("hybrid_dense")
+def hybrid_dense(t):
+    """BM25 and latent vectors, five documents each, fused by reciprocal rank."""
+    sparse = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 5, "query_id")
+    return S.fuse([_lsa_ranked(t, 5), sparse])
+
+
+@query("bm25_stem")
+def bm25_stem(t):
+    """The ten best documents for every benchmark item by BM25 over stems: words of two characters or more but stop words, and
+    weights without the factor k1 + 1."""
+    def terms(rows, key):
+        words = L.words(rows, key, "text").filter(~F.col("term").isin(*ENGLISH_STOP))
+        return stemmed(words).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+
+    docs = terms(t("documents"), "doc_id")
+    lengths = t("documents").select("doc_id").join(docs.groupBy("doc_id").agg(F.sum("tf").alias("n_terms")), "doc_id", "left").fillna(0, ["n_terms"])
+    scored = O.bm25(docs, terms(t("benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "term"), lengths)
+    return O.top_k(scored.withColumn("score", F.round(F.col("score") / 2.5, 6)), 10, "query_id")
+
+
+@query("dense_search")
+def dense_search(t):
+    """The ten nearest vectors of each vector whose number is divisible by 20, by the index of cells."""
+    rows = t("embeddings").select("vec_id", "embedding")
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return D.search(D.build(rows, "vec_id", "embedding"), queries, 10, probes=24)
+
+
+@query("dense_exact", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: CAST(CAST(x / sqrt(list_dot_product(e, e)) AS FLOAT) AS DOUBLE)) AS u FROM v)
+    SELECT query, vec_id, sim, rank FROM (SELECT a.vec_id AS query, b.vec_id, round(list_dot_product(a.u, b.u), 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.u, b.u), 6) DESC, b.vec_id) AS rank FROM u a, u b WHERE a.vec_id % 20 = 0) WHERE rank <= 10""")
+def dense_exact(t):
+    """dense_search without an index."""
+    rows = t("embeddings").select("vec_id", "embedding")
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return D.exact(rows, queries, "vec_id", 10).select("query", "vec_id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query("chunk_recall")
+def chunk_recall(t):
+    """Recall and reciprocal rank of chunks of 128, 256 and 512 words, for up to ten of them. The question of a benchmark item
+    is its first eight words, and the evidence where documents hold the whole item."""
+    docs, items = t("documents"), t("benchmark")
+    found = S.containing(items, docs, "item_id", "doc_id")
+    at = F.expr("instr(text, item)") - 1
+    evidence = found.select(F.col("item_id").alias("query_id"), F.lit(0).alias("group"), "doc_id", at.alias("start"), (at + F.length("item")).alias("stop"))
+    asked = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(X.alnum_tokens(F.col("text")), 1, 8))).alias("term"))
+    return W.sweep(W.ranked_chunks(W.chunk_terms(docs, [128, 256, 512]), asked, 10), evidence, 10)
 
 
 # -- generation over a bigram table of event types
