@@ -122,10 +122,10 @@ def test_language_equals_a_plain_nearest_centroid():
         assert r == (c < model.least[int(np.argmax(near))]) or abs(c - model.least[int(np.argmax(near))]) < 1e-5
 
 
-def test_rare_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
-    monkeypatch.setattr(L, "MOST_LANGUAGES", 1)
-    docs = spark.createDataFrame([(i, "abc def", "aa" if i < 30 else f"x{i}") for i in range(40)], "doc_id long, text string, lang string")
-    assert {r.lang for r in L.training_sample(docs).collect()} == {"aa"}
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i, f"abc def {chr(0x4E00 + i // 2)}", "aa" if i < 60 else f"x{i // 2}") for i in range(1300)], "doc_id long, text string, lang string")
+    free = {r.lang for r in docs.filter(~L.held_out()).select("lang").distinct().collect()}
+    assert len(free) > 500 and {r.lang for r in L.training_sample(docs).collect()} == free
 
 
 def test_toxicity_odd_rows(spark):

@@ -17,7 +17,7 @@ def test_licence_is_found_whatever_its_dress(spark):
     got = sorted((r.doc_id, r.license, r.line_licenses, r.n_license_lines) for r in license_scan.scan(docs).collect())
     assert got == [
         (1, "MIT", "MIT", 1), (2, "MIT", "", 0), (3, None, "Apache-2.0", 1), (4, "LicenseRef-all-rights-reserved", "LicenseRef-all-rights-reserved", 1),
-        (5, None, "", 0), (6, None, "", 0), (7, None, "", 0), (8, None, "MIT", 1), (8, None, "MIT", 1),
+        (5, None, "", 0), (6, None, "", 0), (7, None, "", 0), (8, None, "", 0), (8, None, "MIT", 1),
     ]
     assert license_scan.scan(docs.limit(0)).count() == 0
 
@@ -101,3 +101,11 @@ def test_url_filter_as_of(spark):
     assert sorted(((r.page_id, r.verdict, r.rule) for r in got), key=key) == sorted(((i, v, rule) for i, _, _, v, rule in rows), key=key)
     assert url_filter.evaluate(captures.limit(0), entries).count() == 0
     assert {r.verdict for r in url_filter.evaluate(captures, entries.limit(0)).collect()} == {"none"}
+
+
+def test_licence_rows_stand_alone(spark):
+    mit, gone = "Released under the MIT License.", "a poem"
+    rows = [(None, mit), (None, gone), (None, mit), (5, f"x\n{mit}\n{mit}"), (5, gone), (6, mit), (6, mit), (None, None)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, "MIT", 1), (None, "", 0), (None, "MIT", 1), (5, "MIT", 2), (5, "", 0), (6, "MIT", 1), (6, "MIT", 1), (None, "", 0)]
+    assert sorted(((r.doc_id, r.line_licenses, r.n_license_lines) for r in got), key=str) == sorted(want, key=str)

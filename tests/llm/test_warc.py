@@ -83,3 +83,19 @@ def test_small_archives_keep_every_record(spark):
     index, records = W.archive_pages(pages, archive_bytes=2000)
     assert index.select("archive").distinct().count() > 5
     assert {r.page_id: bytes(r.payload).decode() for r in records.collect()} == {i: str(i) * 400 for i in range(60)}
+
+
+def test_inflate_gives_bounded_pieces():
+    import gzip
+    import io
+    import os
+    import zlib
+
+    from textmill.llm.warc import inflate
+
+    for raw in ([b"\0" * 5_000_000], [os.urandom(3000), b"", b"a" * 4096, b"b" * 4097], [b"x" * 4096]):
+        data = b"".join(gzip.compress(r) for r in raw)
+        pieces = list(inflate(io.BytesIO(data), 4096))
+        assert b"".join(pieces) == b"".join(raw) and max(map(len, pieces)) <= 4096
+        with pytest.raises((ValueError, zlib.error)):
+            list(inflate(io.BytesIO(data[:-1]), 4096))

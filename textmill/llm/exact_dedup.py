@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from textmill.llm.common import join_groups, key_bitmap, materialize, rows_that_may_hold, text_or_empty
+from textmill.llm.common import join_groups, key_bitmap, materialize, rows_that_may_hold, rows_without, text_or_empty
 
 #: A chunk ends at the first line end or full stop after MIN_CHARS characters, and after MAX_CHARS at the latest.
 MIN_CHARS, MAX_CHARS = 512, 8192
@@ -110,14 +110,20 @@ def _resolved(rows: DataFrame, recipes: DataFrame, contents: DataFrame, clashing
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts the one with the largest doc_id.
 
-    Rows repeated with equal doc_id and text are one document: one of them stays."""
+    Rows repeated with equal doc_id and text are one document: one of them stays. A null text is equal to an empty one, and
+    a null doc_id sorts below all others. An empty table gives an empty result. Only rows whose doc_id may be that of a
+    dropped or repeated one are joined, told by a bitmap of bounded size; all others stay where they are."""
     found = materialize(exact_groups(docs), "groups")
     dropped = found.filter("not kept").select(F.col("doc_id").alias("_textmill_id"), F.col("text_sha256").alias("_textmill_sha")).distinct()
     repeats = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     repeats = materialize(repeats.select(F.col("doc_id").alias("_textmill_id"), F.col("text_sha256").alias("_textmill_sha")), "repeats")
     same = F.col("doc_id").eqNullSafe(F.col("_textmill_id")) & (F.sha2(text_or_empty(), 256) == F.col("_textmill_sha"))
-    kept = docs.join(dropped, same, "left_anti")
-    if repeats.isEmpty():
-        return kept
-    names = ["doc_id", "text"]
-    return kept.join(repeats, same, "left_anti").unionByName(kept.join(repeats, same, "left_semi").dropDuplicates(names))
+    keys = dropped.select(F.xxhash64("_textmill_id").alias("_textmill_key")).unionByName(repeats.select(F.xxhash64("_textmill_id").alias("_textmill_key")))
+    bitmap = materialize(key_bitmap(keys, "_textmill_key"), "touched")
+    keyed = docs.withColumn("_textmill_key", F.xxhash64("doc_id"))
+    others = rows_without(keyed, "_textmill_key", bitmap).drop("_textmill_key")
+    touched = rows_that_may_hold(keyed, "_textmill_key", bitmap).drop("_textmill_key")
+    kept = touched.join(dropped, same, "left_anti")
+    if not repeats.isEmpty():
+        kept = kept.join(repeats, same, "left_anti").unionByName(kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return others.unionByName(kept)

@@ -22,10 +22,8 @@ DIMENSIONS = 1 << 13
 LENGTHS = (1, 2, 3)
 CENTROIDS = 4
 ROUNDS = 12
-#: Bound of the training sample: texts in all, shared out evenly to the languages, and at least so many for each.
+#: Bound of the training sample: texts in all, shared out evenly to the languages, or so many for each if those are more.
 TRAIN_TEXTS, TRAIN_LEAST = 2400, 20
-#: Bound of the languages that are learned, the most frequent ones.
-MOST_LANGUAGES = 400
 #: A text nearer than this share of a centroid's own training texts is not rejected.
 REJECT_QUANTILE = 0.01
 SHARPNESS = 20.0
@@ -138,12 +136,13 @@ def _spherical(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, least: int = TRAIN_LEAST) -> DataFrame:
-    """At most ``texts`` rows (text, lang) that may be learned from, spread evenly over the languages by a hash of
-    doc_id and text. Rare languages give all they have; only a thin slice of a frequent one is ranked."""
+    """Rows (text, lang) that may be learned from, spread evenly over all languages by a hash of doc_id and text: ``texts`` in
+    all, or ``least`` of each language if those are more. Rare languages give all they have; only a thin slice of a frequent
+    one is ranked. Every language is learned; a model holds up to four centroids of 32 KB for each."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "text", "lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("_h")
     )
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     each = max(least, texts // max(1, len(sizes)))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * each / n)))) if sizes else F.create_map().cast("map<string,double>")
     slot = F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30))

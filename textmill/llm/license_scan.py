@@ -141,27 +141,28 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | DataFrame = KNOWN) -> Da
 
     line_licenses holds the licences that single lines name, sorted, once each, joined by commas; it is empty if there
     are none. A text with a known form is found whatever its case, punctuation, spelling or copyright lines. A null
-    text counts as empty and has no licence. Rows with the same doc_id are one document, each with the findings of
-    all; other columns are ignored, an empty table gives an empty result, and long texts are looked up whole.
+    text counts as empty and has no licence. Rows stand alone: those that repeat a doc_id, or have none, have the findings of
+    their own text. Other columns are ignored, an empty table gives an empty result, and long texts are looked up whole.
     """
     table = known_digests(docs.sparkSession, known)
     # What a canonical text must look like to be known at all; spelling never changes the first three characters.
     limits = table.agg(F.max("n_chars"), F.collect_set("head")).first()
     longest, heads = 2 * (limits[0] or 0), limits[1] or []
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("_t", F.xxhash64("text"))
 
     def digest(unit: Column) -> Column:
         form = plain(unit)
         return F.when((F.length(form) <= longest) & F.substring(form, 1, 3).isin(heads), F.sha2(spelled(form), 256))
 
-    units = rows.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
-    units = units.select("doc_id", "u.whole", digest(F.col("u.unit")).alias("digest")).filter("digest IS NOT NULL")
-    hits = units.join(table.select("digest", "license"), "digest")
-    found = hits.groupBy("doc_id").agg(
+    units = rows.select("doc_id", "_t", F.posexplode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("pos", "u"))
+    units = units.select("doc_id", "_t", "pos", "u.whole", digest(F.col("u.unit")).alias("digest")).filter("digest IS NOT NULL")
+    # Repeated rows find the same once more: a place of a text counts once.
+    hits = units.join(table.select("digest", "license"), "digest").dropDuplicates(["doc_id", "_t", "pos"])
+    found = hits.groupBy("doc_id", "_t").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("line_licenses"),
         F.count_if(~F.col("whole")).alias("n_license_lines"),
     )
-    found = found.withColumnRenamed("doc_id", "_found_id")
-    joined = rows.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")), "left")
+    found = found.withColumnsRenamed({"doc_id": "_found_id", "_t": "_found_t"})
+    joined = rows.select("doc_id", "_t").join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_t") == F.col("_found_t")), "left")
     return joined.select("doc_id", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, join_groups, materialize
+from textmill.llm.common import discard, join_groups, key_bitmap, materialize, rows_that_may_hold, rows_without
 from textmill.llm.components import extended
 from textmill.llm.shingles import shingle_sets
 
@@ -572,7 +572,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the one with the smallest doc_id.
 
     Rows that repeat this doc_id stay together. Rows without a doc_id can't be told apart: they stay. Rows without
-    words link to nothing and stay. An empty table gives an empty result."""
+    words link to nothing and stay. An empty table gives an empty result. Only rows whose doc_id may be one that goes are
+    joined, told by a bitmap of bounded size."""
     found = jaccard_components(docs).filter("doc_id <> component_id")
-    gone = found.select(F.col("doc_id").alias("_textmill_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_textmill_id")), "left_anti")
+    gone = materialize(found.select(F.col("doc_id").alias("_textmill_id")).distinct(), "gone")
+    bitmap = materialize(key_bitmap(gone.select(F.xxhash64("_textmill_id").alias("_textmill_key")), "_textmill_key"), "touched")
+    # Rows without a doc_id are in no bitmap of ids but by chance, and join with nothing.
+    keyed = docs.withColumn("_textmill_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")))
+    others = rows_without(keyed, "_textmill_key", bitmap).drop("_textmill_key")
+    touched = rows_that_may_hold(keyed, "_textmill_key", bitmap).drop("_textmill_key")
+    return others.unionByName(touched.join(gone, F.col("doc_id") == F.col("_textmill_id"), "left_anti"))

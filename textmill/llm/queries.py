@@ -187,23 +187,20 @@ _LIST_SQL = ", ".join(f"('{rule}', '{action}', DATE '{day}')" for rule, action,
 ORACLE_SQL = {
     "op1_license_scan": f"""
         WITH known AS (SELECT DISTINCT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_SQL}) k(license, text)),
-        units AS (
-            SELECT doc_id, true AS whole, coalesce(text, '') AS unit FROM documents
-            UNION ALL
-            SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
-        ),
+        docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+        units AS (SELECT row, true AS whole, text AS unit FROM docs UNION ALL SELECT row, false, unnest(string_split(text, chr(10))) FROM docs),
         hits AS (
-            SELECT doc_id, whole, license
-            FROM (SELECT doc_id, whole, sha256({_canonical_sql("unit")}) AS digest FROM units) JOIN known USING (digest)
+            SELECT row, whole, license
+            FROM (SELECT row, whole, sha256({_canonical_sql("unit")}) AS digest FROM units) JOIN known USING (digest)
         ),
         found AS (
-            SELECT doc_id, min(license) FILTER (whole) AS license,
+            SELECT row, min(license) FILTER (whole) AS license,
                    coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (NOT whole), '') AS line_licenses,
                    count(*) FILTER (NOT whole) AS n_license_lines
-            FROM hits GROUP BY doc_id
+            FROM hits GROUP BY row
         )
         SELECT doc_id, license, coalesce(line_licenses, '') AS line_licenses, coalesce(n_license_lines, 0) AS n_license_lines
-        FROM documents LEFT JOIN found USING (doc_id)
+        FROM docs LEFT JOIN found USING (row)
     """,
     "op3_source_mix": f"""
         WITH RECURSIVE

@@ -83,17 +83,23 @@ class RecordReader:
 
 
 def inflate(file, size: int = 1 << 20):
-    """The bytes of a gzip file of one or more members, in order, each read once."""
+    """The bytes of a gzip file of one or more members, in order, each read once, in pieces of at most ``size`` however much a
+    few bytes of the file stand for."""
     inflater, begun = zlib.decompressobj(wbits=31), False
     while data := file.read(size):
-        while data:
+        more = True
+        while more:
             begun = True
-            yield inflater.decompress(data)
-            data = inflater.unused_data
+            piece = inflater.decompress(data, size)
+            if piece:
+                yield piece
             if inflater.eof:
+                data = inflater.unused_data
                 inflater, begun = zlib.decompressobj(wbits=31), False
-            else:
-                break
+                more = bool(data)
+            else:  # a full piece may have more behind it that is read already
+                data = inflater.unconsumed_tail
+                more = bool(data) or len(piece) == size
     if begun:  # neither the end of the stream nor its check sum was seen
         raise ValueError("the archive ends inside a gzip member")
 
