@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from textmill.functions import chunk
 from textmill.sources import readers, sinks
 from textmill.streaming import events as E
+from textmill.streaming import threads
 
 
 def test_hash_verified_scan_takes_the_first_match(spark, tmp_path):
@@ -67,12 +69,59 @@ def test_streams_equal_batches(spark, tmp_path):
     query.stop()
     want = {tuple(r) for r in E.newest(source).collect()}
     assert {tuple(r) for r in spark.table("newest_test").collect()} == want
-    budget = E.retry_budget(stream.select("user_id", "event_type"), 2).writeStream.format("memory").queryName("budget_test").outputMode("update").start()
-    budget.processAllAvailable()
-    budget.stop()
-    got = {r.user_id: r.errors for r in spark.table("budget_test").groupBy("user_id").agg(F.max("errors").alias("errors")).collect()}
-    truth = {r.user_id: r.n for r in source.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).collect()}
-    assert got == truth
+
+
+def streamed(query, name):
+    run = query.writeStream.format("memory").queryName(name).outputMode("append").start()
+    run.processAllAvailable()
+    run.stop()
+    return query.sparkSession.table(name).collect()
+
+
+def test_thread_state_equals_the_batch_form(spark, tmp_path):
+    threads.use_rocksdb(spark)
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("user_id < 12").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("event_type", F.when(F.col("event_id") % 3 == 0, "error").otherwise(F.col("event_type")))
+    order = [r.ts for r in rows.select("ts").orderBy("ts").collect()]
+    for k in range(3):  # files in the order of time
+        part = rows.filter((F.col("ts") >= order[len(order) * k // 3]) & (F.col("ts") < order[len(order) * (k + 1) // 3] if k < 2 else F.lit(True)))
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        for f in (tmp_path / f"p{k}").glob("part-*"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{k}.parquet")
+    read = lambda: E.with_event_time(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "1 day")
+    want = sorted(tuple(r) for r in threads.thread_log_batch(rows, 2).collect())
+    for name in ("log_a", "log_b"):  # a replay gives the same
+        assert sorted(tuple(r) for r in streamed(threads.thread_log(read(), "4000 days", 2), name)) == want
+    budget = streamed(E.retry_budget(read(), 2, "4000 days"), "budget_test")
+    assert sorted((r.user_id, r.errors, r.exhausted) for r in budget) == sorted((u, e, x) for u, _, _, e, x, _ in want)
+
+
+def test_idle_threads_are_closed_and_old_runs_go_stale(spark, tmp_path):
+    threads.use_rocksdb(spark)
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    batches = [[(1, 1, "error", day(0)), (2, 1, "view", day(1)), (3, 2, "view", day(1))], [(4, 2, "error", day(20))], [(5, 1, "view", day(40)), (6, 2, "view", day(41))], [(7, 9, "view", day(80))], [(8, 9, "view", day(81))]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "event_id long, user_id long, event_type string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"p{k}").glob("part-*"):
+            f.rename(tmp_path / "in" / f"{k}.parquet")
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    read = lambda: E.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "1 day")
+    got = sorted((r.user_id, r.event_id, r.n_entries, r.errors, r.closed) for r in streamed(threads.thread_log(read(), "30 days", 1), "idle_test"))
+    opened = [(1, 1, 1, 1, False), (1, 2, 2, 1, False), (1, 5, 1, 0, False), (2, 3, 1, 0, False), (2, 4, 2, 1, False), (2, 6, 3, 1, False), (9, 7, 1, 0, False), (9, 8, 2, 0, False)]
+    # User 1 was idle from day 1 to 40, so it is closed once the watermark is behind day 31, and its third event begins anew or
+    # goes on, as the batch that brings the event also moves the watermark.
+    told = [r for r in got if not r[4]]
+    assert [r for r in told if r[0] != 1] == [r for r in opened if r[0] != 1] and told[:2] == opened[:2] and told[2][1] == 5
+    closed = {(r[0], r[1]): r[2] for r in got if r[4]}
+    assert closed[2, 6] == 3 and (1, 5) in closed and not any(u == 9 for u, _ in closed)
+    runs = read().select(F.concat(F.lit("nb"), F.col("user_id")).alias("name"), "ts", F.col("event_type").alias("status"))
+    fresh = streamed(threads.run_freshness(runs, "30 days"), "fresh_test")
+    stale = {(r.name, r.ms) for r in fresh if r.stale}
+    ms = lambda d: int(day(d).replace(tzinfo=timezone.utc).timestamp() * 1000)
+    assert {("nb1", ms(40)), ("nb2", ms(41))} <= stale and not any(n == "nb9" for n, _ in stale)
+    assert {(r.name, r.ms) for r in fresh if not r.stale} >= {("nb1", ms(1)), ("nb1", ms(40)), ("nb2", ms(20)), ("nb2", ms(41)), ("nb9", ms(81))}
 
 
 def test_windows_and_sessions(spark):

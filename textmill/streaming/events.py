@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from textmill.streaming.threads import thread_log
 
 
 def with_event_time(events: DataFrame, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -39,16 +37,7 @@ def newest(events: DataFrame) -> DataFrame:
     return best.select("user_id", "b.event_id", "b.value")
 
 
-def retry_budget(events: DataFrame, budget: int) -> DataFrame:
-    """(user_id, errors, exhausted) after each batch, from a count of errors kept per user; for update mode.
-
-    The state grows with the number of users: a processing-time timeout would keep a query of all available data from ending."""
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors = state.get[0] if state.exists else 0
-        errors += sum(int((f.event_type == "error").sum()) for f in frames)
-        state.update((errors,))
-        yield pd.DataFrame({"user_id": [key[0]], "errors": [errors], "exhausted": [errors >= budget]})
-
-    schema = "user_id long, errors long, exhausted boolean"
-    return events.groupBy("user_id").applyInPandasWithState(count, schema, "errors long", "update", GroupStateTimeout.NoTimeout)
+def retry_budget(events: DataFrame, budget: int, idle: str = "30 days") -> DataFrame:
+    """(user_id, errors, exhausted) after each event, from a count of errors kept per user until they were idle for longer; for
+    append mode. events: (user_id, event_id, event_type, ts) with a watermark on ts."""
+    return thread_log(events, idle, budget).filter("not closed").select("user_id", "errors", "exhausted")
