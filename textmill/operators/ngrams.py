@@ -9,9 +9,11 @@ from textmill.functions.arrays import ngrams
 
 
 def ngram_counts(docs: DataFrame, tokens, n: int, text: str = "text") -> DataFrame:
-    """(gram, n): how often each run of n tokens occurs; runs never span two documents."""
-    rows = docs.select(tokens(F.col(text)).alias("_k"))
-    return rows.select(F.explode(ngrams(F.col("_k"), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    """(gram, n): how often each run of n tokens occurs, joined by spaces; runs never span two documents."""
+    from pyspark.ml.feature import NGram
+
+    rows = NGram(n=n, inputCol="_k", outputCol="_g").transform(docs.select(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_k")))
+    return rows.select(F.explode("_g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bigram_table(docs: DataFrame, tokens, key: str = "doc_id", text: str = "text") -> DataFrame:

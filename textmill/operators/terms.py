@@ -80,25 +80,23 @@ def naive_bayes(terms: DataFrame, labels: DataFrame, alpha: float = 1.0) -> Data
     """(doc_id, predicted, log_posterior) of every labelled document under a multinomial model fitted to all of them.
 
     labels: (doc_id, label). Terms that a class lacks count by smoothing: each class starts from the score of a
-    document of unseen terms, and the terms that it has add their difference."""
+    document of unseen terms, and the terms that it has add their difference. The classes, a few, pass through the driver."""
+    classes = [r["label"] for r in labels.groupBy("label").agg(F.count(F.lit(1))).orderBy("label").collect()]
+    if not classes:
+        return terms.select("doc_id", F.lit(None).cast(labels.schema["label"].dataType).alias("predicted"), F.lit(0.0).alias("log_posterior")).limit(0)
+    of = [F.col("label").eqNullSafe(F.lit(c)) for c in classes]
     rows = terms.join(labels, "doc_id")
-    size = rows.agg(F.countDistinct("term").alias("_v"))
-    per_class = rows.groupBy("label").agg(F.sum("tf").alias("_total"))
-    priors = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_docs"))
-    n = labels.agg(F.count(F.lit(1)).alias("_all"))
-    classes = priors.join(per_class, "label").join(F.broadcast(size)).join(F.broadcast(n))
-    classes = classes.select(
-        "label", F.ln(F.col("_docs") / F.col("_all")).alias("_prior"), (F.col("_total") + alpha * F.col("_v")).alias("_base")
-    )
-    counts = rows.groupBy("label", "term").agg(F.sum("tf").alias("_c"))
-    gains = counts.select("label", "term", F.ln((F.col("_c") + alpha) / alpha).alias("_gain"))
-    gained = terms.join(gains, "term").groupBy("doc_id", "label").agg(F.sum(F.col("tf") * F.col("_gain")).alias("_g"))
-    lengths = terms.groupBy("doc_id").agg(F.sum("tf").alias("_len"))
-    scores = lengths.join(F.broadcast(classes)).join(gained, ["doc_id", "label"], "left")
-    value = F.col("_prior") + F.coalesce("_g", F.lit(0.0)) + F.col("_len") * F.ln(alpha / F.col("_base"))
-    scores = scores.select("doc_id", "label", value.alias("log_posterior"))
-    best = scores.groupBy("doc_id").agg(F.max_by("label", F.struct(F.round("log_posterior", 6), "label")).alias("predicted"), F.max("log_posterior").alias("log_posterior"))
-    return best.select("doc_id", "predicted", "log_posterior")
+    # A class is a column: a term's counts stand side by side, and a document is summed up once, whatever the classes.
+    counts = rows.groupBy("term").agg(*(F.sum(F.when(own, F.col("tf")).otherwise(0)).alias(f"_c{k}") for k, own in enumerate(of)))
+    priors = labels.agg(F.count(F.lit(1)).alias("_all"), *(F.count_if(own).alias(f"_d{k}") for k, own in enumerate(of)))
+    totals = counts.agg(F.count(F.lit(1)).alias("_v"), *(F.sum(f"_c{k}").alias(f"_t{k}") for k in range(len(classes))))
+    gains = counts.select("term", *(F.ln((F.col(f"_c{k}") + alpha) / alpha).alias(f"_g{k}") for k in range(len(classes))))
+    sums = terms.join(gains, "term", "left").groupBy("doc_id").agg(F.sum("tf").alias("_len"), *(F.sum(F.col("tf") * F.coalesce(F.col(f"_g{k}"), F.lit(0.0))).alias(f"_s{k}") for k in range(len(classes))))
+    base = lambda k: F.col(f"_t{k}") + alpha * F.col("_v")
+    value = lambda k: F.ln(F.col(f"_d{k}") / F.col("_all")) + F.col(f"_s{k}") + F.col("_len") * F.ln(alpha / base(k))
+    scored = sums.join(F.broadcast(totals.join(F.broadcast(priors)))).select("doc_id", *(value(k).alias(f"_p{k}") for k in range(len(classes))))
+    each = F.array(*(F.struct(F.round(f"_p{k}", 6).alias("rounded"), F.lit(c).alias("label"), F.col(f"_p{k}").alias("log_posterior")) for k, c in enumerate(classes)))
+    return scored.select("doc_id", F.array_max(each).alias("_b")).select("doc_id", F.col("_b.label").alias("predicted"), F.col("_b.log_posterior").alias("log_posterior"))
 
 
 def confusion_metrics(pairs: DataFrame) -> DataFrame:

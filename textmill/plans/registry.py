@@ -13,12 +13,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Tables of long texts, of which one row group may be minutes of work.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; one of texts with fewer splits than there are cores, as a single row group gives, is dealt over all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table in TEXTS and rows.rdd.getNumPartitions() < cores else rows
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(t) -> DataFrame``; ``t("documents")`` reads a table."""
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(lambda table: read_table(spark, sf_dir, table))
 
         run.__doc__, run.__name__ = fn.__doc__, name
         if name in QUERIES:
