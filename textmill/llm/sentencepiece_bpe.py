@@ -23,7 +23,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _SPLIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NONE = np.int64(1 << 40)
 #: Encoded words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+#: Characters of the texts that are encoded together.
+TOGETHER = 500_000
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -272,13 +274,13 @@ def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
         known: dict[str, tuple] = {}
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, TOGETHER):
                 words = [model.split(t) for t in texts[start:stop]]
                 if len(known) > CACHE_WORDS:
                     known.clear()
                 new = list({w for ws in words for w in ws}.difference(known))
                 for w, ids in zip(new, model.encode_words(new), strict=True):
-                    known[w] = (",".join(map(str, ids)).encode(), len(ids), model.decode_bytes(ids), np.array(ids, np.int32) if keep_ids else None)
+                    known[w] = (",".join(map(str, ids)).encode(), len(ids), model.decode_bytes(ids), np.array(ids, np.int32).tobytes() if keep_ids else None)
                 out: list[list] = [[], [], [], [], []]
                 for ws in words:
                     entries = [known[w] for w in ws]
@@ -288,7 +290,7 @@ def sentencepiece(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
                     out[1].append(hashlib.sha256(joined).hexdigest())
                     out[2].append(hashlib.sha256(decoded).hexdigest())
                     if keep_ids:
-                        out[3].append(np.concatenate([e[3] for e in entries]) if entries else np.zeros(0, np.int32))
+                        out[3].append(np.frombuffer(b"".join([e[3] for e in entries]), np.int32))
                     if keep_text:
                         out[4].append(decoded.decode())
                 arrays = [doc_ids.slice(start, stop - start), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
