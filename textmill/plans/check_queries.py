@@ -27,15 +27,16 @@ def newest_run(t):
     return K.newest(runs(t), ["lab"]).select("lab", "index", "status")
 
 
-@query("release_blockers", f"""WITH {RUNS}, lim AS (SELECT max(date) - 3 AS as_of FROM run), n2 AS (SELECT * FROM run, lim WHERE date <= as_of + 1 QUALIFY row_number() OVER (PARTITION BY lab ORDER BY NOT stale DESC, content_sha IS NOT NULL DESC, date DESC, status = 'fail' DESC, scope = 'notebook' DESC, NOT quick DESC, file DESC, index DESC) = 1),
+@query("release_blockers", f"""WITH {RUNS}, lim AS (SELECT max(date) - 3 AS as_of FROM run), n2 AS (SELECT * FROM run, lim WHERE date <= as_of + 1 AND scope = 'notebook' AND NOT quick QUALIFY row_number() OVER (PARTITION BY lab ORDER BY NOT stale DESC, content_sha IS NOT NULL DESC, date DESC, status = 'fail' DESC, scope = 'notebook' DESC, NOT quick DESC, file DESC, index DESC) = 1),
     labs AS (SELECT DISTINCT lab FROM run UNION ALL SELECT -1)
     SELECT lab, why FROM (SELECT lab, CASE WHEN status IS NULL THEN 'none' WHEN stale THEN 'stale' WHEN status <> 'pass' THEN 'failed' WHEN date_diff('day', date, (SELECT as_of FROM lim)) > 5 THEN 'old' END AS why FROM labs LEFT JOIN n2 USING (lab)) WHERE why IS NOT NULL""")
 def release_blockers(t):
-    """Why a lab is not ready three days before the last record, with five days as the limit; one lab has no record."""
+    """Why a lab is not ready three days before the last record, with five days as the limit, by its newest whole and not
+    quick run; one lab has no record."""
     rows = runs(t)
     labs = rows.select("lab").distinct().unionByName(rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("lab")))
     as_of = rows.agg(F.date_sub(F.max("date"), 3).alias("d")).first()["d"]
-    return K.release_blockers(labs, rows, F.lit(as_of).cast("date"), 5)
+    return K.release_blockers(labs, rows, F.lit(as_of).cast("date"), 5, (F.col("scope") == "notebook") & ~F.col("quick"))
 
 
 @query("readiness_summary", f"""WITH {RUNS} SELECT count(*) AS labs, count_if(status = 'pass' AND NOT stale) AS ready, count_if(status = 'fail' AND NOT stale) AS failed, count_if(stale) AS stale, CAST(0 AS BIGINT) AS missing,

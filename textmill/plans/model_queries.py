@@ -11,6 +11,8 @@ from textmill.operators import quality as Q
 from textmill.operators import sequences as S
 from textmill.operators import terms as O
 from textmill.operators import vectors as V
+from textmill.operators.lineage import stored
+from textmill.operators.windows import average_rank
 from textmill.plans.record_queries import REC, UNIT, rec
 from textmill.plans.registry import query
 from textmill.plans.table_queries import HASH
@@ -103,16 +105,23 @@ def label_pairs(t):
     return rows.select("conv_id", F.when(Q.hash_uniform(F.lit("pair"), F.col("conv_id")) < p, "first").otherwise("second").alias("winner"))
 
 
-@query("evaluate_reward_model", f"""WITH {REC}, p AS (SELECT event_id // 2 AS pair, max(conf) FILTER (event_id % 2 = 0) AS rw, max(conf) FILTER (event_id % 2 = 1) AS rl, max(value) FILTER (event_id % 2 = 0) AS gw, max(value) FILTER (event_id % 2 = 1) AS gl FROM rec GROUP BY 1)
-    SELECT round(avg(CAST(rw > rl AS INT)), 6) AS heldout_acc, round(avg(greatest(1 / (1 + exp(-(gw - gl) / 10)), 1 - 1 / (1 + exp(-(gw - gl) / 10)))), 6) AS oracle_acc, round(avg(CAST((rw > rl) = (gw > gl) AS INT)) FILTER (gw <> gl), 6) AS acc_gold_order_untied, count_if(gw <> gl) AS untied FROM p WHERE rw IS NOT NULL AND rl IS NOT NULL AND gw IS NOT NULL AND gl IS NOT NULL""")
+@query("evaluate_reward_model", f"""WITH {REC}, p AS (SELECT event_id // 2 AS pair, max(conf) FILTER (event_id % 2 = 0) AS rw, max(conf) FILTER (event_id % 2 = 1) AS rl, max(value) FILTER (event_id % 2 = 0) AS gw, max(value) FILTER (event_id % 2 = 1) AS gl FROM rec GROUP BY 1),
+    q AS (SELECT * FROM p WHERE rw IS NOT NULL AND rl IS NOT NULL AND gw IS NOT NULL AND gl IS NOT NULL)
+    SELECT round(avg(CAST(rw > rl AS INT)), 6) AS heldout_acc, round(avg(greatest(1 / (1 + exp(-(gw - gl) / 10)), 1 - 1 / (1 + exp(-(gw - gl) / 10)))), 6) AS oracle_acc, round(avg(CAST((rw > rl) = (gw > gl) AS INT)) FILTER (gw <> gl), 6) AS acc_gold_order_untied, count_if(gw <> gl) AS untied,
+    (SELECT round(corr(rr, gr), 6) FROM (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0::DOUBLE AS rr, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0::DOUBLE AS gr
+        FROM (SELECT rw AS r, gw AS g FROM q UNION ALL SELECT rl, gl FROM q))) AS spearman_gold FROM q""")
 def evaluate_reward_model(t):
-    """Accuracy of a reward on pairs, that of an oracle, and the order on pairs whose gold scores differ."""
+    """Accuracy of a reward on pairs, that of an oracle, the order on pairs whose gold scores differ, and the rank correlation with gold over
+    both sides of all pairs."""
     side = lambda c, r: F.max(F.when(F.col("event_id") % 2 == r, F.col(c)))
     p = rec(t).groupBy(F.expr("event_id div 2").alias("pair")).agg(side("conf", 0).alias("rw"), side("conf", 1).alias("rl"), side("value", 0).alias("gw"), side("value", 1).alias("gl")).dropna()
     rw, rl, gw, gl = (F.col(c) for c in ("rw", "rl", "gw", "gl"))
     right = 1 / (1 + F.exp(-(gw - gl) / 10))
     same = F.when(gw != gl, ((rw > rl) == (gw > gl)).cast("int"))
-    return p.agg(F.round(F.avg((rw > rl).cast("int")), 6).alias("heldout_acc"), F.round(F.avg(F.greatest(right, 1 - right)), 6).alias("oracle_acc"), F.round(F.avg(same), 6).alias("acc_gold_order_untied"), F.count_if(gw != gl).alias("untied"))
+    sides = p.select(F.explode(F.array(F.struct(rw.alias("r"), gw.alias("g")), F.struct(rl.alias("r"), gl.alias("g")))).alias("s")).select("s.r", "s.g")
+    ranked = average_rank(average_rank(stored(sides), "r", "rr"), "g", "gr").agg(F.round(F.corr("rr", "gr"), 6).alias("spearman_gold"))
+    found = p.agg(F.round(F.avg((rw > rl).cast("int")), 6).alias("heldout_acc"), F.round(F.avg(F.greatest(right, 1 - right)), 6).alias("oracle_acc"), F.round(F.avg(same), 6).alias("acc_gold_order_untied"), F.count_if(gw != gl).alias("untied"))
+    return found.join(F.broadcast(ranked))
 
 
 @query("compute_metrics", f"""WITH {REC}, pr AS (SELECT correct AS actual, CAST(conf >= 0.5 AS INT) AS predicted FROM rec), c AS (SELECT l, count_if(actual = l AND predicted = l) AS tp, count_if(actual = l) AS na, count_if(predicted = l) AS np FROM pr, (SELECT unnest([0, 1]) AS l) GROUP BY l)

@@ -216,10 +216,16 @@ def pmi(t):
     return O.pmi(cooccurrence(t)).withColumn("pmi", F.round("pmi", 6))
 
 
-@query("hash_embed", f"""WITH {TERMS}, b AS (SELECT doc_id, CAST('0x' || md5(term)[1:4] AS INT) % 512 AS bucket, sum(tf) AS x FROM terms GROUP BY ALL)
+#: The table of CRC-32, and the CRC-32 of words of ASCII.
+CRC_SQL = """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+    crcs AS (SELECT term, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(term, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS crc
+        FROM (SELECT DISTINCT term FROM terms), crc)"""
+
+
+@query("hash_embed", f"""WITH {TERMS}, {CRC_SQL}, b AS (SELECT doc_id, CAST(crc % 512 AS BIGINT) AS bucket, sum(tf) AS x FROM terms JOIN crcs USING (term) GROUP BY ALL)
     SELECT doc_id, bucket, round(x / sqrt(sum(CAST(x AS DOUBLE) * x) OVER (PARTITION BY doc_id)), 6) AS v FROM b""")
 def hash_embed(t):
-    bucket = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % 512
+    bucket = F.crc32(F.col("term").cast("binary")) % 512
     b = O.term_table(t("documents")).groupBy("doc_id", bucket.alias("bucket")).agg(F.sum("tf").alias("x"))
     norm = F.sqrt(F.sum(F.col("x").cast("double") * F.col("x")).over(Window.partitionBy("doc_id")))
     return b.select("doc_id", "bucket", F.round(F.col("x") / norm, 6).alias("v"))
