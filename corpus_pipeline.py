@@ -11,33 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import exact_dedup, ngram_join, sentencepiece_bpe, source_mix, toxicity
-from textmill.llm.common import materialize, table
+from textmill.llm.common import materialize, small_batches, table
 from textmill.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it learns from the labelled ones among docs. Without labels none goes."""
+    small_batches(spark)
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id stays."""
+    small_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of a Jaccard similarity of 0.75 connect, the one with the smallest doc_id stays; those without
     doc_id stay too."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, put in the order of the mix: file after file, and from the first row of each to its last."""
+    small_batches(spark)
     return source_mix.mixed_order(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, with the digests of ids and decoded text, its place in the mix, and if it is in the mix."""
+    small_batches(spark)
     placed = source_mix.with_positions(docs)
     return sentencepiece_bpe.sentencepiece(placed, tokenizer_path("piece_bpe_32k.model"), keep_text=False, carry=("mix_position", "in_mix"))
 

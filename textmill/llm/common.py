@@ -9,12 +9,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.plans.registry import read_table
+
 _OWN: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts in fewer splits than there are cores is dealt over all of them."""
+    return read_table(spark, sf_dir, name)
+
+
+#: Rows of a batch that a Python worker gets at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session send BATCH_ROWS rows to a Python worker at once: of long texts, the usual 10,000 rows take much of an
+    executor's memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
