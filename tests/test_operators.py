@@ -128,3 +128,15 @@ def test_range_join_has_no_nested_loop(spark):
 
     plan = contacts(lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_naive_bayes_by_hand(spark):
+    terms_ = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3), (3, "a", 1), (4, "z", 1)], "doc_id int, term string, tf long")
+    labels = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "doc_id int, label string")
+    got = {r.doc_id: (r.predicted, r.log_posterior) for r in terms.naive_bayes(terms_, labels).collect()}
+    # The words a and b are known; x has seen a a b, and y has seen b b b.
+    assert got[1] == ("x", pytest.approx(math.log(1 / 2) + 2 * math.log(3 / 5) + math.log(2 / 5)))
+    assert got[2] == ("y", pytest.approx(math.log(1 / 2) + 3 * math.log(4 / 5)))
+    assert got[3] == ("x", pytest.approx(math.log(1 / 2) + math.log(3 / 5)))
+    assert got[4] == ("y", pytest.approx(math.log(1 / 2) + math.log(1 / 5)))
+    assert terms.naive_bayes(terms_, labels.limit(0)).collect() == []

@@ -80,11 +80,13 @@ def naive_bayes(terms: DataFrame, labels: DataFrame, alpha: float = 1.0) -> Data
     """(doc_id, predicted, log_posterior) of every labelled document under a multinomial model fitted to all of them.
 
     labels: (doc_id, label). Terms that a class lacks count by smoothing: each class starts from the score of a
-    document of unseen terms, and the terms that it has add their difference. The classes, a few, pass through the driver."""
+    document of unseen terms, and the terms that it has add their difference. The classes, a few, pass through the driver;
+    a null label is none. Documents without a label are scored too."""
+    labels = labels.filter(F.col("label").isNotNull())
     classes = [r["label"] for r in labels.groupBy("label").agg(F.count(F.lit(1))).orderBy("label").collect()]
     if not classes:
         return terms.select("doc_id", F.lit(None).cast(labels.schema["label"].dataType).alias("predicted"), F.lit(0.0).alias("log_posterior")).limit(0)
-    of = [F.col("label").eqNullSafe(F.lit(c)) for c in classes]
+    of = [F.col("label") == F.lit(c) for c in classes]
     rows = terms.join(labels, "doc_id")
     # A class is a column: a term's counts stand side by side, and a document is summed up once, whatever the classes.
     counts = rows.groupBy("term").agg(*(F.sum(F.when(own, F.col("tf")).otherwise(0)).alias(f"_c{k}") for k, own in enumerate(of)))
