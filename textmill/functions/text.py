@@ -76,7 +76,8 @@ def cited_ids(answer: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("decimal(38,0)"))
+    """Runs of digits as they are written, of any length."""
+    return F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
 
 
 def keyfact_match(answer: Column, facts: Column) -> Column:
