@@ -1,6 +1,7 @@
 """Queries on small tables with odd rows, against their SQL."""
 
 import collections
+import datetime
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -25,3 +26,10 @@ def test_number_in_text(spark, tmp_path):
     texts = ["2", "a 02.", "002", "2" * 45, "9" * 45 + " 2", "12 22", "", None, "no number"]
     rows = same_as_sql(spark, str(tmp_path), "number_in_text", documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(i for i, two in rows if two) == [0, 1, 4]
+
+
+def test_merge_ranges_without_ends(spark, tmp_path):
+    day = lambda n: datetime.datetime(1995, 1, 1) + datetime.timedelta(n) if n is not None else None
+    rows = [(1, day(0)), (1, day(10)), (1, day(10)), (1, day(200)), (1, None), (2, None), (None, day(5))]
+    found = same_as_sql(spark, str(tmp_path), "merge_ranges", orders=(rows, "o_custkey long, o_orderdate timestamp"))
+    assert sorted(n for cust, _, _, n in found if cust == 1) == [2, 3]

@@ -33,11 +33,13 @@ def leave_one_out(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def merge_ranges(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """(group, start, end, n): ranges that touch or overlap become one."""
-    order = Window.partitionBy(group).orderBy(start, end)
+    """(group, start, end, n): ranges that touch or overlap become one. Those without ends count with the group's last one.
+
+    Equal ranges are peers of the running sum's frame, so their order never matters."""
+    order = Window.partitionBy(group).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", (F.col(start) > F.coalesce(reach, F.col(start) - 1)).cast("int"))
-    island = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    island = marked.withColumn("_island", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
