@@ -137,6 +137,25 @@ def test_silhouette(spark):
     assert {r.cluster: r.name for r in M.name_segments(names).collect()} == {0: "Champions", 1: "Champions (2)", 2: "Lost", 3: "At risk", 4: "New or promising"}
 
 
+def test_silhouettes_of_several_labels_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "QUERIES", 7)
+    monkeypatch.setattr(M, "ROWS", 11)
+    monkeypatch.setattr(M, "TILE", (3, 5))
+    rng = np.random.default_rng(4)
+    points, labels = rng.normal(size=(60, 3)), [[i % 3 for i in range(60)], [i * i % 4 for i in range(60)]]
+    d = np.linalg.norm(points[:, None] - points[None], axis=2)
+    rows = spark.createDataFrame([(i, p.tolist(), labels[0][i], labels[1][i]) for i, p in enumerate(points)], "key int, vector array<double>, l0 int, l1 int")
+    got = M.silhouettes(rows, F.col("key") % 2 == 0, ["l0", "l1"])
+    for of, value in zip(labels, got, strict=True):
+        of, want = np.array(of), []
+        for i in range(0, 60, 2):
+            a = d[i, of == of[i]].sum() / ((of == of[i]).sum() - 1)
+            b = min(d[i, of == c].mean() for c in set(of.tolist()) - {int(of[i])})
+            want.append((b - a) / max(a, b))
+        assert value == pytest.approx(np.mean(want))
+    assert M.silhouettes(rows.limit(0), F.lit(True), ["l0"]) == [None]
+
+
 def test_generation(spark):
     table = [("a", "b", 0.9), ("a", ".", 0.1), ("b", "a", 0.5), ("b", ".", 0.5), ("c", "d", 1.0)]
     bigrams = spark.createDataFrame(table, "prev string, term string, p double")
