@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,16 @@ def test_sweep_equals_a_plain_count(spark):
             assert got[size, k] == (3, pytest.approx(sum(recall) / 3, abs=1e-6), pytest.approx(sum(mrr) / 3, abs=1e-6))
 
 
+def test_pieces_bound_what_a_task_turns_into_chunks():
+    frame = pd.DataFrame({"doc_id": range(2000), "text": [None if i % 7 == 0 else "w " * (i % 50) for i in range(2000)]})
+    frame.loc[500, "text"] = "x" * 5000
+    parts = list(R.pieces([frame, frame.iloc[:0], frame.iloc[:3]], "text", 1000))
+    assert [i for p in parts for i in p["doc_id"]] == [*range(2000), 0, 1, 2]
+    sizes = [sum(len(x or "") for x in p["text"]) for p in parts]
+    assert sorted(sizes)[-1] >= 5000 and sorted(sizes)[-2] <= 1000
+    assert all(len(p) == 1 for p, n in zip(parts, sizes, strict=True) if n > 1000)
+
+
 def test_containing_finds_items_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(R, "FEW_ITEMS", 3)
     docs = [(i, t) for i, t in enumerate(texts(7, 40))] + [(99, None), (98, "")]

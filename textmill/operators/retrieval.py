@@ -44,13 +44,31 @@ def sentence_chunks(text: str, size: int, overlap: int) -> list[tuple[int, int,
     return out
 
 
+#: Characters of texts that a task turns into chunks before it hands them on.
+PIECE = 500_000
+
+
+def pieces(frames, text: str, most: int = PIECE):
+    """The frames' rows in their order, in frames of at most ``most`` characters, or of one longer text: what a task makes of
+    texts is many times their size, and a batch may have 10,000."""
+    for frame in frames:
+        at, held = 0, 0
+        for i, body in enumerate(frame[text]):
+            held += len(body or "")
+            if held > most and i > at:
+                yield frame.iloc[at:i]
+                at, held = i, len(body or "")
+        if at < len(frame):
+            yield frame.iloc[at:]
+
+
 def build_index(docs: DataFrame, size: int = 128, overlap: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, chunk_id, no, start, stop, n_words, chunk) of sentence-aware chunks: chunk_id is ``doc:NNNN``, start and
     stop are 0-based character offsets. A null or blank text has none. One pass, nothing moves."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames):
-        for frame in frames:
+        for frame in pieces(frames, text):
             rows = [(k, no, *c, t[c[0] : c[1]]) for k, t in zip(frame[key], frame[text], strict=True) for no, c in enumerate(sentence_chunks(t or "", size, overlap))]
             yield pd.DataFrame(rows, columns=[key, "no", "start", "stop", "n_words", "chunk"])
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.operators.retrieval import sentence_chunks
+from textmill.operators.retrieval import pieces, sentence_chunks
 
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -25,7 +25,7 @@ def chunk_terms(docs: DataFrame, sizes: list[int], key: str = "doc_id", text: st
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames):
-        for frame in frames:
+        for frame in pieces(frames, text, 100_000):
             rows = []
             for doc, body in zip(frame[key], frame[text], strict=True):
                 lower = (body or "").lower()
