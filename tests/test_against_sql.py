@@ -33,3 +33,13 @@ def test_merge_ranges_without_ends(spark, tmp_path):
     rows = [(1, day(0)), (1, day(10)), (1, day(10)), (1, day(200)), (1, None), (2, None), (None, day(5))]
     found = same_as_sql(spark, str(tmp_path), "merge_ranges", orders=(rows, "o_custkey long, o_orderdate timestamp"))
     assert sorted(n for cust, _, _, n in found if cust == 1) == [2, 3]
+
+
+def test_each_pair_of_words_is_moved_once(spark, tmp_path):
+    texts = ["a b a a c", "a", "", None, "B a b, c! a", "a a a", "x y"]
+    table = (list(enumerate(texts)), "doc_id long, text string")
+    rows = same_as_sql(spark, str(tmp_path / "pmi"), "pmi", documents=table)
+    assert {(a, b): n for a, b, n, _ in rows}[("a", "a")] == 10
+    same_as_sql(spark, str(tmp_path / "pairs"), "cooccurrence_pairs", documents=table)
+    plan = registry.QUERIES["cooccurrence_pairs"](spark, str(tmp_path / "pairs"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

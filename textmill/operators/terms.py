@@ -111,10 +111,14 @@ def confusion_metrics(pairs: DataFrame) -> DataFrame:
     return both.select("label", F.col("_a").alias("support"), p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
-def pmi(pairs: DataFrame) -> DataFrame:
-    """(a, b, n, pmi) from co-occurrence counts (a, b, n): ln p(a, b) / (p(a) p(b)) with marginals of the pairs."""
-    left = pairs.groupBy("a").agg(F.sum("n").alias("_na"))
-    right = pairs.groupBy("b").agg(F.sum("n").alias("_nb"))
-    every = pairs.agg(F.sum("n").alias("_all"))
+def pmi(pairs: DataFrame, marginals: DataFrame | None = None) -> DataFrame:
+    """(a, b, n, pmi) from co-occurrence counts (a, b, n): ln p(a, b) / (p(a) p(b)) with marginals of the pairs.
+
+    marginals: (term, n) of all terms, where they are known without the pairs and the same for both sides; pairs may then
+    lack those the other way round."""
+    left = pairs.groupBy(F.col("a").alias("term")).agg(F.sum("n").alias("n")) if marginals is None else marginals
+    right = pairs.groupBy(F.col("b").alias("term")).agg(F.sum("n").alias("n")) if marginals is None else marginals
+    every = left.agg(F.sum("n").alias("_all"))
+    left, right = (side.select(F.col("term").alias(c), F.col("n").alias(f"_n{c}")) for side, c in ((left, "a"), (right, "b")))
     joined = pairs.join(left, "a").join(right, "b").join(F.broadcast(every))
     return joined.select("a", "b", "n", F.ln(F.col("n") * F.col("_all") / (F.col("_na") * F.col("_nb"))).alias("pmi"))

@@ -195,15 +195,29 @@ COOC = f"""seq AS (SELECT doc_id, unnest(k) AS term, generate_subscripts(k, 1) A
     co AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.pos - a.pos IN (-2, -1, 1, 2) GROUP BY ALL)"""
 
 
-def cooccurrence(t, reach: int = 2):
-    """Pairs within ``reach`` words of each other, from shifted copies of each document's own array: nothing is joined."""
+def _neighbours(t, reach: int):
+    """(a, b, n) with a <= b: how often the two stand within ``reach`` words of each other, either way round; from shifted copies of
+    each document's own array, so nothing is joined and each pair crosses the network once."""
     rows = t("documents").select(X.alnum_tokens(F.col("text")).alias("k"))
     pairs = [
         F.arrays_zip(F.slice("k", F.lit(1), left).alias("a"), F.slice("k", F.lit(s + 1), left).alias("b"))
         for s in range(1, reach + 1) for left in [F.greatest(F.size("k") - s, F.lit(0))]
     ]
-    one = rows.select(F.explode(F.concat(*pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    each = rows.select(F.explode(F.concat(*pairs)).alias("p"))
+    one = each.groupBy(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return one.withColumn("n", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")))
+
+
+def _both_ways(pairs):
+    """Pairs with a <= b, and each of two different words the other way round too."""
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    return pairs.withColumn("_p", F.explode(ways)).withColumns({"a": F.col("_p.a"), "b": F.col("_p.b")}).drop("_p")
+
+
+def cooccurrence(t, reach: int = 2):
+    """Pairs within ``reach`` words of each other, in both orders."""
+    return _both_ways(_neighbours(t, reach))
 
 
 @query("cooccurrence_pairs", f"WITH {COOC} SELECT a, b, n FROM co")
@@ -213,7 +227,12 @@ def cooccurrence_pairs(t):
 
 @query("pmi", f"WITH {COOC} SELECT a, b, n, round(ln(n * CAST(sum(n) OVER () AS DOUBLE) / (sum(n) OVER (PARTITION BY a) * CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE))), 6) AS pmi FROM co")
 def pmi(t):
-    return O.pmi(cooccurrence(t)).withColumn("pmi", F.round("pmi", 6))
+    """A word's marginal is the number of its neighbours, counted from its places: no pair is moved for it."""
+    reach = 2
+    words = t("documents").select(X.alnum_tokens(F.col("text")).alias("k")).select(F.size("k").alias("_m"), F.posexplode("k").alias("_i", "term"))
+    near = F.least(F.col("_i"), F.lit(reach)) + F.least(F.col("_m") - 1 - F.col("_i"), F.lit(reach))
+    marginals = words.groupBy("term").agg(F.sum(near).alias("n")).filter("n > 0")
+    return _both_ways(O.pmi(_neighbours(t, reach), marginals)).select("a", "b", "n", F.round("pmi", 6).alias("pmi"))
 
 
 #: The table of CRC-32, and the CRC-32 of words of ASCII.
