@@ -104,6 +104,23 @@ def test_nearest_neighbours(spark):
     assert [r.sim for r in got] == pytest.approx([0.9 / math.sqrt(0.82), 1 / math.sqrt(2)], abs=1e-6)
 
 
+def test_nearest_neighbours_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    monkeypatch.setattr(vectors, "ROWS", 3)
+    monkeypatch.setattr(vectors, "TILE", (2, 2))
+    rows = [(i, [float(i % 4), 1.0]) for i in range(1, 13)] + [(20, [0.0, 0.0]), (21, None), (22, [1.0, None]), (23, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nan = lambda s: "nan" if s is not None and math.isnan(s) else s
+    got = {}
+    for r in vectors.knn(df, df, 13).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.vec_id, nan(r.sim)))
+    cosine = lambda a, b: None if not a or not b or None in a + b or len(a) != len(b) else "nan" if not any(a) or not any(b) else round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 6)
+    for q, v in rows[:-1]:
+        every = [(cosine(v, w), i) for i, w in rows[:-1] if i != q]
+        best = sorted(every, key=lambda x: (0 if x[0] == "nan" else 1 if x[0] is not None else 2, -x[0] if isinstance(x[0], float) else 0, x[1]))[:13]
+        assert sorted(got[q]) == [(n + 1, i, s) for n, (s, i) in enumerate(best)]
+
+
 def test_windows(spark):
     df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (1, 3, 3.0), (2, 1, 5.0)], "g int, t int, r double")
     assert [x.ret for x in windows.returns_to_go(df, "g", "t", "r").orderBy("g", "t").collect()] == [6, 5, 3, 5]
