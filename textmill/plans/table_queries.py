@@ -10,6 +10,7 @@ from textmill.functions.arrays import ngrams
 from textmill.operators import quality as Q
 from textmill.operators import retrieval as S
 from textmill.operators import terms as O
+from textmill.operators.lineage import stored
 from textmill.operators.ordering import place
 from textmill.plans.registry import query
 from textmill.plans.term_queries import BM25, TFIDF, bm25_scores, n_docs, tfidf_cosine_topk
@@ -37,11 +38,14 @@ GRAM4 = "unnest(list_transform(range(1, len(k) - 2), lambda i: array_to_string(k
     d AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, {GRAM4} FROM (SELECT doc_id, {ALNUM_SQL} AS k FROM documents)))
     SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (gram) GROUP BY ALL""")
 def contamination_4gram(t):
+    """Grams of documents that no item has are dropped where they arise."""
     def grams(df, key):
         rows = df.select(key, X.alnum_tokens(F.col("text")).alias("k"))
-        return rows.select(key, F.explode(ngrams(F.col("k"), 4)).alias("gram")).distinct()
+        return rows.select(key, F.explode(ngrams(F.col("k"), 4)).alias("gram"))
 
-    return grams(t("documents"), "doc_id").join(grams(t("benchmark"), "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    asked = stored(grams(t("benchmark"), "item_id").distinct())
+    held = grams(t("documents"), "doc_id").join(asked.select("gram"), "gram", "left_semi").distinct()
+    return held.join(asked, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 _TFK = f"""tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
