@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.operators.lineage import stored
 from textmill.operators.terms import bm25, top_k
 
 _END = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
@@ -219,7 +220,8 @@ def rerank(ranked: DataFrame, score: str, n: int, by: str = "query_id") -> DataF
 def local_bm25(candidates: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
     """candidates (query_id, doc_id, rank) with local: BM25 whose statistics are those of each query's candidates alone."""
     pairs = F.struct("query_id", "doc_id")
-    own = candidates.select("query_id", "doc_id").join(terms, "doc_id")
+    near = terms.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")  # the other documents' terms aren't counted
+    own = candidates.select("query_id", "doc_id").join(near, "doc_id")
     lengths = own.groupBy("query_id", "doc_id").agg(F.sum("tf").alias("n_terms"))
     totals = lengths.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("n_terms").alias("_avg"))
     hits = own.join(queries, ["query_id", "term"])
@@ -235,7 +237,7 @@ def local_bm25(candidates: DataFrame, terms: DataFrame, queries: DataFrame) -> D
 def two_stage(terms: DataFrame, queries: DataFrame, lengths: DataFrame, candidates: int, n: int) -> DataFrame:
     """(query_id, doc_id, rank, local, place): BM25's best candidates, put in a new order by local_bm25."""
     scored = bm25(terms, queries, lengths).withColumn("score", F.round("score", 6))
-    first = top_k(scored, candidates, "query_id").select("query_id", "doc_id", "rank")
+    first = stored(top_k(scored, candidates, "query_id").select("query_id", "doc_id", "rank"))
     return rerank(local_bm25(first, terms, queries).withColumn("local", F.round("local", 6)), "local", n)
 
 
@@ -253,7 +255,7 @@ def fuse(rankings: list[DataFrame], base: int = 60) -> DataFrame:
 def rerank_with(ranked: DataFrame, texts: DataFrame, scorer: Callable[[str, list[str]], list[float]], n: int) -> DataFrame:
     """rerank by a scorer of (query, texts) that runs once for each query's candidates in a worker; where it fails, the
     first stage's order stays. ranked: (query_id, query, doc_id, rank), a bounded number of rows for each query; texts: (doc_id, text)."""
-    joined = ranked.select("query_id", "query", "doc_id", "rank").join(texts.select("doc_id", "text"), "doc_id")
+    joined = stored(ranked.select("query_id", "query", "doc_id", "rank")).join(texts.select("doc_id", "text"), "doc_id")
     names = ["query_id", "doc_id", "rank"]
     schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in names) + ", model_score double"
 
