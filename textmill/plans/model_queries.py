@@ -67,7 +67,10 @@ def mask_tokens(t):
     """Corrupted inputs and labels of masked language modelling, as the sums of their ids; 1000 is the mask."""
     rows = t("documents").select("doc_id", X.alnum_tokens(F.col("text")).alias("k")).filter(F.size("k") > 0)
     number = lambda name: F.transform("k", lambda _, p: Q.hash_uniform(F.lit(name), F.col("doc_id"), p))
-    rows = rows.select("doc_id", F.transform("k", lambda w: F.length(w)).alias("ids"), number("u").alias("u"), number("v").alias("v"))
+    rows = rows.select("doc_id", "k", F.transform("k", lambda w: F.length(w)).alias("ids"), number("u").alias("u"))
+    # The second number counts only where the first one chose a token.
+    second = F.transform("u", lambda u, p: F.when(u < 0.15, Q.hash_uniform(F.lit("v"), F.col("doc_id"), p)).otherwise(0.0))
+    rows = rows.select("doc_id", "ids", "u", second.alias("v"))
     x = rows.select("doc_id", S.mask_tokens(F.col("ids"), F.col("u"), F.col("v"), 1000, 500).alias("x"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
     return x.select("doc_id", total("x.inputs").alias("inputs"), total("x.labels").alias("labels"))
