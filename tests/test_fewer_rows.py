@@ -1,6 +1,7 @@
 """What queries move or read again, by their plans and by counting."""
 
-from textmill.plans.registry import QUERIES, read_table
+from textmill.plans.catalogue import QUERIES
+from textmill.plans.registry import read_table
 from textmill.plans.term_queries import length_stats
 
 SF = "/root/testdata/sf0.001"

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from textmill.functions import text as X
 from textmill.operators import ngrams as G
 from textmill.operators import terms as O
+from textmill.operators.lineage import stored
 from textmill.operators.quantiles import quantiles
 from textmill.plans.registry import query
 from textmill.plans.text_queries import ALNUM_SQL, TOK_SQL
@@ -376,7 +377,7 @@ def tokens_per_word(t):
 
 @query("length_stats", f"SELECT lang, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS longest FROM (SELECT lang, len({TOK_SQL}) AS n FROM documents) GROUP BY lang")
 def length_stats(t):
-    n = t("documents").select("lang", F.size(X.tokenize(F.col("text"))).cast("long").alias("n"))
+    n = stored(t("documents").select("lang", F.size(X.tokenize(F.col("text"))).cast("long").alias("n")))  # each pass reads numbers, not texts
     found = quantiles(n, ["lang"], "n", [0.5, 0.95]).groupBy("lang")
     tails = found.agg(*(F.round(F.max(F.when(F.col("p") == p, F.col("quantile"))), 6).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))))
     return tails.join(n.groupBy(F.col("lang").alias("_l")).agg(F.max("n").alias("longest")), F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")
