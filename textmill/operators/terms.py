@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions.text import alnum_tokens, tokenize
+from textmill.operators.blocks import class_sums
 from textmill.operators.ordering import place
 
 
@@ -28,7 +29,12 @@ def build_vocab(tokens: DataFrame, min_count: int = 2, first_id: int = 2) -> Dat
     """(term, n, id): ids from first_id by count, the largest first, then by term. 0 and 1 are left to ``<unk>`` and ``<s>``.
 
     Ids are dense: the vocabulary is put in one order, part by part."""
-    counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    return numbered(tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")), min_count, first_id)
+
+
+def numbered(counts: DataFrame, min_count: int = 2, first_id: int = 2) -> DataFrame:
+    """build_vocab from the counts (term, n) of all terms."""
+    counts = counts.filter(F.col("n") >= min_count)
     return place(counts, [F.desc("n"), F.col("term")], "id", first_id).withColumn("id", F.col("id").cast("int"))
 
 
@@ -94,9 +100,27 @@ def naive_bayes(terms: DataFrame, labels: DataFrame, alpha: float = 1.0) -> Data
     totals = counts.agg(F.count(F.lit(1)).alias("_v"), *(F.sum(f"_c{k}").alias(f"_t{k}") for k in range(len(classes))))
     gains = counts.select("term", *(F.ln((F.col(f"_c{k}") + alpha) / alpha).alias(f"_g{k}") for k in range(len(classes))))
     sums = terms.join(gains, "term", "left").groupBy("doc_id").agg(F.sum("tf").alias("_len"), *(F.sum(F.col("tf") * F.coalesce(F.col(f"_g{k}"), F.lit(0.0))).alias(f"_s{k}") for k in range(len(classes))))
+    return _likeliest(sums, totals.join(F.broadcast(priors)), classes, alpha)
+
+
+def naive_bayes_texts(docs: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """naive_bayes of the alphanumeric words of documents (doc_id, text, label): blocks of documents look their words up, and no row for
+    each word of each document is moved."""
+    labels = docs.select("doc_id", "label").filter(F.col("label").isNotNull())
+    found = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
+    classes = [r["label"] for r in found]
+    if not classes:
+        return docs.select("doc_id", F.lit(None).cast(docs.schema["label"].dataType).alias("predicted"), F.lit(0.0).alias("log_posterior")).limit(0)
+    sums, totals = class_sums(docs, classes, alpha)
+    priors = [F.lit(sum(r["n"] for r in found)).alias("_all"), *(F.lit(r["n"]).alias(f"_d{k}") for k, r in enumerate(found))]
+    return _likeliest(sums, totals.select("*", *priors), classes, alpha)
+
+
+def _likeliest(sums: DataFrame, totals: DataFrame, classes: list, alpha: float) -> DataFrame:
+    """sums: (doc_id, _len, _s0 and on); totals: one row of _v, _all, and _t and _d of each class."""
     base = lambda k: F.col(f"_t{k}") + alpha * F.col("_v")
     value = lambda k: F.ln(F.col(f"_d{k}") / F.col("_all")) + F.col(f"_s{k}") + F.col("_len") * F.ln(alpha / base(k))
-    scored = sums.join(F.broadcast(totals.join(F.broadcast(priors)))).select("doc_id", *(value(k).alias(f"_p{k}") for k in range(len(classes))))
+    scored = sums.join(F.broadcast(totals)).select("doc_id", *(value(k).alias(f"_p{k}") for k in range(len(classes))))
     each = F.array(*(F.struct(F.round(f"_p{k}", 6).alias("rounded"), F.lit(c).alias("label"), F.col(f"_p{k}").alias("log_posterior")) for k, c in enumerate(classes)))
     return scored.select("doc_id", F.array_max(each).alias("_b")).select("doc_id", F.col("_b.label").alias("predicted"), F.col("_b.log_posterior").alias("log_posterior"))
 

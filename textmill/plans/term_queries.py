@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import text as X
+from textmill.operators import blocks as B
 from textmill.operators import ngrams as G
 from textmill.operators import terms as O
 from textmill.operators.lineage import stored
@@ -37,6 +38,12 @@ def query_terms(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.alnum_tokens(F.col("text"))).alias("term")).distinct()
 
 
+def weights(t):
+    """TF-IDF of every document and alphanumeric word."""
+    blocks, counts = B.document_terms(t("documents"))
+    return B.tfidf(blocks, counts, B.inverse(counts, n_docs(t)))
+
+
 def bm25_scores(t):
     return O.bm25(O.term_table(t("documents")), query_terms(t), doc_lengths(t))
 
@@ -68,23 +75,14 @@ def zipf(t):
     tok AS (SELECT * FROM t), {VOCAB}
     SELECT doc_id, count(*) AS n, md5(string_agg(CAST(coalesce(id, 0) AS VARCHAR), ' ' ORDER BY p)) AS ids_md5 FROM tok LEFT JOIN voc USING (term) GROUP BY doc_id""")
 def encode_ids(t):
-    tokens = O.token_table(t("documents"))
-    return _packed(O.encode(tokens, O.build_vocab(tokens)))
+    return B.encoded(t("documents"), O.numbered)
 
 
 @query("encode_drop_oov", f"""WITH t AS (SELECT doc_id, unnest(k) AS term, generate_subscripts(k, 1) AS p FROM (SELECT doc_id, {TOK_SQL} AS k FROM documents)),
     tok AS (SELECT * FROM t), {VOCAB}
     SELECT doc_id, count(*) AS n, md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p)) AS ids_md5 FROM tok JOIN voc USING (term) GROUP BY doc_id""")
 def encode_drop_oov(t):
-    tokens = O.token_table(t("documents"))
-    return _packed(O.encode(tokens, O.build_vocab(tokens), drop_unknown=True))
-
-
-def _packed(coded):
-    """A document's ids in order; a group holds one document's tokens."""
-    rows = coded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
-    ids = F.transform("x", lambda e: e["id"].cast("string"))
-    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join(ids, " ")).alias("ids_md5"))
+    return B.encoded(t("documents"), O.numbered, drop_unknown=True)
 
 
 @query("idf", f"WITH {TERMS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -98,7 +96,7 @@ TFIDF = f"""{TERMS}, {IDF}, x AS (SELECT doc_id, term, tf, tf * idf AS x FROM te
 
 @query("tfidf", f"WITH {TFIDF} SELECT doc_id, term, tf, round(w, 6) AS w FROM w")
 def tfidf(t):
-    return O.tfidf(O.term_table(t("documents")), n_docs(t)).withColumn("w", F.round("w", 6))
+    return weights(t).withColumn("w", F.round("w", 6))
 
 
 @query("term_density", f"WITH {TERMS} SELECT count(*) AS nnz, round(count(*) / (CAST((SELECT count(*) FROM documents) AS DOUBLE) * count(DISTINCT term)), 9) AS density FROM terms")
@@ -132,12 +130,14 @@ def bm25_topk(t):
     s AS (SELECT query_id, doc_id, round(sum(qw * w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def tfidf_cosine_topk(t):
-    terms = O.term_table(t("documents"))
-    weights = O.tfidf(terms, n_docs(t)).select("doc_id", "term", "w")
-    asked = O.term_table(t("benchmark"), key="item_id").join(O.idf(terms, n_docs(t)), "term").select(F.col("item_id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("x"))
+    terms = O.term_table(t("benchmark"), key="item_id")
+    blocks, counts = B.document_terms(t("documents"))
+    idf = B.inverse(counts, n_docs(t))
+    weighted = B.tfidf(blocks, counts, idf, wanted=terms.select("term").distinct()).select("doc_id", "term", "w")
+    asked = terms.join(idf, "term").select(F.col("item_id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("x"))
     norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    asked = asked.join(norm, "query_id").select("query_id", "term", (F.col("x") / F.col("norm")).alias("qw"))
-    scored = asked.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    asked = stored(asked.join(norm, "query_id").select("query_id", "term", (F.col("x") / F.col("norm")).alias("qw")))
+    scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
     return O.top_k(scored, 5, "query_id")
 
 
@@ -151,8 +151,7 @@ NB = f"""{TERMS}, lab AS (SELECT doc_id, lang AS label FROM documents), r AS (SE
 
 @query("naive_bayes", f"WITH {NB} SELECT doc_id, predicted FROM pred")
 def naive_bayes(t):
-    labels = t("documents").select("doc_id", F.col("lang").alias("label"))
-    return O.naive_bayes(O.term_table(t("documents")), labels).select("doc_id", "predicted")
+    return O.naive_bayes_texts(t("documents").select("doc_id", "text", F.col("lang").alias("label"))).select("doc_id", "predicted")
 
 
 _PRF = """cells AS (SELECT label, sum(a) AS support, sum(p) AS np, sum(tp) AS tp FROM (
@@ -180,8 +179,8 @@ def naive_bayes_prf(t):
 @query("top_terms_per_class", f"""WITH {TFIDF}, s AS (SELECT lang, term, round(sum(w), 6) AS weight FROM w JOIN documents USING (doc_id) GROUP BY ALL)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM s) WHERE rank <= 10""")
 def top_terms_per_class(t):
-    weights = O.tfidf(O.term_table(t("documents")), n_docs(t)).join(t("documents").select("doc_id", "lang"), "doc_id")
-    summed = weights.groupBy("lang", "term").agg(F.round(F.sum("w"), 6).alias("weight"))
+    found = weights(t).join(t("documents").select("doc_id", "lang"), "doc_id")
+    summed = found.groupBy("lang", "term").agg(F.round(F.sum("w"), 6).alias("weight"))
     return O.top_k(summed, 10, "lang", score="weight", tie="term")
 
 
