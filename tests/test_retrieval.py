@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.operators import terms as O
 from textmill.operators import checks as K
 from textmill.operators import fitting as M
 from textmill.operators import generation as G
@@ -185,3 +186,19 @@ def test_allocation_and_statuses(spark):
     why = rows.select(K.lab_blocker(F.col("s"), F.col("t"), F.date_sub(day, F.col("age")), day, 5).alias("w"), K.passed(F.col("s"), F.col("t")).alias("p")).collect()
     assert [(r.w, r.p) for r in why] == [(None, True), ("stale", False), ("failed", False), ("none", False), ("old", True)]
     assert rows.select(K.with_staleness(F.lit("x"), F.lit(None).cast("string"), True).alias("x")).first().x is True
+
+
+def test_blocks_keep_their_best_documents(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANKED", 8)
+    monkeypatch.setattr(O, "ASKED", 2)
+    rows = [(d, w, 1) for d in range(60) for w in [f"w{d % 7}", f"w{d % 7}", f"w{d % 3}", "all", f"own{d // 2}"]]
+    terms = spark.createDataFrame(rows, "doc_id int, term string, tf int")
+    lengths = spark.createDataFrame([(d, 5) for d in range(60)] + [(60, 0), (7, 9)], "doc_id int, n_terms int")  # doc_id 7 twice
+    queries = spark.createDataFrame([(q, w) for q in range(5) for w in (f"w{q}", f"own{q}", "all", "none")], "query_id int, term string")
+    rounded = lambda x: x.withColumn("score", F.round("score", 6))
+    every = O.bm25(terms.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), queries, lengths)
+    found = O.bm25_best(terms, queries, lengths, 3)
+    want = {tuple(r) for r in O.top_k(rounded(every), 3, "query_id").select("query_id", "doc_id", "rank", "score").collect()}
+    assert {tuple(r) for r in O.top_k(rounded(found), 3, "query_id").select("query_id", "doc_id", "rank", "score").collect()} == want and len(want) == 15
+    assert found.count() < every.count()
+    assert O.bm25_best(terms, queries.limit(0), lengths, 3).count() == 0

@@ -16,7 +16,7 @@ from textmill.operators.windows import average_rank
 from textmill.plans.record_queries import REC, UNIT, rec
 from textmill.plans.registry import query
 from textmill.plans.table_queries import HASH
-from textmill.plans.term_queries import BM25, bm25_scores
+from textmill.plans.term_queries import BM25, bm25_top
 from textmill.plans.text_queries import ALNUM_SQL
 
 _IDS = "ids AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\\S+'), lambda w: length(w)) AS ids FROM conversations)"
@@ -217,7 +217,7 @@ def email_of(t):
 @query("search_docs", f"WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored), h AS (SELECT query_id, doc_id, rank FROM r JOIN documents USING (doc_id) JOIN benchmark ON item_id = query_id WHERE rank <= 10 AND contains(lower(documents.text), lower(string_split(benchmark.text, ' ')[1]))) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h QUALIFY place <= 3")
 def search_docs(t):
     """The first three of BM25's best ten that hold the query's first word."""
-    top = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 10, "query_id").select("query_id", "doc_id", "rank")
+    top = bm25_top(t, 10).select("query_id", "doc_id", "rank")
     word = t("benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split("text", " ")[0]).alias("w"))
     hits = top.join(t("documents").select("doc_id", "text"), "doc_id").join(word, "query_id").filter(F.contains(F.lower("text"), F.col("w")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))

@@ -13,7 +13,7 @@ from textmill.operators import terms as O
 from textmill.operators.lineage import stored
 from textmill.operators.ordering import place
 from textmill.plans.registry import query
-from textmill.plans.term_queries import BM25, TFIDF, bm25_scores, n_docs, tfidf_cosine_topk
+from textmill.plans.term_queries import BM25, TFIDF, bm25_top, n_docs, tfidf_cosine_topk
 from textmill.plans.text_queries import ALNUM_SQL
 
 HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"
@@ -58,7 +58,7 @@ RRF = f"""WITH {BM25}, bk AS (SELECT * FROM (SELECT query_id, doc_id, row_number
 
 
 def fused(t):
-    keep = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 5, "query_id").select("query_id", "doc_id", "rank", F.lit(1).alias("list"))
+    keep = bm25_top(t, 5).select("query_id", "doc_id", "rank", F.lit(1).alias("list"))
     dense = tfidf_cosine_topk(t).select("query_id", "doc_id", "rank", F.lit(2).alias("list"))
     both = keep.unionByName(dense)
     return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.min(F.col("list") * 1000 + F.col("rank")).alias("seen"))
@@ -73,7 +73,7 @@ def rrf(t):
 
 @query("interleave_merge", f"{RRF} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS place FROM (SELECT query_id, doc_id, min(rank * 10 + list) AS first FROM u GROUP BY ALL)")
 def interleave_merge(t):
-    keep = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 5, "query_id").select("query_id", "doc_id", "rank", F.lit(1).alias("list"))
+    keep = bm25_top(t, 5).select("query_id", "doc_id", "rank", F.lit(1).alias("list"))
     both = keep.unionByName(tfidf_cosine_topk(t).select("query_id", "doc_id", "rank", F.lit(2).alias("list")))
     first = both.groupBy("query_id", "doc_id").agg(F.min(F.col("rank") * 10 + F.col("list")).alias("first"))
     return first.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first")).alias("place"))
@@ -86,7 +86,7 @@ def interleave_merge(t):
 def recall_at_k(t):
     """A document is evidence for an item if it holds the item's text; items without evidence don't count."""
     gold = S.containing(t("benchmark"), t("documents"), "item_id", "doc_id").select("item_id", "doc_id")
-    ranked = O.top_k(bm25_scores(t).withColumn("score", F.round("score", 6)), 10, "query_id").select(F.col("query_id").alias("item_id"), "doc_id", "rank")
+    ranked = bm25_top(t, 10).select(F.col("query_id").alias("item_id"), "doc_id", "rank")
     best = gold.join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("best"))
     hit = lambda k: F.round(F.avg(F.when(F.col("best") <= k, 1.0).otherwise(0.0)), 6)
     return best.agg(F.count(F.lit(1)).alias("items"), hit(1).alias("recall_1"), hit(10).alias("recall_10"), F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"))
