@@ -104,3 +104,9 @@ def test_messages_are_unpacked(spark):
     assert whole == {1: want}
     reply = spark.createDataFrame([("hi", "end", '{"a": 1}', [("c1", "f", '{"x": 1}')])], "text string, stop string, raw string, calls array<struct<id: string, name: string, args: string>>")
     assert json.loads(M.reply_entries(reply).first().entry) == {"role": "assistant", "content": "hi", "stop": "end", "raw": '{"a": 1}', "tool_calls": [{"id": "c1", "name": "f", "args": {"x": 1}}]}
+
+
+def test_a_document_is_parsed_once(spark):
+    message = S.validation_message(S.schema_errors(F.col("j"), SCHEMA))
+    plan = spark.createDataFrame([("{}",)], "j string").select(message.alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json") == 1

@@ -15,6 +15,11 @@ RETRY = ("That reply was not a valid record (", "). Reply with the corrected JSO
 _NONE = "array<string>"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once for a row, however often it is used and under whatever conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _empty() -> Column:
     return F.array().cast(_NONE)
 
@@ -70,6 +75,10 @@ def _shown(path: Column) -> Column:
     return F.when(path == "", F.lit("reply")).otherwise(path)
 
 
+def _property(value: Column, schema: dict, path: Column) -> Column:
+    return _once(value, lambda one: F.when(one.isNotNull(), _walk(one, schema, path)).otherwise(_empty()))
+
+
 def _walk(v: Column, schema: dict, path: Column) -> Column:
     """The messages of a value, an array. What the type rules out is not looked at further."""
     found: list[Column] = []
@@ -97,8 +106,7 @@ def _walk(v: Column, schema: dict, path: Column) -> Column:
         for name in schema.get("required", []):
             inside.append(_check(_field(v, name).isNotNull(), _joined(path, F.lit(name)), "missing"))
         for name, part in known.items():
-            one = _field(v, name)
-            inside.append(F.when(one.isNotNull(), _walk(one, part, _joined(path, F.lit(name)))).otherwise(_empty()))
+            inside.append(_property(_field(v, name), part, _joined(path, F.lit(name))))
         if schema.get("additionalProperties") is False:
             more = F.array_sort(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, known)).cast(_NONE)))
             inside.append(F.transform(more, lambda k: F.concat(_joined(path, k), F.lit(": not expected"))))
@@ -121,13 +129,12 @@ def _walk(v: Column, schema: dict, path: Column) -> Column:
 def schema_errors(document: Column, schema: dict) -> Column:
     """The messages of a JSON text, an array in the order of the schema: empty if it is valid. A null, or what is no JSON, has
     the one message that says so."""
-    v = F.try_parse_json(document)
-    return F.when(v.isNull(), F.array(F.lit("reply: not JSON"))).otherwise(_walk(v, schema, F.lit("")))
+    return _once(F.try_parse_json(document), lambda v: F.when(v.isNull(), F.array(F.lit("reply: not JSON"))).otherwise(_walk(v, schema, F.lit(""))))
 
 
 def validation_message(errors: Column) -> Column:
     """The retry instruction that lists the messages; null if there are none."""
-    return F.when(F.size(errors) > 0, F.concat(F.lit(RETRY[0]), F.array_join(errors, "; "), F.lit(RETRY[1])))
+    return _once(errors, lambda e: F.when(F.size(e) > 0, F.concat(F.lit(RETRY[0]), F.array_join(e, "; "), F.lit(RETRY[1]))))
 
 
 def call_errors(calls, tools):
@@ -141,6 +148,6 @@ def call_errors(calls, tools):
     error = F.when(~F.coalesce(name.isin(*tools) if tools else F.lit(False), F.lit(False)), F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("")), F.lit(f"; there are: {known}")))
     error = error.when(~F.coalesce(_is(parsed, "object"), F.lit(False)), F.lit("the arguments are no JSON object"))
     for tool, schema in sorted(tools.items()):
-        found = schema_errors(arguments, schema)
-        error = error.when((name == tool) & (F.size(found) > 0), F.array_join(found, "; "))
+        found = F.when(name == tool, schema_errors(arguments, schema))
+        error = error.when(name == tool, _once(found, lambda e: F.when(F.size(e) > 0, F.array_join(e, "; "))))
     return calls.withColumn("error", error)
