@@ -202,3 +202,39 @@ def test_blocks_keep_their_best_documents(spark, monkeypatch):
     assert {tuple(r) for r in O.top_k(rounded(found), 3, "query_id").select("query_id", "doc_id", "rank", "score").collect()} == want and len(want) == 15
     assert found.count() < every.count()
     assert O.bm25_best(terms, queries.limit(0), lengths, 3).count() == 0
+
+
+def _macro_f1(pairs) -> float:
+    classes = {c for pair in pairs for c in pair}
+    return float(np.mean([2 * sum(y == p == c for y, p in pairs) / sum((y == c) + (p == c) for y, p in pairs) for c in classes]))
+
+
+def test_macro_f1s_of_several_predictions(spark):
+    rng = random.Random(5)
+    # Class 4 is never true and never predicted, 3 is only predicted, 2 is never predicted by the second.
+    rows = [(float(rng.choice([0, 0, 1, 2])), float(rng.randint(0, 3)), float(rng.randint(0, 1))) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "y double, a double, b double")
+    want = [_macro_f1([(y, a) for y, a, _ in rows]), _macro_f1([(y, b) for y, _, b in rows])]
+    assert M.macro_f1s(frame, "y", ["a", "b"]) == pytest.approx(want, abs=1e-12)
+    assert all(np.isnan(M.macro_f1s(frame.limit(0), "y", ["a", "b"])))
+
+
+def test_logistic_regression_reads_a_text_once(spark):
+    rng = random.Random(8)
+    words = {"de": "der die und nicht ein auto", "en": "the and not one car auto", "fr": "le la et pas une auto"}
+    make = lambda n, langs: [(" ".join(rng.choices(words[x].split() + ["auto", "radio"], k=rng.randint(1, 5))), x) for x in rng.choices(langs, k=n)]
+    train, held = make(120, ["de", "en", "en", "fr"]), make(40, ["de", "en"])
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    # No held text is French, and one is in a language that was not learned: it is skipped unread.
+    frames = [spark.createDataFrame(rows, "text string, lang string").select(seen("text").alias("text"), "lang") for rows in (train, [*held, ("il gatto", "it")])]
+    (features, model), ridge, f1 = M.logistic_regression(*frames, (0.01, 50.0), label="lang", dims=64)
+    assert read.value == len(train) + len(held)
+    rows = model.transform(features.transform(frames[1])).select("_y", "prediction").collect()
+    assert len(rows) == len(held) and f1 == pytest.approx(_macro_f1([tuple(r) for r in rows]), abs=1e-12)
+    assert ridge == 0.01 and f1 > 0.5
