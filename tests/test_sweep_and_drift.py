@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textmill.functions.stem import stem
 from textmill.operators import divergence, sweep
 from textmill.operators import retrieval as R
+from textmill.plans import catalogue as registry
 from textmill.plans.retrieval_queries import ENGLISH_STOP, bm25_stem
 
 
@@ -104,3 +105,23 @@ def test_bm25_over_stems(spark):
         score = {d: sum(math.log((len(bags) - df[t] + 0.5) / (df[t] + 0.5) + 1) * b[t] / (b[t] + 1.5 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in bag(text) if b[t]) for d, b in bags.items()}
         best = sorted((d for d in score if score[d]), key=lambda d: (-round(score[d], 6), d))[:10]
         assert {d for a, d in got if a == q} == set(best) and all(got[q, d] == pytest.approx(score[d], abs=2e-6) for d in best)
+
+
+def test_best_chunks_make_no_row_for_each_term(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sweep, "BLOCK", 5)
+    monkeypatch.setattr(sweep, "RANKED", 3)
+    monkeypatch.setattr(sweep, "ASKED", 2)
+    docs = [*enumerate(texts(11, 40)), (1 << 60, None), ((1 << 60) + 1, "... !!!"), ((1 << 60) + 3, "alpha beta. Zeta")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([("a", "alpha"), ("a", "x1"), ("b", "gamma"), ("b", "zeta"), ("c", "nowhere"), ("d", "beta"), ("e", "alpha")], "query_id string, term string")
+    want = sweep.ranked_chunks(sweep.chunk_terms(frame, [8, 20]), asked, 4)
+    found = sweep.best_chunks(frame, [8, 20], asked, 4)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select(found.columns).collect()}
+    assert found.count() == 2 * 4 * 4
+    assert sweep.best_chunks(frame.limit(0), [8], asked, 4).collect() == sweep.best_chunks(frame, [8], asked.limit(0), 4).collect() == []
+    # The query itself sends nothing of a text's terms but those that are asked.
+    seen = []
+    monkeypatch.setattr(sweep, "chunk_terms", lambda *a: seen.append(a))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (2, "Zeta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert registry.QUERIES["chunk_recall"](spark, str(tmp_path)).count() == 30 and not seen

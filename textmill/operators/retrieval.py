@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,32 +18,33 @@ _END = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _WORD = re.compile(r"\S+")
 
 
+def words_and_sentences(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """(start, stop) of each word, and the number of the first word of each sentence, with the number of words at the end."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
+    return words, [0, *(bisect_left(starts, m.start()) for m in _END.finditer(text)), len(words)]
+
+
+def chunk_words(firsts: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """The chunks of ``sentence_chunks`` as (first word, word after the last), from the first words of sentences."""
+    units = [(k, min(k + size, q)) for p, q in zip(firsts, firsts[1:], strict=False) for k in range(p, q, size)]
+    out, held, start, stop = [], 0, 0, 0  # the words from start to stop are held, those of the units from held on
+    for no, (p, q) in enumerate(units):
+        if stop > start and q - start > size:
+            out.append((start, stop))
+            held = next((k for k in range(held, no) if p - units[k][0] <= overlap and q - units[k][0] <= size), no)
+            start = units[held][0]
+        stop = q
+    if stop > start:
+        out.append((start, stop))
+    return out
+
+
 def sentence_chunks(text: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, stop, words) of chunks of whole sentences with at most size words; the next one begins with the last
     sentences that fit in overlap words. A sentence longer than size is cut into windows of size words."""
-    units, at = [], 0
-    for end in [*(m.start() for m in _END.finditer(text)), len(text)]:
-        words = [(at + w.start(), at + w.end()) for w in _WORD.finditer(text[at:end])]
-        units += [words[k : k + size] for k in range(0, len(words), size)]
-        at = end
-    out, held = [], []
-
-    def close():
-        out.append((held[0][0][0], held[-1][-1][1], sum(map(len, held))))
-
-    for unit in units:
-        if held and sum(map(len, held)) + len(unit) > size:
-            close()
-            kept: list = []
-            for old in reversed(held):
-                if sum(map(len, kept)) + len(old) > overlap or sum(map(len, kept)) + len(old) + len(unit) > size:
-                    break
-                kept.insert(0, old)
-            held = kept
-        held.append(unit)
-    if held:
-        close()
-    return out
+    words, firsts = words_and_sentences(text)
+    return [(words[a][0], words[z - 1][1], z - a) for a, z in chunk_words(firsts, size, overlap)]
 
 
 #: Characters of texts that a task turns into chunks before it hands them on.
@@ -98,19 +100,23 @@ def section_of(spans: DataFrame, heads: DataFrame, key: str, start: str = "start
     return both.filter("_own = 1").drop("_at", "_s", "_own")
 
 
-#: Items of one or two words that are looked for in one pass.
-FEW_ITEMS = 10_000
+#: Items that are looked for in one pass, and their characters where they aren't of one or two words.
+FEW_ITEMS, ITEM_CHARS = 10_000, 1_000_000
 
 
 def containing(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str, words: int = 6) -> DataFrame:
     """(item_key, doc_key, item, text) of documents that hold an item's text as it is.
 
-    The item's bounds can't cut its inner words, so these stand in the document as they are. Candidates share a run of inner
+    As many items as one automaton holds are looked for by it in one pass over the documents. Of more, those of one or two words are,
+    and for the others words decide: the item's bounds can't cut its inner words, so these stand in the document as they are. Candidates share a run of inner
     words, or in items too short for one the inner word that the fewest documents have. Items of one or two words have
     none: an automaton looks for FEW_ITEMS of them in one pass over the documents, and for more in as many passes as it takes.
     Empty items are in no document."""
     parts = F.split("text", r"\s+")
     asked = items.filter(F.length("text") > 0).select(item_key, F.col("text").alias("item"), parts.alias("_k"))
+    few = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
+    if few.n <= FEW_ITEMS and few.chars <= ITEM_CHARS:
+        return _holding(asked.select(item_key, "item"), docs, item_key, doc_key)
     long = asked.filter(F.size("_k") >= words + 2).select(item_key, "item", F.array_join(F.slice("_k", 2, words), " ").alias("_g"))
     middle = asked.filter((F.size("_k") < words + 2) & (F.size("_k") > 2)).select(item_key, "item", F.explode(F.array_distinct(F.slice("_k", F.lit(2), F.size("_k") - 2))).alias("_g"))
     rows = docs.select(doc_key, "text", parts.alias("_k"))
